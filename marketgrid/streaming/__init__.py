@@ -1,0 +1,8 @@
+"""Streaming: nothing to build.
+
+The analysed pipeline works on finished quarterly files only: there is no
+stream source, watermark, event-time window or state anywhere in it.  New
+quarters are handled by re-running the batch plans (the master can be
+written partitioned by quarter, so a rerun over a new quarter only touches
+that partition).
+"""
