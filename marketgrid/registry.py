@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import STANDIN
-from .plans import district
+from .plans import district, hotspots, model, settlement
 from .sources.standin import standin_master
 
 P = STANDIN
@@ -55,3 +55,112 @@ def q_landmark_lq(spark, sf_dir):
 @query("tab1_gu_summary")
 def q_tab1_gu_summary(spark, sf_dir):
     return district.tab1_gu_summary(master(spark, sf_dir))
+
+
+@query("growth_metrics")
+def q_growth_metrics(spark, sf_dir):
+    return hotspots.growth_metrics(master(spark, sf_dir), P)
+
+
+@query("mega_hotspots")
+def q_mega(spark, sf_dir):
+    return hotspots.mega(master(spark, sf_dir), P)
+
+
+@query("rising_hotspots")
+def q_rising(spark, sf_dir):
+    return hotspots.rising(master(spark, sf_dir), P)
+
+
+@query("tab2_hotplaces")
+def q_tab2(spark, sf_dir):
+    return hotspots.tab2_hotplaces(master(spark, sf_dir), P)
+
+
+# --- Q3 ---------------------------------------------------------------------
+
+R9 = 9  # ratios near 1
+R4 = 4  # money-scale values (cents)
+
+
+def _r(c: str, nd: int = R9):
+    return F.round(c, nd).alias(c)
+
+
+_FEAT = ["mz_share", "rel_vitality", "rel_ticket", "store_lq", "cv", "density"]
+
+
+@query("foot_percentile")
+def q_foot_percentile(spark, sf_dir):
+    return settlement.foot_percentile(master(spark, sf_dir)).select("area_id", "avg_foot",
+                                                                    "foot_pct")
+
+
+@query("settle_label")
+def q_settle_label(spark, sf_dir):
+    t = settlement.settle_label(master(spark, sf_dir), P)
+    return t.select("area_id", "area_name", "area_type", "industry", "stores_y1", "stores_y2",
+                    "closed_y2", "per_store_y2", "fair_per_store_y1", _r("city_close_rate"),
+                    "target")
+
+
+@query("train_features")
+def q_train_features(spark, sf_dir):
+    t = settlement.train_features(master(spark, sf_dir), P)
+    return t.select("area_id", "industry", "area_type", "stores_y1", "target", "foot_pct",
+                    *[_r(c) for c in _FEAT])
+
+
+@query("train_set")
+def q_train_set(spark, sf_dir):
+    t = settlement.train_set(settlement.train_features(master(spark, sf_dir), P), P)
+    return t.select("area_id", "industry", "target", *[_r(c) for c in _FEAT])
+
+
+@query("infer_features")
+def q_infer_features(spark, sf_dir):
+    t = settlement.infer_features(master(spark, sf_dir), P)
+    return t.select("area_id", "industry", "area_type", "stores", "foot_pct", _r("area_stores"),
+                    _r("ticket", R4), *[_r(c) for c in _FEAT])
+
+
+@query("tukey_fences")
+def q_tukey_fences(spark, sf_dir):
+    a = settlement.fenced_alley(master(spark, sf_dir), P)
+    fences = a.select("industry", "sps_q1", "sps_q3", "sales_upper", "tk_q1", "tk_q3",
+                      "ticket_lower", "ticket_upper", "as_q1", "as_q3",
+                      "area_stores_upper").distinct()
+    # industries present before the active-pair filter keep their fences
+    m = master(spark, sf_dir)
+    alley = settlement.infer_features(m, P).filter(F.col("area_type") == P.alley_type)
+    alley = alley.withColumn("sales_per_store", F.col("amt") / F.col("stores"))
+    ind = settlement.industry_fences(alley).withColumn(
+        "ticket_lower", settlement.clip_lower("_tk_lo", P.ticket_floor)).drop("_tk_lo")
+    area_f = fences.select("as_q1", "as_q3", "area_stores_upper").distinct()
+    out = ind.crossJoin(F.broadcast(area_f))
+    return out.select("industry", *[_r(c, R4) for c in ["sps_q1", "sps_q3", "sales_upper", "tk_q1",
+                                                        "tk_q3", "ticket_lower", "ticket_upper"]],
+                      *[_r(c) for c in ["as_q1", "as_q3", "area_stores_upper"]])
+
+
+@query("candidate_filter")
+def q_candidate_filter(spark, sf_dir):
+    c = settlement.candidates(master(spark, sf_dir), P)
+    return c.select("area_id", "industry", "stores", _r("area_stores"), _r("sales_per_store", R4),
+                    _r("ticket", R4), "foot_pct", *[_r(x) for x in _FEAT])
+
+
+def prior_ranking(spark, sf_dir):
+    m = master(spark, sf_dir)
+    train = settlement.train_set(settlement.train_features(m, P), P)
+    cand = model.prior_fit(train, settlement.candidates(m, P))
+    return settlement.recommend(cand)
+
+
+@query("recommend_ranking")
+def q_recommend_ranking(spark, sf_dir):
+    r = prior_ranking(spark, sf_dir)
+    return r.select("area_id", "area_name", "industry",
+                    *[_r(c) for c in ["mz_share", "rel_vitality", "store_lq", "density", "fit",
+                                      "entry", "score"]]).orderBy(F.desc("score"), "area_id",
+                                                                 "industry")
