@@ -108,8 +108,8 @@ def class_report(pred: DataFrame, label: str = "target", pcol: str = "pred") ->
                   F.sum(F.col("precision") * F.col("support")).alias("wp"),
                   F.sum(F.col("recall") * F.col("support")).alias("wr"),
                   F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    acc = c.select((F.col("c00") + F.col("c11")) / (F.col("c00") + F.col("c01") + F.col("c10")
-                                                    + F.col("c11")).alias("acc"))
+    n_all = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
+    acc = c.select(((F.col("c00") + F.col("c11")) / n_all).alias("acc"))
     extra = attach_scalars(tot, acc).select(
         F.explode(F.array(
             F.struct(F.lit("accuracy").alias("cls"), F.col("acc").alias("precision"),

@@ -172,38 +172,58 @@ def infer_features(master: DataFrame, p: Params) -> DataFrame:
     return _fill_median(c, "cv")
 
 
-def industry_fences(alley: DataFrame) -> DataFrame:
+def industry_fences(alley: DataFrame, p: Params) -> DataFrame:
     """Per-industry Tukey fences on sales per store and ticket size."""
     sq = exact_quantiles(alley, "sales_per_store", [0.25, 0.75], ["industry"], ["sps_q1", "sps_q3"])
     tq = exact_quantiles(alley, "ticket", [0.25, 0.75], ["industry"], ["tk_q1", "tk_q3"])
     f = sq.join(tq, "industry", "full")
+    iqr_s, iqr_t = F.col("sps_q3") - F.col("sps_q1"), F.col("tk_q3") - F.col("tk_q1")
     return f.select(
         "industry", "sps_q1", "sps_q3",
-        (F.col("sps_q3") + TUKEY_K * (F.col("sps_q3") - F.col("sps_q1"))).alias("sales_upper"),
+        (F.col("sps_q3") + TUKEY_K * iqr_s).alias("sales_upper"),
         "tk_q1", "tk_q3",
-        (F.col("tk_q3") + TUKEY_K * (F.col("tk_q3") - F.col("tk_q1"))).alias("ticket_upper"),
-        (F.col("tk_q1") - TUKEY_K * (F.col("tk_q3") - F.col("tk_q1"))).alias("_tk_lo"))
+        clip_lower(F.col("tk_q1") - TUKEY_K * iqr_t, p.ticket_floor).alias("ticket_lower"),
+        (F.col("tk_q3") + TUKEY_K * iqr_t).alias("ticket_upper"))
 
 
-def fenced_alley(master: DataFrame, p: Params, cur: DataFrame | None = None) -> DataFrame:
-    """Alley rows with industry fences (computed before the active-pair
-    filter) and the area-size fence (computed after it, over distinct areas)."""
-    cur = cur if cur is not None else infer_features(master, p)
-    alley = (cur.filter(F.col("area_type") == p.alley_type)
-             .withColumn("sales_per_store", safe_div("amt", "stores")))
-    fences = industry_fences(alley)
-    fences = fences.withColumn("ticket_lower", clip_lower("_tk_lo", p.ticket_floor)).drop("_tk_lo")
-    alley = alley.join(_bounded(fences), "industry", "left")
+def alley_rows(cur: DataFrame, p: Params) -> DataFrame:
+    return (cur.filter(F.col("area_type") == p.alley_type)
+            .withColumn("sales_per_store", safe_div("amt", "stores")))
+
+
+def active_pairs(master: DataFrame) -> DataFrame:
+    """Pairs open (stores > 0) in the latest quarter."""
     latest = master.agg(F.max("quarter").alias("_latest"))
-    active = (attach_scalars(master, latest)
-              .filter((F.col("quarter") == F.col("_latest")) & (F.col("stores") > 0))
-              .select(*PAIR))
-    alley = alley.join(active, PAIR, "left_semi")
+    return (attach_scalars(master, latest)
+            .filter((F.col("quarter") == F.col("_latest")) & (F.col("stores") > 0))
+            .select(*PAIR))
+
+
+def area_fence(alley: DataFrame) -> DataFrame:
+    """One-row fence on the total stores of the distinct remaining areas."""
     areas = alley.select("area_id", "area_stores").distinct()
     aq = exact_quantiles(areas, "area_stores", [0.25, 0.75], [], ["as_q1", "as_q3"])
-    aq = aq.withColumn("area_stores_upper",
-                       F.col("as_q3") + TUKEY_K * (F.col("as_q3") - F.col("as_q1")))
-    return attach_scalars(alley, aq)
+    return aq.withColumn("area_stores_upper",
+                         F.col("as_q3") + TUKEY_K * (F.col("as_q3") - F.col("as_q1")))
+
+
+def tukey_fences(master: DataFrame, p: Params, cur: DataFrame | None = None):
+    """(alley rows with all fences, industry fences, area fence).
+
+    Industry fences are computed over all alley rows *before* the active-pair
+    filter; the area fence over distinct areas *after* it.
+    """
+    cur = cur if cur is not None else infer_features(master, p)
+    alley = alley_rows(cur, p)
+    fences = industry_fences(alley, p)
+    alley = alley.join(_bounded(fences), "industry", "left")
+    alley = alley.join(active_pairs(master), PAIR, "left_semi")
+    af = area_fence(alley)
+    return attach_scalars(alley, af), fences, af
+
+
+def fenced_alley(master: DataFrame, p: Params, cur: DataFrame | None = None) -> DataFrame:
+    return tukey_fences(master, p, cur)[0]
 
 
 def candidates(master: DataFrame, p: Params, cur: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import STANDIN
-from .plans import district, hotspots, model, settlement
+from .plans import district, hotspots, model, serving, settlement
+from .operators.joins import attach_scalars
+from .operators.lineage import materialize
 from .sources.standin import standin_master
 
 P = STANDIN
@@ -28,9 +30,16 @@ def query(name: str):
 
 
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lazy master: for queries that read it once."""
     return standin_master(spark, sf_dir, P)
 
 
+def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Master written once to the checkpoint folder: for queries that read it
+    many times (the Q3 chain reads it for labels, features, fences, ranks)."""
+    return materialize(standin_master(spark, sf_dir, P))
+
+
 @query("master_build")
 def q_master_build(spark, sf_dir):
     m = master(spark, sf_dir)
@@ -92,13 +101,13 @@ _FEAT = ["mz_share", "rel_vitality", "rel_ticket", "store_lq", "cv", "density"]
 
 @query("foot_percentile")
 def q_foot_percentile(spark, sf_dir):
-    return settlement.foot_percentile(master(spark, sf_dir)).select("area_id", "avg_foot",
+    return settlement.foot_percentile(master_table(spark, sf_dir)).select("area_id", "avg_foot",
                                                                     "foot_pct")
 
 
 @query("settle_label")
 def q_settle_label(spark, sf_dir):
-    t = settlement.settle_label(master(spark, sf_dir), P)
+    t = settlement.settle_label(master_table(spark, sf_dir), P)
     return t.select("area_id", "area_name", "area_type", "industry", "stores_y1", "stores_y2",
                     "closed_y2", "per_store_y2", "fair_per_store_y1", _r("city_close_rate"),
                     "target")
@@ -106,52 +115,42 @@ def q_settle_label(spark, sf_dir):
 
 @query("train_features")
 def q_train_features(spark, sf_dir):
-    t = settlement.train_features(master(spark, sf_dir), P)
+    t = settlement.train_features(master_table(spark, sf_dir), P)
     return t.select("area_id", "industry", "area_type", "stores_y1", "target", "foot_pct",
                     *[_r(c) for c in _FEAT])
 
 
 @query("train_set")
 def q_train_set(spark, sf_dir):
-    t = settlement.train_set(settlement.train_features(master(spark, sf_dir), P), P)
+    t = settlement.train_set(settlement.train_features(master_table(spark, sf_dir), P), P)
     return t.select("area_id", "industry", "target", *[_r(c) for c in _FEAT])
 
 
 @query("infer_features")
 def q_infer_features(spark, sf_dir):
-    t = settlement.infer_features(master(spark, sf_dir), P)
+    t = settlement.infer_features(master_table(spark, sf_dir), P)
     return t.select("area_id", "industry", "area_type", "stores", "foot_pct", _r("area_stores"),
                     _r("ticket", R4), *[_r(c) for c in _FEAT])
 
 
 @query("tukey_fences")
 def q_tukey_fences(spark, sf_dir):
-    a = settlement.fenced_alley(master(spark, sf_dir), P)
-    fences = a.select("industry", "sps_q1", "sps_q3", "sales_upper", "tk_q1", "tk_q3",
-                      "ticket_lower", "ticket_upper", "as_q1", "as_q3",
-                      "area_stores_upper").distinct()
-    # industries present before the active-pair filter keep their fences
-    m = master(spark, sf_dir)
-    alley = settlement.infer_features(m, P).filter(F.col("area_type") == P.alley_type)
-    alley = alley.withColumn("sales_per_store", F.col("amt") / F.col("stores"))
-    ind = settlement.industry_fences(alley).withColumn(
-        "ticket_lower", settlement.clip_lower("_tk_lo", P.ticket_floor)).drop("_tk_lo")
-    area_f = fences.select("as_q1", "as_q3", "area_stores_upper").distinct()
-    out = ind.crossJoin(F.broadcast(area_f))
-    return out.select("industry", *[_r(c, R4) for c in ["sps_q1", "sps_q3", "sales_upper", "tk_q1",
-                                                        "tk_q3", "ticket_lower", "ticket_upper"]],
-                      *[_r(c) for c in ["as_q1", "as_q3", "area_stores_upper"]])
+    _, fences, af = settlement.tukey_fences(master_table(spark, sf_dir), P)
+    return attach_scalars(fences, af).select(
+        "industry", *[_r(c, R4) for c in ["sps_q1", "sps_q3", "sales_upper", "tk_q1", "tk_q3",
+                                          "ticket_lower", "ticket_upper"]],
+        *[_r(c) for c in ["as_q1", "as_q3", "area_stores_upper"]])
 
 
 @query("candidate_filter")
 def q_candidate_filter(spark, sf_dir):
-    c = settlement.candidates(master(spark, sf_dir), P)
+    c = settlement.candidates(master_table(spark, sf_dir), P)
     return c.select("area_id", "industry", "stores", _r("area_stores"), _r("sales_per_store", R4),
                     _r("ticket", R4), "foot_pct", *[_r(x) for x in _FEAT])
 
 
 def prior_ranking(spark, sf_dir):
-    m = master(spark, sf_dir)
+    m = master_table(spark, sf_dir)
     train = settlement.train_set(settlement.train_features(m, P), P)
     cand = model.prior_fit(train, settlement.candidates(m, P))
     return settlement.recommend(cand)
@@ -164,3 +163,185 @@ def q_recommend_ranking(spark, sf_dir):
                     *[_r(c) for c in ["mz_share", "rel_vitality", "store_lq", "density", "fit",
                                       "entry", "score"]]).orderBy(F.desc("score"), "area_id",
                                                                  "industry")
+
+
+# --- Q3 model (M1-M9) ---------------------------------------------------------
+
+def _train(m: DataFrame) -> DataFrame:
+    return settlement.train_set(settlement.train_features(m, P), P)
+
+
+@query("class_weight")
+def q_class_weight(spark, sf_dir):
+    t = model.class_weights(_train(master_table(spark, sf_dir)))
+    return t.select("area_id", "industry", "target", _r("weight"))
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    t = model.stratified_folds(_train(master_table(spark, sf_dir)), P.folds)
+    return t.select("area_id", "industry", "target", "fold")
+
+
+@query("stratified_holdout")
+def q_stratified_holdout(spark, sf_dir):
+    t = model.stratified_holdout(_train(master_table(spark, sf_dir)), P.holdout)
+    return t.select("area_id", "industry", "target", "is_test")
+
+
+def _unpivot_features(t: DataFrame) -> DataFrame:
+    return t.unpivot(["area_id", "industry", "target"], settlement.FEATURES, "feature", "v")
+
+
+@query("auc_exact")
+def q_auc_exact(spark, sf_dir):
+    """Exact rank-sum AUC of each feature used alone as the score."""
+    u = _unpivot_features(_train(master_table(spark, sf_dir)))
+    a = model.auc_exact(u, "v", "target", ["feature"])
+    return a.select("feature", _r("auc"), "n_pos", "n_neg")
+
+
+def _rule_pred(spark, sf_dir):
+    t = _train(master_table(spark, sf_dir))
+    return t.withColumn("pred", (F.col("rel_vitality") >= 1.0).cast("int"))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    """Confusion counts of the rule 'vitality above the city level'."""
+    return model.confusion(_rule_pred(spark, sf_dir))
+
+
+@query("class_report")
+def q_class_report(spark, sf_dir):
+    r = model.class_report(_rule_pred(spark, sf_dir))
+    return r.select("cls", _r("precision"), _r("recall"), _r("f1"), "support")
+
+
+def gbt_ranking(spark, sf_dir):
+    m = master_table(spark, sf_dir)
+    train = _train(m)
+    fitted = model.fit_gbt(train, P)
+    cand = settlement.candidates(m, P)
+    scored = model.score(fitted, cand).withColumnRenamed("prob", "fit")
+    return settlement.recommend(scored)
+
+
+@query("recommend_gbt")
+def q_recommend_gbt(spark, sf_dir):
+    return gbt_ranking(spark, sf_dir).drop("foot_pct").orderBy(F.desc("score"), "area_id",
+                                                              "industry")
+
+
+@query("gbt_cv_auc")
+def q_gbt_cv_auc(spark, sf_dir):
+    return model.cv_auc(_train(master_table(spark, sf_dir)), P)
+
+
+@query("gbt_holdout_report")
+def q_gbt_holdout_report(spark, sf_dir):
+    t = model.stratified_holdout(_train(master_table(spark, sf_dir)), P.holdout)
+    fitted = model.fit_gbt(t.filter(~F.col("is_test")), P)
+    scored = model.score(fitted, t.filter(F.col("is_test")))
+    auc = model.auc_exact(scored).select(F.lit("auc").alias("cls"), F.col("auc").alias("precision"),
+                                         F.lit(None).cast("double").alias("recall"),
+                                         F.lit(None).cast("double").alias("f1"),
+                                         (F.col("n_pos") + F.col("n_neg")).alias("support"))
+    return model.class_report(scored).unionByName(auc)
+
+
+@query("permutation_importance")
+def q_permutation_importance(spark, sf_dir):
+    train = _train(master_table(spark, sf_dir))
+    fitted = model.fit_gbt(train, P)
+    return model.permutation_importance(fitted, train, P)
+
+
+@query("tree_importance")
+def q_tree_importance(spark, sf_dir):
+    fitted = model.fit_gbt(_train(master_table(spark, sf_dir)), P)
+    return model.tree_importance(fitted, spark)
+
+
+# --- serving (A18-A23) ---------------------------------------------------------
+
+def _tab3(spark, sf_dir, m: DataFrame | None = None):
+    m = m if m is not None else master_table(spark, sf_dir)
+    train = _train(m)
+    ranking = settlement.recommend(model.prior_fit(train, settlement.candidates(m, P)))
+    return serving.tab3_map(m, ranking, P)
+
+
+_T3 = ["mz_share", "rel_vitality", "store_lq", "density", "fit", "entry", "score"]
+
+
+@query("tab3_map")
+def q_tab3_map(spark, sf_dir):
+    t = _tab3(spark, sf_dir)
+    return t.select("area_id", "area_name", "district", "industry", _r("lon", 6), _r("lat", 6),
+                    "monthly_per_store_10k", *[_r(c) for c in _T3])
+
+
+@query("filtered_view")
+def q_filtered_view(spark, sf_dir):
+    v = serving.filtered_view(_tab3(spark, sf_dir))
+    return v.select("area_id", "industry", "monthly_per_store_10k", _r("fit"), _r("entry"),
+                    _r("score"))
+
+
+@query("threshold_slices")
+def q_threshold_slices(spark, sf_dir):
+    s = serving.threshold_slices(_tab3(spark, sf_dir))
+    return s.select("threshold", "n_rows", _r("mean_fit"))
+
+
+@query("kpi_leaders")
+def q_kpi_leaders(spark, sf_dir):
+    return serving.kpi_leaders(district.tab1_gu_summary(master(spark, sf_dir)))
+
+
+@query("kpi_means")
+def q_kpi_means(spark, sf_dir):
+    m = master_table(spark, sf_dir)
+    k = serving.kpi_means(district.tab1_gu_summary(m), hotspots.tab2_hotplaces(m, P),
+                          _tab3(spark, sf_dir, m))
+    return k.select("kpi", _r("value", 6))
+
+
+# --- single primitives --------------------------------------------------------
+
+@query("tm_to_lonlat")
+def q_tm_to_lonlat(spark, sf_dir):
+    from .plans.master import clean_area
+    from .sources.standin import standin_area_raw
+    raw = standin_area_raw(spark, sf_dir)
+    a = clean_area(raw).join(raw.select("area_id", "x", "y"), "area_id")
+    return a.select("area_id", "x", "y", _r("lon", 6), _r("lat", 6))
+
+
+@query("cohort_pairs")
+def q_cohort_pairs(spark, sf_dir):
+    m = settlement.with_year(master(spark, sf_dir))
+    y1 = m.filter(F.col("year") == P.year1)
+    return (y1.groupBy("area_id", "industry").agg(F.count_distinct("quarter").alias("nq"))
+            .filter(F.col("nq") == len(P.year1_quarters)).select("area_id", "industry"))
+
+
+@query("active_pairs")
+def q_active_pairs(spark, sf_dir):
+    return settlement.active_pairs(master(spark, sf_dir)).distinct()
+
+
+@query("quarterly_cv")
+def q_quarterly_cv(spark, sf_dir):
+    m = settlement.with_year(master(spark, sf_dir))
+    return settlement._cv(m.filter(F.col("year") == P.year1)).select("area_id", "industry",
+                                                                      _r("cv"))
+
+
+@query("sample_extract")
+def q_sample_extract(spark, sf_dir):
+    """First 100 master rows in key order (the sample files' structure check)."""
+    m = master(spark, sf_dir)
+    return (m.orderBy("quarter", "area_id", "industry").limit(100)
+            .withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6)))
