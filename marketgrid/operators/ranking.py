@@ -10,8 +10,8 @@ partitions, so a hot group spans many tasks:
    collapses to one row per map task.
 2. ``repartitionByRange(g, v)``: sampled bounds split a large group over many
    partitions; the partition index is taken as a column and the result is
-   checkpointed (reliable storage, so the index is fixed even if an executor
-   is lost and the stage re-runs).
+   written to reliable storage (``lineage.materialize``), so the index is
+   fixed even if an executor is lost and a stage re-runs.
 3. per (partition, g) totals -> running offsets per g ordered by partition
    (at most one row per partition and group);
 4. per (partition, g) running counts inside the partition (bounded by the
@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .lineage import materialize
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -42,15 +42,15 @@ def value_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     Rows with a null order value are ignored (as pandas ranks/quantiles do).
     """
     g, o = list(group_cols), list(order_cols)
-    ensure_checkpoint_dir(df.sparkSession)
     src = df.select(*g, *o)
     for c in o:
         src = src.filter(F.col(c).isNotNull())
     freq = src.groupBy(*g, *o).agg(F.count(F.lit(1)).alias("_n_eq"))
     n = num_partitions or _num_partitions(df)
-    ranged = (freq.repartitionByRange(n, *[F.col(c).asc() for c in g + o])
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    # the partition index must not change between the two reads below, so
+    # the range-partitioned table is written once (also survives lost executors)
+    ranged = materialize(freq.repartitionByRange(n, *[F.col(c).asc() for c in g + o])
+                         .withColumn("_pid", F.spark_partition_id()))
     ptot = ranged.groupBy("_pid", *g).agg(F.sum("_n_eq").alias("_pn"))
     w_off = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     ptot = (ptot.withColumn("_off", F.coalesce(F.sum("_pn").over(w_off), F.lit(0)))

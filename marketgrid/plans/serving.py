@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..config import FIT_SLICES, MEGA_TAG, RISING_TAG, Params
 from ..functions.exprs import quarter_year, safe_div
 from ..operators.joins import attach_scalars
+from ..operators.lineage import materialize
 from ..operators.ranking import exact_median, exact_quantiles
 
 
@@ -41,9 +42,11 @@ def tab3_map(master: DataFrame, ranking: DataFrame, p: Params) -> DataFrame:
     t = (ranking.join(coords, "area_id", "left")
          .join(rev, ["area_id", "industry"], "left")
          .filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()))
-    return t.select("area_id", "area_name", "district", "industry", "lon", "lat",
-                    "monthly_per_store_10k", "mz_share", "rel_vitality", "store_lq", "density",
-                    "fit", "entry", "score")
+    t = t.select("area_id", "area_name", "district", "industry", "lon", "lat",
+                 "monthly_per_store_10k", "mz_share", "rel_vitality", "store_lq", "density",
+                 "fit", "entry", "score")
+    # the serving table is written once; the dashboard figures all read it
+    return materialize(t)
 
 
 def dashboard_frame(tab3: DataFrame) -> DataFrame:

@@ -1,18 +1,29 @@
 """Q3 data preparation: foot-traffic percentile, settlement label, features,
 Tukey fences, candidate filter and the entry/score formula.
 
-All steps are DataFrame aggregations and joins:
-* year-on-year comparison (2nd year vs 1st) is one groupBy per pair with
-  conditional aggregates instead of a self join of two yearly tables;
-* city-wide per-industry figures are groupBy(industry) tables, bounded by the
-  industry list and broadcast; city totals are one-row aggregates attached
-  with a broadcast cross join (never collected to the driver);
-* ranks, medians and quantiles use ``operators.ranking`` (range-partitioned,
-  no group in a single task).
+Plan shape.  The master (one row per quarter × area × industry) is read in
+exactly two passes:
+
+* ``pair_stats``: one groupBy per (area, industry) with conditional
+  aggregates per year and per quarter-of-year — means, sums, sample std,
+  distinct quarters, last open quarter.  Every later per-pair, per-industry
+  or per-area figure (label, both years' features, fences, active pairs) is
+  derived from this table, which is 1/8 of the master and written once
+  (``materialize``) so the many small branches below it re-read it instead of
+  re-aggregating the master;
+* ``foot_percentile``: per-area mean of the per-quarter peak foot traffic,
+  written once, then ranked with the range-partitioned rank operator.
+
+City-wide per-industry figures are groupBy(industry) tables (rows bounded by
+the industry list, broadcast); city totals are one-row aggregates attached by
+a broadcast cross join; medians and quantiles come from
+``operators.ranking`` (no group ever held by one task).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +31,13 @@ from ..config import (ENTRY_DENSITY_WEIGHT, ENTRY_FOOT_TARGET, ENTRY_FOOT_WEIGHT
                       Params)
 from ..functions.exprs import clip_lower, quarter_of_year, quarter_year, safe_div
 from ..operators.joins import attach_scalars
+from ..operators.lineage import materialize
 from ..operators.ranking import exact_median, exact_quantiles, pct_rank_average
 
 FEATURES = ["mz_share", "rel_vitality", "rel_ticket", "store_lq", "cv"]
 PAIR = ["area_id", "industry"]
 PAIR_NAMES = ["area_id", "area_name", "area_type", "industry"]
+YEARS = ("y1", "y2")
 
 
 def with_year(master: DataFrame) -> DataFrame:
@@ -33,62 +46,111 @@ def with_year(master: DataFrame) -> DataFrame:
             .withColumn("qoy", quarter_of_year("quarter")))
 
 
-def foot_percentile(master: DataFrame) -> DataFrame:
+def _qoys(quarters) -> list[int]:
+    return sorted({q % 10 for q in quarters})
+
+
+def pair_stats(master: DataFrame, p: Params) -> DataFrame:
+    """One row per (area, industry): both years' figures in one aggregation."""
+    df = with_year(master)
+    aggs: list[Column] = []
+    for sfx, year in zip(YEARS, (p.year1, p.year2)):
+        c = F.col("year") == year
+
+        def w(col: str, cond: Column = c) -> Column:
+            return F.when(cond, F.col(col))
+
+        aggs += [F.count_distinct(w("quarter")).alias(f"nq_{sfx}"),
+                 F.avg(w("sales_amt")).alias(f"amt_{sfx}"),
+                 F.avg(w("sales_cnt")).alias(f"cnt_{sfx}"),
+                 F.avg(w("amt_20s")).alias(f"amt20_{sfx}"),
+                 F.avg(w("amt_30s")).alias(f"amt30_{sfx}"),
+                 F.avg(w("stores")).alias(f"stores_{sfx}"),
+                 F.sum(w("opened")).alias(f"opened_{sfx}"),
+                 F.sum(w("closed")).alias(f"closed_{sfx}"),
+                 F.stddev_samp(w("sales_amt")).alias(f"std_{sfx}")]
+    # first-year sums per quarter-of-year (for the like-for-like revenue base)
+    for k in _qoys(p.year1_quarters):
+        c = (F.col("year") == p.year1) & (F.col("qoy") == k)
+        aggs += [F.sum(F.when(c, F.col("sales_amt"))).alias(f"f_amt_{k}"),
+                 F.sum(F.when(c, F.col("stores"))).alias(f"f_st_{k}"),
+                 F.count(F.when(c, 1)).alias(f"f_n_{k}")]
+    # second-year row counts per quarter-of-year (which quarters exist)
+    for k in _qoys(p.year2_quarters):
+        c = (F.col("year") == p.year2) & (F.col("qoy") == k)
+        aggs.append(F.count(F.when(c, 1)).alias(f"n2_{k}"))
+    aggs += [F.max("quarter").alias("last_q"),
+             F.max(F.when(F.col("stores") > 0, F.col("quarter"))).alias("last_open_q")]
+    return df.groupBy(*PAIR_NAMES).agg(*aggs)
+
+
+def foot_percentile(master: DataFrame, write: bool = True) -> DataFrame:
     """A10: mean over quarters of the per-quarter peak foot traffic per area,
     then its average-tie percent rank over all areas."""
     per_q = master.groupBy("area_id", "quarter").agg(F.max("foot").alias("q_foot"))
     avg = per_q.groupBy("area_id").agg(F.avg("q_foot").alias("avg_foot"))
+    if write:
+        avg = materialize(avg)
     return pct_rank_average(avg, "avg_foot", [], "foot_pct")
 
 
+@dataclass
+class Q3Base:
+    """The two written inputs of the Q3 chain."""
+    pairs: DataFrame
+    foot: DataFrame
+
+    @classmethod
+    def build(cls, master: DataFrame, p: Params) -> "Q3Base":
+        return cls(materialize(pair_stats(master, p)), materialize(foot_percentile(master)))
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """Broadcast a per-industry table (rows bounded by the industry list)."""
     return F.broadcast(df)
 
 
-def settle_label(master: DataFrame, p: Params) -> DataFrame:
+def _y2_quarter_count(pairs: DataFrame, p: Params) -> DataFrame:
+    """One row: number of distinct second-year quarters-of-year present, and
+    a 0/1 flag per first-year quarter-of-year telling whether it exists in
+    the second year."""
+    ks2 = _qoys(p.year2_quarters)
+    present = pairs.agg(*[F.max(F.when(F.col(f"n2_{k}") > 0, 1).otherwise(0)).alias(f"has2_{k}")
+                          for k in ks2])
+    nq2 = sum((F.col(f"has2_{k}") for k in ks2), F.lit(0)).cast("bigint").alias("nq2")
+    flags = [(F.col(f"has2_{k}") if k in ks2 else F.lit(0)).alias(f"avail_{k}")
+             for k in _qoys(p.year1_quarters)]
+    return present.select(nq2, *flags)
+
+
+def settle_label(pairs: DataFrame, p: Params) -> DataFrame:
     """The cohort's yearly figures and the 0/1 settlement label."""
-    df = with_year(master)
-    y1, y2 = F.col("year") == p.year1, F.col("year") == p.year2
-    n_y1 = len(p.year1_quarters)
-    cohort = (df.filter(y1).groupBy(*PAIR).agg(F.count_distinct("quarter").alias("nq"))
-              .filter(F.col("nq") == n_y1).select(*PAIR))
-    base = df.join(cohort, PAIR, "left_semi")
-
-    def yearly(cond: Column, sfx: str):
-        return [F.avg(F.when(cond, F.col("sales_amt"))).alias(f"amt_{sfx}"),
-                F.avg(F.when(cond, F.col("sales_cnt"))).alias(f"cnt_{sfx}"),
-                F.avg(F.when(cond, F.col("amt_20s"))).alias(f"amt20_{sfx}"),
-                F.avg(F.when(cond, F.col("amt_30s"))).alias(f"amt30_{sfx}"),
-                F.avg(F.when(cond, F.col("stores"))).alias(f"stores_{sfx}"),
-                F.sum(F.when(cond, F.col("opened"))).alias(f"opened_{sfx}"),
-                F.sum(F.when(cond, F.col("closed"))).alias(f"closed_{sfx}")]
-
-    ml = base.groupBy(*PAIR_NAMES).agg(*yearly(y1, "y1"), *yearly(y2, "y2"))
-
-    nq2 = df.filter(y2).agg(F.count_distinct("qoy").alias("nq2"))
-    raw2 = (df.filter(y2).groupBy(*PAIR)
-            .agg(F.sum("closed").alias("cl"), F.avg("stores").alias("st")))
-    city = (attach_scalars(raw2, nq2).groupBy("industry")
-            .agg(F.sum("cl").alias("city_closed"),
-                 F.sum(F.col("st") * F.col("nq2")).alias("city_store_years"))
+    scal = _y2_quarter_count(pairs, p)
+    cohort = pairs.filter(F.col("nq_y1") == len(p.year1_quarters))
+
+    raw2 = pairs.filter(F.col("nq_y2") > 0)
+    city = (attach_scalars(raw2, scal).groupBy("industry")
+            .agg(F.sum("closed_y2").alias("city_closed"),
+                 F.sum(F.col("stores_y2") * F.col("nq2")).alias("city_store_years"))
             .select("industry",
                     safe_div("city_closed", "city_store_years").alias("city_close_rate")))
-    ml = attach_scalars(ml.join(_bounded(city), "industry", "inner"), nq2)
+    ml = attach_scalars(cohort.join(_bounded(city), "industry", "inner"), scal)
+
+    ks = _qoys(p.year1_quarters)
+    def matched(c: str) -> Column:
+        return sum((F.col(f"avail_{k}") * F.coalesce(F.col(f"{c}_{k}"), F.lit(0)) for k in ks),
+                   F.lit(0))
 
-    avail = df.filter(y2).select("qoy").distinct()  # at most 4 rows
-    fair = (df.filter(y1).join(F.broadcast(avail), "qoy", "left_semi")
-            .groupBy(*PAIR).agg(F.avg("sales_amt").alias("a"), F.avg("stores").alias("s"))
-            .select(*PAIR, safe_div("a", "s").alias("fair_per_store_y1")))
-    ml = ml.join(fair, PAIR, "left")
+    s_amt, s_st, s_n = matched("f_amt"), matched("f_st"), matched("f_n")
+    fair = safe_div(safe_div(s_amt, s_n), safe_div(s_st, s_n))
 
     per_store_y2 = safe_div("amt_y2", "stores_y2")
     survival = safe_div("closed_y2", F.col("stores_y2") * F.col("nq2")) <= F.col("city_close_rate")
     persist = F.col("stores_y2") >= F.col("stores_y1") * p.persist_ratio
     revenue = per_store_y2 >= F.col("fair_per_store_y1") * p.revenue_ratio
-    return (ml.withColumn("per_store_y2", per_store_y2)
-            .withColumn("target", F.when(survival & persist & revenue, 1).otherwise(0))
-            .drop("nq2"))
+    return (ml.withColumn("fair_per_store_y1", fair)
+            .withColumn("per_store_y2", per_store_y2)
+            .withColumn("target", F.when(survival & persist & revenue, 1).otherwise(0)))
 
 
 def _industry_ratio(df: DataFrame, num: str, den: str, name: str) -> DataFrame:
@@ -97,44 +159,43 @@ def _industry_ratio(df: DataFrame, num: str, den: str, name: str) -> DataFrame:
         F.when(F.sum(den) > 0, F.sum(num) / F.sum(den)).alias(name))
 
 
-def _cv(df: DataFrame) -> DataFrame:
-    """Coefficient of variation of quarterly sales per pair (sample std)."""
-    return (df.groupBy(*PAIR).agg(F.avg("sales_amt").alias("_m"),
-                                  F.stddev_samp("sales_amt").alias("_s"))
-            .select(*PAIR, safe_div("_s", "_m").alias("cv")))
-
-
 def _fill_median(df: DataFrame, c: str) -> DataFrame:
     med = exact_median(df, c, name="_med")
     return attach_scalars(df, med).withColumn(c, F.coalesce(F.col(c), F.col("_med"))).drop("_med")
 
 
-def train_features(master: DataFrame, p: Params) -> DataFrame:
+def _year_features(base: DataFrame, year_rows: DataFrame, foot: DataFrame, sfx: str) -> DataFrame:
+    """Shared feature block: ``base`` rows get the five features computed
+    against city figures of ``year_rows`` (all pairs active that year)."""
+    amt, cnt, st = f"amt_{sfx}", f"cnt_{sfx}", f"stores_{sfx}"
+    c = base.join(foot, "area_id", "inner")
+    c = (c.withColumn("mz_share", safe_div(F.col(f"amt20_{sfx}") + F.col(f"amt30_{sfx}"), amt))
+         .withColumn("ticket", safe_div(amt, cnt)))
+    ind = (year_rows.groupBy("industry").agg(
+        F.when(F.sum(cnt) > 0, F.sum(amt) / F.sum(cnt)).alias("city_ticket"),
+        F.when(F.sum(st) > 0, F.sum(cnt) / F.sum(st)).alias("city_vitality"),
+        F.sum(st).alias("ind_stores")))
+    total = year_rows.agg(F.sum(st).alias("city_stores"))
+    ind = attach_scalars(ind, total).withColumn(
+        "city_share", safe_div("ind_stores", "city_stores")).drop("ind_stores", "city_stores")
+    c = c.join(_bounded(ind), "industry")
+    c = (c.withColumn("rel_ticket", safe_div("ticket", "city_ticket"))
+         .withColumn("vitality", safe_div(cnt, st))
+         .withColumn("rel_vitality", safe_div("vitality", "city_vitality")))
+    area_st = year_rows.groupBy("area_id").agg(F.sum(st).alias("area_stores"))
+    c = c.join(area_st, "area_id", "inner")
+    c = (c.withColumn("density", F.col("area_stores") / (F.col("avg_foot") + 1))
+         .withColumn("share_in_area", safe_div(st, "area_stores"))
+         .withColumn("store_lq", safe_div("share_in_area", "city_share"))
+         .withColumn("cv", safe_div(f"std_{sfx}", amt)))
+    # written once: the feature table feeds several quantile passes and joins
+    return materialize(_fill_median(c, "cv"))
+
+
+def train_features(base: Q3Base, p: Params) -> DataFrame:
     """Label table plus the five model features from the first year."""
-    df = with_year(master)
-    ml = settle_label(master, p)
-    raw1 = (df.filter(F.col("year") == p.year1).groupBy(*PAIR)
-            .agg(F.avg("sales_amt").alias("amt"), F.avg("sales_cnt").alias("cnt"),
-                 F.avg("stores").alias("st")))
-    ml = ml.join(foot_percentile(master), "area_id", "inner")
-    ml = (ml.withColumn("mz_share", safe_div(F.col("amt20_y1") + F.col("amt30_y1"), "amt_y1"))
-          .withColumn("ticket_y1", safe_div("amt_y1", "cnt_y1")))
-    ml = ml.join(_bounded(_industry_ratio(raw1, "amt", "cnt", "city_ticket")), "industry")
-    ml = ml.withColumn("rel_ticket", safe_div("ticket_y1", "city_ticket"))
-    ml = ml.withColumn("vitality_y1", safe_div("cnt_y1", "stores_y1"))
-    ml = ml.join(_bounded(_industry_ratio(raw1, "cnt", "st", "city_vitality")), "industry")
-    ml = ml.withColumn("rel_vitality", safe_div("vitality_y1", "city_vitality"))
-    area_st = raw1.groupBy("area_id").agg(F.sum("st").alias("area_stores"))
-    ml = ml.join(area_st, "area_id", "inner")
-    ml = ml.withColumn("density", F.col("area_stores") / (F.col("avg_foot") + 1))
-    ml = ml.withColumn("share_in_area", safe_div("stores_y1", "area_stores"))
-    total = raw1.agg(F.sum("st").alias("city_stores"))
-    ind = attach_scalars(raw1.groupBy("industry").agg(F.sum("st").alias("ind_stores")), total)
-    ind = ind.select("industry", (F.col("ind_stores") / F.col("city_stores")).alias("city_share"))
-    ml = ml.join(_bounded(ind), "industry")
-    ml = ml.withColumn("store_lq", safe_div("share_in_area", "city_share"))
-    ml = ml.join(_cv(df.filter(F.col("year") == p.year1)), PAIR, "left")
-    return _fill_median(ml, "cv")
+    ml = settle_label(base.pairs, p)
+    return _year_features(ml, base.pairs.filter(F.col("nq_y1") > 0), base.foot, "y1")
 
 
 def train_set(features: DataFrame, p: Params) -> DataFrame:
@@ -144,32 +205,12 @@ def train_set(features: DataFrame, p: Params) -> DataFrame:
     return t.dropna(subset=["target", *FEATURES])
 
 
-def infer_features(master: DataFrame, p: Params) -> DataFrame:
+def infer_features(base: Q3Base, p: Params) -> DataFrame:
     """The same features from the second year, for every pair."""
-    df = with_year(master)
-    cur = (df.filter(F.col("year") == p.year2).groupBy(*PAIR_NAMES)
-           .agg(F.avg("sales_amt").alias("amt"), F.avg("sales_cnt").alias("cnt"),
-                F.avg("amt_20s").alias("amt20"), F.avg("amt_30s").alias("amt30"),
-                F.avg("stores").alias("stores")))
-    c = cur.join(foot_percentile(master), "area_id", "inner")
-    c = (c.withColumn("mz_share", safe_div(F.col("amt20") + F.col("amt30"), "amt"))
-         .withColumn("ticket", safe_div("amt", "cnt")))
-    c = c.join(_bounded(_industry_ratio(cur, "amt", "cnt", "city_ticket")), "industry")
-    c = c.withColumn("rel_ticket", safe_div("ticket", "city_ticket"))
-    c = c.withColumn("vitality", safe_div("cnt", "stores"))
-    c = c.join(_bounded(_industry_ratio(cur, "cnt", "stores", "city_vitality")), "industry")
-    c = c.withColumn("rel_vitality", safe_div("vitality", "city_vitality"))
-    area_st = cur.groupBy("area_id").agg(F.sum("stores").alias("area_stores"))
-    c = c.join(area_st, "area_id", "inner")
-    c = c.withColumn("density", F.col("area_stores") / (F.col("avg_foot") + 1))
-    total = cur.agg(F.sum("stores").alias("city_stores"))
-    ind = attach_scalars(cur.groupBy("industry").agg(F.sum("stores").alias("ind_stores")), total)
-    ind = ind.select("industry", (F.col("ind_stores") / F.col("city_stores")).alias("city_share"))
-    c = c.withColumn("share_in_area", safe_div("stores", "area_stores"))
-    c = c.join(_bounded(ind), "industry")
-    c = c.withColumn("store_lq", safe_div("share_in_area", "city_share"))
-    c = c.join(_cv(df.filter(F.col("year") == p.year2)), PAIR, "left")
-    return _fill_median(c, "cv")
+    cur = base.pairs.filter(F.col("nq_y2") > 0)
+    c = _year_features(cur, cur, base.foot, "y2")
+    return (c.withColumnRenamed("amt_y2", "amt").withColumnRenamed("cnt_y2", "cnt")
+            .withColumnRenamed("stores_y2", "stores"))
 
 
 def industry_fences(alley: DataFrame, p: Params) -> DataFrame:
@@ -191,12 +232,11 @@ def alley_rows(cur: DataFrame, p: Params) -> DataFrame:
             .withColumn("sales_per_store", safe_div("amt", "stores")))
 
 
-def active_pairs(master: DataFrame) -> DataFrame:
-    """Pairs open (stores > 0) in the latest quarter."""
-    latest = master.agg(F.max("quarter").alias("_latest"))
-    return (attach_scalars(master, latest)
-            .filter((F.col("quarter") == F.col("_latest")) & (F.col("stores") > 0))
-            .select(*PAIR))
+def active_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs open (stores > 0) in the latest quarter of the data."""
+    latest = pairs.agg(F.max("last_q").alias("_latest"))
+    return (attach_scalars(pairs, latest)
+            .filter(F.col("last_open_q") == F.col("_latest")).select(*PAIR))
 
 
 def area_fence(alley: DataFrame) -> DataFrame:
@@ -207,28 +247,24 @@ def area_fence(alley: DataFrame) -> DataFrame:
                          F.col("as_q3") + TUKEY_K * (F.col("as_q3") - F.col("as_q1")))
 
 
-def tukey_fences(master: DataFrame, p: Params, cur: DataFrame | None = None):
+def tukey_fences(base: Q3Base, p: Params, cur: DataFrame | None = None):
     """(alley rows with all fences, industry fences, area fence).
 
     Industry fences are computed over all alley rows *before* the active-pair
     filter; the area fence over distinct areas *after* it.
     """
-    cur = cur if cur is not None else infer_features(master, p)
+    cur = cur if cur is not None else infer_features(base, p)
     alley = alley_rows(cur, p)
     fences = industry_fences(alley, p)
     alley = alley.join(_bounded(fences), "industry", "left")
-    alley = alley.join(active_pairs(master), PAIR, "left_semi")
+    alley = alley.join(active_pairs(base.pairs), PAIR, "left_semi")
     af = area_fence(alley)
     return attach_scalars(alley, af), fences, af
 
 
-def fenced_alley(master: DataFrame, p: Params, cur: DataFrame | None = None) -> DataFrame:
-    return tukey_fences(master, p, cur)[0]
-
-
-def candidates(master: DataFrame, p: Params, cur: DataFrame | None = None) -> DataFrame:
+def candidates(base: Q3Base, p: Params, cur: DataFrame | None = None) -> DataFrame:
     """The eight candidate conditions plus no null feature."""
-    a = fenced_alley(master, p, cur)
+    a = tukey_fences(base, p, cur)[0]
     c = F.col
     keep = ((c("foot_pct") >= p.min_foot_pct) & (c("stores") >= p.min_pair_stores)
             & (c("area_stores") <= c("area_stores_upper"))

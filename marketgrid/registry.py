@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .config import STANDIN
 from .plans import district, hotspots, model, serving, settlement
+from .functions.exprs import safe_div
 from .operators.joins import attach_scalars
 from .operators.lineage import materialize
 from .sources.standin import standin_master
@@ -99,15 +100,21 @@ def _r(c: str, nd: int = R9):
 _FEAT = ["mz_share", "rel_vitality", "rel_ticket", "store_lq", "cv", "density"]
 
 
+def q3_base(spark: SparkSession, sf_dir: str):
+    m = master_table(spark, sf_dir)
+    return m, settlement.Q3Base.build(m, P)
+
+
 @query("foot_percentile")
 def q_foot_percentile(spark, sf_dir):
-    return settlement.foot_percentile(master_table(spark, sf_dir)).select("area_id", "avg_foot",
+    return settlement.foot_percentile(master(spark, sf_dir)).select("area_id", "avg_foot",
                                                                     "foot_pct")
 
 
 @query("settle_label")
 def q_settle_label(spark, sf_dir):
-    t = settlement.settle_label(master_table(spark, sf_dir), P)
+    ps = settlement.pair_stats(master(spark, sf_dir), P)
+    t = settlement.settle_label(ps, P)
     return t.select("area_id", "area_name", "area_type", "industry", "stores_y1", "stores_y2",
                     "closed_y2", "per_store_y2", "fair_per_store_y1", _r("city_close_rate"),
                     "target")
@@ -115,27 +122,32 @@ def q_settle_label(spark, sf_dir):
 
 @query("train_features")
 def q_train_features(spark, sf_dir):
-    t = settlement.train_features(master_table(spark, sf_dir), P)
+    _, base = q3_base(spark, sf_dir)
+    t = settlement.train_features(base, P)
     return t.select("area_id", "industry", "area_type", "stores_y1", "target", "foot_pct",
                     *[_r(c) for c in _FEAT])
 
 
+def _train(base) -> DataFrame:
+    return settlement.train_set(settlement.train_features(base, P), P)
+
+
 @query("train_set")
 def q_train_set(spark, sf_dir):
-    t = settlement.train_set(settlement.train_features(master_table(spark, sf_dir), P), P)
+    t = _train(q3_base(spark, sf_dir)[1])
     return t.select("area_id", "industry", "target", *[_r(c) for c in _FEAT])
 
 
 @query("infer_features")
 def q_infer_features(spark, sf_dir):
-    t = settlement.infer_features(master_table(spark, sf_dir), P)
+    t = settlement.infer_features(q3_base(spark, sf_dir)[1], P)
     return t.select("area_id", "industry", "area_type", "stores", "foot_pct", _r("area_stores"),
                     _r("ticket", R4), *[_r(c) for c in _FEAT])
 
 
 @query("tukey_fences")
 def q_tukey_fences(spark, sf_dir):
-    _, fences, af = settlement.tukey_fences(master_table(spark, sf_dir), P)
+    _, fences, af = settlement.tukey_fences(q3_base(spark, sf_dir)[1], P)
     return attach_scalars(fences, af).select(
         "industry", *[_r(c, R4) for c in ["sps_q1", "sps_q3", "sales_upper", "tk_q1", "tk_q3",
                                           "ticket_lower", "ticket_upper"]],
@@ -144,21 +156,19 @@ def q_tukey_fences(spark, sf_dir):
 
 @query("candidate_filter")
 def q_candidate_filter(spark, sf_dir):
-    c = settlement.candidates(master_table(spark, sf_dir), P)
+    c = settlement.candidates(q3_base(spark, sf_dir)[1], P)
     return c.select("area_id", "industry", "stores", _r("area_stores"), _r("sales_per_store", R4),
                     _r("ticket", R4), "foot_pct", *[_r(x) for x in _FEAT])
 
 
-def prior_ranking(spark, sf_dir):
-    m = master_table(spark, sf_dir)
-    train = settlement.train_set(settlement.train_features(m, P), P)
-    cand = model.prior_fit(train, settlement.candidates(m, P))
+def prior_ranking(base) -> DataFrame:
+    cand = model.prior_fit(_train(base), settlement.candidates(base, P))
     return settlement.recommend(cand)
 
 
 @query("recommend_ranking")
 def q_recommend_ranking(spark, sf_dir):
-    r = prior_ranking(spark, sf_dir)
+    r = prior_ranking(q3_base(spark, sf_dir)[1])
     return r.select("area_id", "area_name", "industry",
                     *[_r(c) for c in ["mz_share", "rel_vitality", "store_lq", "density", "fit",
                                       "entry", "score"]]).orderBy(F.desc("score"), "area_id",
@@ -167,25 +177,21 @@ def q_recommend_ranking(spark, sf_dir):
 
 # --- Q3 model (M1-M9) ---------------------------------------------------------
 
-def _train(m: DataFrame) -> DataFrame:
-    return settlement.train_set(settlement.train_features(m, P), P)
-
-
 @query("class_weight")
 def q_class_weight(spark, sf_dir):
-    t = model.class_weights(_train(master_table(spark, sf_dir)))
+    t = model.class_weights(_train(q3_base(spark, sf_dir)[1]))
     return t.select("area_id", "industry", "target", _r("weight"))
 
 
 @query("stratified_folds")
 def q_stratified_folds(spark, sf_dir):
-    t = model.stratified_folds(_train(master_table(spark, sf_dir)), P.folds)
+    t = model.stratified_folds(_train(q3_base(spark, sf_dir)[1]), P.folds)
     return t.select("area_id", "industry", "target", "fold")
 
 
 @query("stratified_holdout")
 def q_stratified_holdout(spark, sf_dir):
-    t = model.stratified_holdout(_train(master_table(spark, sf_dir)), P.holdout)
+    t = model.stratified_holdout(_train(q3_base(spark, sf_dir)[1]), P.holdout)
     return t.select("area_id", "industry", "target", "is_test")
 
 
@@ -196,13 +202,13 @@ def _unpivot_features(t: DataFrame) -> DataFrame:
 @query("auc_exact")
 def q_auc_exact(spark, sf_dir):
     """Exact rank-sum AUC of each feature used alone as the score."""
-    u = _unpivot_features(_train(master_table(spark, sf_dir)))
+    u = _unpivot_features(_train(q3_base(spark, sf_dir)[1]))
     a = model.auc_exact(u, "v", "target", ["feature"])
     return a.select("feature", _r("auc"), "n_pos", "n_neg")
 
 
 def _rule_pred(spark, sf_dir):
-    t = _train(master_table(spark, sf_dir))
+    t = _train(q3_base(spark, sf_dir)[1])
     return t.withColumn("pred", (F.col("rel_vitality") >= 1.0).cast("int"))
 
 
@@ -219,11 +225,9 @@ def q_class_report(spark, sf_dir):
 
 
 def gbt_ranking(spark, sf_dir):
-    m = master_table(spark, sf_dir)
-    train = _train(m)
-    fitted = model.fit_gbt(train, P)
-    cand = settlement.candidates(m, P)
-    scored = model.score(fitted, cand).withColumnRenamed("prob", "fit")
+    _, base = q3_base(spark, sf_dir)
+    fitted = model.fit_gbt(_train(base), P)
+    scored = model.score(fitted, settlement.candidates(base, P)).withColumnRenamed("prob", "fit")
     return settlement.recommend(scored)
 
 
@@ -235,12 +239,12 @@ def q_recommend_gbt(spark, sf_dir):
 
 @query("gbt_cv_auc")
 def q_gbt_cv_auc(spark, sf_dir):
-    return model.cv_auc(_train(master_table(spark, sf_dir)), P)
+    return model.cv_auc(_train(q3_base(spark, sf_dir)[1]), P)
 
 
 @query("gbt_holdout_report")
 def q_gbt_holdout_report(spark, sf_dir):
-    t = model.stratified_holdout(_train(master_table(spark, sf_dir)), P.holdout)
+    t = model.stratified_holdout(_train(q3_base(spark, sf_dir)[1]), P.holdout)
     fitted = model.fit_gbt(t.filter(~F.col("is_test")), P)
     scored = model.score(fitted, t.filter(F.col("is_test")))
     auc = model.auc_exact(scored).select(F.lit("auc").alias("cls"), F.col("auc").alias("precision"),
@@ -252,24 +256,23 @@ def q_gbt_holdout_report(spark, sf_dir):
 
 @query("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    train = _train(master_table(spark, sf_dir))
+    train = _train(q3_base(spark, sf_dir)[1])
     fitted = model.fit_gbt(train, P)
     return model.permutation_importance(fitted, train, P)
 
 
 @query("tree_importance")
 def q_tree_importance(spark, sf_dir):
-    fitted = model.fit_gbt(_train(master_table(spark, sf_dir)), P)
+    fitted = model.fit_gbt(_train(q3_base(spark, sf_dir)[1]), P)
     return model.tree_importance(fitted, spark)
 
 
 # --- serving (A18-A23) ---------------------------------------------------------
 
-def _tab3(spark, sf_dir, m: DataFrame | None = None):
-    m = m if m is not None else master_table(spark, sf_dir)
-    train = _train(m)
-    ranking = settlement.recommend(model.prior_fit(train, settlement.candidates(m, P)))
-    return serving.tab3_map(m, ranking, P)
+def _tab3(spark, sf_dir, m: DataFrame | None = None, base=None):
+    if m is None:
+        m, base = q3_base(spark, sf_dir)
+    return serving.tab3_map(m, prior_ranking(base), P)
 
 
 _T3 = ["mz_share", "rel_vitality", "store_lq", "density", "fit", "entry", "score"]
@@ -302,9 +305,9 @@ def q_kpi_leaders(spark, sf_dir):
 
 @query("kpi_means")
 def q_kpi_means(spark, sf_dir):
-    m = master_table(spark, sf_dir)
+    m, base = q3_base(spark, sf_dir)
     k = serving.kpi_means(district.tab1_gu_summary(m), hotspots.tab2_hotplaces(m, P),
-                          _tab3(spark, sf_dir, m))
+                          _tab3(spark, sf_dir, m, base))
     return k.select("kpi", _r("value", 6))
 
 
@@ -329,14 +332,14 @@ def q_cohort_pairs(spark, sf_dir):
 
 @query("active_pairs")
 def q_active_pairs(spark, sf_dir):
-    return settlement.active_pairs(master(spark, sf_dir)).distinct()
+    return settlement.active_pairs(settlement.pair_stats(master(spark, sf_dir), P))
 
 
 @query("quarterly_cv")
 def q_quarterly_cv(spark, sf_dir):
-    m = settlement.with_year(master(spark, sf_dir))
-    return settlement._cv(m.filter(F.col("year") == P.year1)).select("area_id", "industry",
-                                                                      _r("cv"))
+    ps = settlement.pair_stats(master(spark, sf_dir), P).filter(F.col("nq_y1") > 0)
+    return ps.select("area_id", "industry",
+                     F.round(safe_div("std_y1", "amt_y1"), R9).alias("cv"))
 
 
 @query("sample_extract")
