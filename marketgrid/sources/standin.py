@@ -124,3 +124,32 @@ def standin_master(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
              .fillna(0, subset=["amt_20s", "amt_30s", "opened", "closed"]))
     area = clean_area(standin_area_raw(spark, sf_dir))
     return facts.join(area, "area_id", "inner").filter(area_ok()).select(*MASTER_COLUMNS)
+
+
+def export_raw_csv(spark: SparkSession, sf_dir: str, out_dir: str, p: Params) -> str:
+    """Write the stand-in sources as raw CSV folders in the source layout:
+    ``sales_<year>.csv`` and ``stores_<year>.csv`` (one Korean-header year and
+    one English-header year with re-ordered columns), ``foot_traffic.csv``
+    and a CP949-encoded ``area.csv`` — the mix the ingest must handle."""
+    from ..config import HEADER_ALIASES
+    ko = {c: pair[0] for c, pair in HEADER_ALIASES.items()}
+    en = {c: pair[1] for c, pair in HEADER_ALIASES.items()}
+    sales, stores, foot, area = standin_sources(spark, sf_dir, p)
+    root = out_dir.rstrip("/")
+
+    def dump(df: DataFrame, names: dict, path: str, encoding: str = "UTF-8", reverse=False):
+        cols = list(reversed(df.columns)) if reverse else df.columns
+        out = df.select(*[F.col(c).cast("string").alias(names[c]) for c in cols])
+        (out.write.mode("overwrite").option("header", True).option("encoding", encoding)
+         .csv(path))
+
+    year = (F.col("quarter") / 10).cast("int")
+    for i, (df, name) in enumerate(((sales, "sales"), (stores, "stores"))):
+        for j, y in enumerate((p.year1, p.year2)):
+            korean = (i + j) % 2 == 0
+            dump(df.filter(year == y), ko if korean else en, f"{root}/{name}_{y}.csv",
+                 reverse=not korean)
+    dump(foot, ko, f"{root}/foot_traffic.csv")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    dump(area, ko, f"{root}/area.csv", encoding="x-windows-949")
+    return root
