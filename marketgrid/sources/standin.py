@@ -79,8 +79,13 @@ def standin_facts(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                   F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("opened"),
                   F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("closed"),
                   F.sum("l_quantity").alias("_qty")))
+    # One exchange on area_id serves both the foot window (quarter, area_id)
+    # and the later join with the area dimension; after aggregation an area
+    # holds at most quarters x industries rows, so hashing by area alone
+    # cannot skew.
     w = Window.partitionBy("quarter", "area_id")
-    return (facts.withColumn("foot", F.sum("_qty").over(w).cast("bigint"))
+    return (facts.repartition("area_id")
+            .withColumn("foot", F.sum("_qty").over(w).cast("bigint"))
             .drop("_qty"))
 
 
