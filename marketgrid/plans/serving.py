@@ -21,24 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FIT_SLICES, MEGA_TAG, RISING_TAG, Params
-from ..functions.exprs import quarter_year, safe_div
+from ..functions.exprs import safe_div
 from ..operators.joins import attach_scalars
 from ..operators.lineage import materialize
 from ..operators.ranking import exact_median, exact_quantiles
 
 
-def tab3_map(master: DataFrame, ranking: DataFrame, p: Params) -> DataFrame:
-    pairs = ranking.select("area_id", "industry")
-    areas = pairs.select("area_id").distinct()
-    coords = (master.join(areas, "area_id", "left_semi").groupBy("area_id")
+def tab3_map(pairs: DataFrame, ranking: DataFrame, p: Params) -> DataFrame:
+    """A18 from the pair table: coordinates per area, second-year monthly
+    revenue per store per pair, joined to the (small) ranking."""
+    keys = ranking.select("area_id", "industry")
+    areas = keys.select("area_id").distinct()
+    coords = (pairs.join(areas, "area_id", "left_semi").groupBy("area_id")
               .agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"),
                    F.max("district").alias("district")))
-    rev = (master.filter(quarter_year("quarter") == p.year2)
-           .join(pairs, ["area_id", "industry"], "left_semi")
-           .groupBy("area_id", "industry")
-           .agg((safe_div(F.sum("sales_amt"), F.sum("stores")) / 3.0).alias("_rev")))
-    rev = rev.select("area_id", "industry",
-                     F.round(F.col("_rev") / 1e4, 0).alias("monthly_per_store_10k"))
+    rev = (pairs.join(keys, ["area_id", "industry"], "left_semi")
+           .select("area_id", "industry",
+                   F.round(safe_div("s_amt_y2", "s_st_y2") / 3.0 / 1e4, 0)
+                   .alias("monthly_per_store_10k")))
     t = (ranking.join(coords, "area_id", "left")
          .join(rev, ["area_id", "industry"], "left")
          .filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()))

@@ -2,7 +2,7 @@
 Tukey fences, candidate filter and the entry/score formula.
 
 Plan shape.  The master (one row per quarter × area × industry) is read in
-exactly two passes:
+one pass:
 
 * ``pair_stats``: one groupBy per (area, industry) with conditional
   aggregates per year and per quarter-of-year — means, sums, sample std,
@@ -11,8 +11,10 @@ exactly two passes:
   derived from this table, which is 1/8 of the master and written once
   (``materialize``) so the many small branches below it re-read it instead of
   re-aggregating the master;
-* ``foot_percentile``: per-area mean of the per-quarter peak foot traffic,
-  written once, then ranked with the range-partitioned rank operator.
+* the per-area foot percentile is derived from the pair table (per-quarter
+  foot columns), so the master is read exactly once; the direct form
+  ``foot_percentile(master)`` is kept for the standalone query and tested
+  equal.
 
 City-wide per-industry figures are groupBy(industry) tables (rows bounded by
 the industry list, broadcast); city totals are one-row aggregates attached by
@@ -79,11 +81,33 @@ def pair_stats(master: DataFrame, p: Params) -> DataFrame:
     for k in _qoys(p.year2_quarters):
         c = (F.col("year") == p.year2) & (F.col("qoy") == k)
         aggs.append(F.count(F.when(c, 1)).alias(f"n2_{k}"))
+    # per-quarter foot traffic (an area-level value repeated on each pair),
+    # second-year revenue sums and coordinates, so that nothing downstream
+    # needs another pass over the master
+    aggs += [F.max(F.when(F.col("quarter") == q, F.col("foot"))).alias(f"foot_{i}")
+             for i, q in enumerate(p.quarters)]
+    y2 = F.col("year") == p.year2
+    aggs += [F.sum(F.when(y2, F.col("sales_amt"))).alias("s_amt_y2"),
+             F.sum(F.when(y2, F.col("stores"))).alias("s_st_y2"),
+             F.max("lon").alias("lon"), F.max("lat").alias("lat"),
+             F.max("district").alias("district")]
     aggs += [F.max("quarter").alias("last_q"),
              F.max(F.when(F.col("stores") > 0, F.col("quarter"))).alias("last_open_q")]
     return df.groupBy(*PAIR_NAMES).agg(*aggs)
 
 
+def area_foot_percentile(pairs: DataFrame, p: Params) -> DataFrame:
+    """A10 from the pair table: per area and quarter the peak foot traffic
+    is the max over the area's pairs; its mean over the quarters present,
+    then the average-tie percent rank over all areas."""
+    n = len(p.quarters)
+    per_area = pairs.groupBy("area_id").agg(*[F.max(f"foot_{i}").alias(f"f{i}") for i in range(n)])
+    total = sum((F.coalesce(F.col(f"f{i}"), F.lit(0)) for i in range(n)), F.lit(0))
+    present = sum((F.col(f"f{i}").isNotNull().cast("int") for i in range(n)), F.lit(0))
+    avg = per_area.select("area_id", (total / present).alias("avg_foot"))
+    return pct_rank_average(avg, "avg_foot", [], "foot_pct")
+
+
 def foot_percentile(master: DataFrame, write: bool = True) -> DataFrame:
     """A10: mean over quarters of the per-quarter peak foot traffic per area,
     then its average-tie percent rank over all areas."""
@@ -102,7 +126,9 @@ class Q3Base:
 
     @classmethod
     def build(cls, master: DataFrame, p: Params) -> "Q3Base":
-        return cls(materialize(pair_stats(master, p)), materialize(foot_percentile(master)))
+        """One pass over the master; both tables written once."""
+        pairs = materialize(pair_stats(master, p))
+        return cls(pairs, materialize(area_foot_percentile(pairs, p)))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -215,9 +241,17 @@ def infer_features(base: Q3Base, p: Params) -> DataFrame:
 
 def industry_fences(alley: DataFrame, p: Params) -> DataFrame:
     """Per-industry Tukey fences on sales per store and ticket size."""
-    sq = exact_quantiles(alley, "sales_per_store", [0.25, 0.75], ["industry"], ["sps_q1", "sps_q3"])
-    tq = exact_quantiles(alley, "ticket", [0.25, 0.75], ["industry"], ["tk_q1", "tk_q3"])
-    f = sq.join(tq, "industry", "full")
+    # both measures in one rank pass: groups are (industry, measure)
+    long = alley.unpivot(["industry"], ["sales_per_store", "ticket"], "_m", "_v")
+    q = exact_quantiles(long, "_v", [0.25, 0.75], ["industry", "_m"], ["_q1", "_q3"])
+
+    def pick(m: str, c: str) -> Column:
+        return F.max(F.when(F.col("_m") == m, F.col(c)))
+
+    f = q.groupBy("industry").agg(pick("sales_per_store", "_q1").alias("sps_q1"),
+                                  pick("sales_per_store", "_q3").alias("sps_q3"),
+                                  pick("ticket", "_q1").alias("tk_q1"),
+                                  pick("ticket", "_q3").alias("tk_q3"))
     iqr_s, iqr_t = F.col("sps_q3") - F.col("sps_q1"), F.col("tk_q3") - F.col("tk_q1")
     return f.select(
         "industry", "sps_q1", "sps_q3",

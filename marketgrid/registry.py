@@ -100,8 +100,9 @@ def _r(c: str, nd: int = R9):
 _FEAT = ["mz_share", "rel_vitality", "rel_ticket", "store_lq", "cv", "density"]
 
 
-def q3_base(spark: SparkSession, sf_dir: str):
-    m = master_table(spark, sf_dir)
+def q3_base(spark: SparkSession, sf_dir: str, m: DataFrame | None = None):
+    """Q3 reads the master once (pair statistics), so it stays lazy here."""
+    m = m if m is not None else master(spark, sf_dir)
     return m, settlement.Q3Base.build(m, P)
 
 
@@ -269,10 +270,10 @@ def q_tree_importance(spark, sf_dir):
 
 # --- serving (A18-A23) ---------------------------------------------------------
 
-def _tab3(spark, sf_dir, m: DataFrame | None = None, base=None):
-    if m is None:
-        m, base = q3_base(spark, sf_dir)
-    return serving.tab3_map(m, prior_ranking(base), P)
+def _tab3(spark, sf_dir, base=None):
+    if base is None:
+        base = q3_base(spark, sf_dir)[1]
+    return serving.tab3_map(base.pairs, prior_ranking(base), P)
 
 
 _T3 = ["mz_share", "rel_vitality", "store_lq", "density", "fit", "entry", "score"]
@@ -305,9 +306,10 @@ def q_kpi_leaders(spark, sf_dir):
 
 @query("kpi_means")
 def q_kpi_means(spark, sf_dir):
-    m, base = q3_base(spark, sf_dir)
+    m = master_table(spark, sf_dir)  # read by three analyses: written once
+    _, base = q3_base(spark, sf_dir, m)
     k = serving.kpi_means(district.tab1_gu_summary(m), hotspots.tab2_hotplaces(m, P),
-                          _tab3(spark, sf_dir, m, base))
+                          _tab3(spark, sf_dir, base))
     return k.select("kpi", _r("value", 6))
 
 

@@ -44,3 +44,14 @@ def test_cv_single_quarter_is_filled_with_median(spark):
     cur = {r.area_id: r for r in settlement.infer_features(base, STANDIN).collect()}
     cvs = sorted(cur[a].cv for a in (1, 2, 3))
     assert cur[9].cv == cvs[1]  # the median of the other three
+
+
+def test_foot_percentile_from_pairs_equals_direct(spark):
+    from helpers import SF_SMALL
+    from marketgrid.sources.standin import standin_master
+    m = standin_master(spark, SF_SMALL, STANDIN)
+    direct = sorted(tuple(r) for r in settlement.foot_percentile(m).select(
+        "area_id", "avg_foot", "foot_pct").collect())
+    via = sorted(tuple(r) for r in settlement.area_foot_percentile(
+        settlement.pair_stats(m, STANDIN), STANDIN).select("area_id", "avg_foot", "foot_pct").collect())
+    assert direct == via and len(direct) > 0
