@@ -120,3 +120,29 @@ def kpi_means(tab1: DataFrame, tab2: DataFrame, tab3: DataFrame) -> DataFrame:
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(n).alias("kpi"), F.col(n).alias("value")) for n in names])).alias("k")
     ).select("k.*")
+
+
+def top_recommendations(tab3: DataFrame, n: int = 15, digits: int = 3) -> DataFrame:
+    """The top-n table by score, ties by key, figures rounded for
+    display (n is the feature here: a top-k report)."""
+    v = dashboard_frame(tab3).filter(F.col("monthly_per_store_10k") > 0)
+    top = v.orderBy(F.desc("score"), "area_id", "industry").limit(n)
+    return top.select("area_id", "area_name", "district", "industry", "monthly_per_store_10k",
+                      *[F.round(c, digits).alias(c) for c in
+                        ("mz_share", "fit", "entry", "score")])
+
+
+def chart_ranges(tab2: DataFrame, tab3: DataFrame, axis_pad: float = 1.08,
+                 min_bubble: float = 300.0) -> DataFrame:
+    """The chart derivations as one row — axis maximum of the
+    first-year/second-year scatter (max of both × 1.08), the smallest
+    bubble after clipping at 300, the fit colour range, and the marker size
+    range (entry·25 + 5) of the map."""
+    a = tab2.agg((F.greatest(F.max("h1_10k"), F.max("h2_10k")) * axis_pad).alias("axis_max"),
+                 F.min(F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(),
+                              F.greatest(F.col("h1_10k"), F.lit(min_bubble)))).alias("min_bubble"))
+    yo = dashboard_frame(tab3).filter(F.col("monthly_per_store_10k") > 0)
+    b = yo.agg(F.min("fit").alias("fit_min"), F.max("fit").alias("fit_max"),
+               F.min(F.col("entry") * 25 + 5).alias("marker_min"),
+               F.max(F.col("entry") * 25 + 5).alias("marker_max"))
+    return attach_scalars(a, b)

@@ -364,3 +364,17 @@ def q_raw_csv_master(spark, sf_dir):
     root = export_raw_csv(spark, sf_dir, table_dir(spark.range(1)), P)
     m = build_master(*read_sources(spark, root), P)
     return m.withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6))
+
+
+@query("top_recommendations")
+def q_top_recommendations(spark, sf_dir):
+    return serving.top_recommendations(_tab3(spark, sf_dir))
+
+
+@query("chart_ranges")
+def q_chart_ranges(spark, sf_dir):
+    m = master_table(spark, sf_dir)  # read by the hot-spot list and the Q3 base
+    _, base = q3_base(spark, sf_dir, m)
+    c = serving.chart_ranges(hotspots.tab2_hotplaces(m, P), _tab3(spark, sf_dir, base))
+    return c.select("axis_max", "min_bubble", _r("fit_min"), _r("fit_max"), _r("marker_min"),
+                    _r("marker_max"))
