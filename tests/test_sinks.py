@@ -15,7 +15,7 @@ def test_master_partitioned_by_quarter_prunes(spark, tmpdir_fresh):
     m = standin_master(spark, SF_SMALL, STANDIN)
     path = os.path.join(tmpdir_fresh, "master")
     write_master(m, path)
-    assert sorted(os.listdir(path))[0].startswith("quarter=")
+    assert any(d.startswith("quarter=") for d in os.listdir(path))
     back = spark.read.parquet(path).filter(F.col("quarter") == STANDIN.quarters[0])
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "quarter" in plan
