@@ -1,8 +1,9 @@
 """Join helpers whose broadcast side has a size bound known from the plan.
 
 * ``attach_scalars``: a global aggregate (no grouping keys) is exactly one
-  row, so broadcasting it is always safe; it replaces a collect-to-driver of
-  city totals (J10) and keeps the job on the executors.
+  row; it is attached as a scalar subquery (evaluated once, partial
+  aggregation on the executors, the value then shipped to every task) —
+  no join, no collect-to-driver of city totals (J10).
 * ``join_bounded``: broadcast a side only when its row count is bounded by a
   parameter list (e.g. one row per listed industry or quarter); anything else
   is left to the planner, which broadcasts only below
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row global aggregate to every row of df."""
-    return df.crossJoin(F.broadcast(one_row))
+    packed = one_row.select(F.struct(*one_row.columns).alias("_scalars")).scalar()
+    return df.withColumn("_scalars", packed).select("*", "_scalars.*").drop("_scalars")
 
 
 def join_bounded(df: DataFrame, small: DataFrame, on, how: str = "inner",

@@ -17,8 +17,8 @@ one pass:
   equal.
 
 City-wide per-industry figures are groupBy(industry) tables (rows bounded by
-the industry list, broadcast); city totals are one-row aggregates attached by
-a broadcast cross join; medians and quantiles come from
+the industry list, broadcast); city totals are one-row aggregates attached as
+scalar subqueries; medians and quantiles come from
 ``operators.ranking`` (no group ever held by one task).
 """
 
