@@ -62,8 +62,7 @@ def pair_stats(master: DataFrame, p: Params) -> DataFrame:
         def w(col: str, cond: Column = c) -> Column:
             return F.when(cond, F.col(col))
 
-        aggs += [F.count_distinct(w("quarter")).alias(f"nq_{sfx}"),
-                 F.avg(w("sales_amt")).alias(f"amt_{sfx}"),
+        aggs += [F.avg(w("sales_amt")).alias(f"amt_{sfx}"),
                  F.avg(w("sales_cnt")).alias(f"cnt_{sfx}"),
                  F.avg(w("amt_20s")).alias(f"amt20_{sfx}"),
                  F.avg(w("amt_30s")).alias(f"amt30_{sfx}"),
@@ -93,7 +92,16 @@ def pair_stats(master: DataFrame, p: Params) -> DataFrame:
              F.max("district").alias("district")]
     aggs += [F.max("quarter").alias("last_q"),
              F.max(F.when(F.col("stores") > 0, F.col("quarter"))).alias("last_open_q")]
-    return df.groupBy(*PAIR_NAMES).agg(*aggs)
+    # distinct quarters per year as a sum of per-quarter presence flags: the
+    # master only holds the listed quarters, and plain max() aggregates avoid
+    # the row-expanding plan of count(distinct) next to other aggregates
+    aggs += [F.max(F.when(F.col("quarter") == q, 1).otherwise(0)).alias(f"_has_{i}")
+             for i, q in enumerate(p.quarters)]
+    out = df.groupBy(*PAIR_NAMES).agg(*aggs)
+    for sfx, year in zip(YEARS, (p.year1, p.year2)):
+        flags = [F.col(f"_has_{i}") for i, q in enumerate(p.quarters) if q // 10 == year]
+        out = out.withColumn(f"nq_{sfx}", sum(flags, F.lit(0)).cast("bigint"))
+    return out.drop(*[f"_has_{i}" for i in range(len(p.quarters))])
 
 
 def area_foot_percentile(pairs: DataFrame, p: Params) -> DataFrame:
