@@ -31,10 +31,6 @@ from pyspark.sql import functions as F
 from .lineage import materialize
 
 
-def _num_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def value_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                     num_partitions: int | None = None) -> DataFrame:
     """Distinct (group, order values) with ``n_before`` (rows of the group
@@ -46,11 +42,14 @@ def value_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     for c in o:
         src = src.filter(F.col(c).isNotNull())
     freq = src.groupBy(*g, *o).agg(F.count(F.lit(1)).alias("_n_eq"))
-    n = num_partitions or _num_partitions(df)
-    # the partition index must not change between the two reads below, so
-    # the range-partitioned table is written once (also survives lost executors)
-    ranged = materialize(freq.repartitionByRange(n, *[F.col(c).asc() for c in g + o])
-                         .withColumn("_pid", F.spark_partition_id()))
+    keys = [F.col(c).asc() for c in g + o]
+    # Without an explicit count AQE may coalesce the range partitions; it only
+    # merges neighbours, so partition ids stay in key order.  The partition
+    # index must not change between the two reads below, so the table is
+    # written once (this also survives lost executors).
+    ranged = (freq.repartitionByRange(num_partitions, *keys) if num_partitions
+              else freq.repartitionByRange(*keys))
+    ranged = materialize(ranged.withColumn("_pid", F.spark_partition_id()))
     ptot = ranged.groupBy("_pid", *g).agg(F.sum("_n_eq").alias("_pn"))
     w_off = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     ptot = (ptot.withColumn("_off", F.coalesce(F.sum("_pn").over(w_off), F.lit(0)))

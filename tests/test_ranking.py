@@ -57,3 +57,22 @@ def test_row_positions_unique_and_dense(spark):
     for _, grp in got.groupby("g"):
         assert sorted(grp["pos"]) == list(range(len(grp)))
         assert (grp.sort_values("k")["pos"].to_numpy() == np.arange(len(grp))).all()
+
+
+@pytest.mark.parametrize("parts", [None, 7])
+def test_value_positions_across_partitions(spark, parts):
+    from marketgrid.operators.ranking import value_positions
+    pdf, df = _frame(spark, n=3000, seed=11)
+    got = value_positions(df, ["g"], ["v"], num_partitions=parts).toPandas()
+    if parts:  # the hot group really spans several range partitions
+        from pyspark.sql import functions as F
+        spread = (df.filter("v is not null").groupBy("g", "v").count()
+                  .repartitionByRange(parts, "g", "v")
+                  .select("g", F.spark_partition_id().alias("p")).distinct()
+                  .filter("g = 0").count())
+        assert spread > 1
+    for _, r in got.iterrows():
+        grp = pdf[(pdf.g == r.g) & pdf.v.notna()]
+        assert r.n_before == (grp.v < r.v).sum()
+        assert r.n_equal == (grp.v == r.v).sum()
+        assert r.n_group == len(grp)
