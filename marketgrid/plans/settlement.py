@@ -202,26 +202,30 @@ def _year_features(base: DataFrame, year_rows: DataFrame, foot: DataFrame, sfx:
     """Shared feature block: ``base`` rows get the five features computed
     against city figures of ``year_rows`` (all pairs active that year)."""
     amt, cnt, st = f"amt_{sfx}", f"cnt_{sfx}", f"stores_{sfx}"
-    c = base.join(foot, "area_id", "inner")
-    c = (c.withColumn("mz_share", safe_div(F.col(f"amt20_{sfx}") + F.col(f"amt30_{sfx}"), amt))
-         .withColumn("ticket", safe_div(amt, cnt)))
     ind = (year_rows.groupBy("industry").agg(
         F.when(F.sum(cnt) > 0, F.sum(amt) / F.sum(cnt)).alias("city_ticket"),
         F.when(F.sum(st) > 0, F.sum(cnt) / F.sum(st)).alias("city_vitality"),
         F.sum(st).alias("ind_stores")))
     total = year_rows.agg(F.sum(st).alias("city_stores"))
-    ind = attach_scalars(ind, total).withColumn(
-        "city_share", safe_div("ind_stores", "city_stores")).drop("ind_stores", "city_stores")
-    c = c.join(_bounded(ind), "industry")
-    c = (c.withColumn("rel_ticket", safe_div("ticket", "city_ticket"))
-         .withColumn("vitality", safe_div(cnt, st))
-         .withColumn("rel_vitality", safe_div("vitality", "city_vitality")))
+    ind = attach_scalars(ind, total).select(
+        "industry", "city_ticket", "city_vitality",
+        safe_div("ind_stores", "city_stores").alias("city_share"))
     area_st = year_rows.groupBy("area_id").agg(F.sum(st).alias("area_stores"))
-    c = c.join(area_st, "area_id", "inner")
-    c = (c.withColumn("density", F.col("area_stores") / (F.col("avg_foot") + 1))
-         .withColumn("share_in_area", safe_div(st, "area_stores"))
-         .withColumn("store_lq", safe_div("share_in_area", "city_share"))
-         .withColumn("cv", safe_div(f"std_{sfx}", amt)))
+    c = (base.join(foot, "area_id", "inner").join(_bounded(ind), "industry")
+         .join(area_st, "area_id", "inner"))
+    ticket, vitality = safe_div(amt, cnt), safe_div(cnt, st)
+    share = safe_div(st, "area_stores")
+    c = c.withColumns({
+        "mz_share": safe_div(F.col(f"amt20_{sfx}") + F.col(f"amt30_{sfx}"), amt),
+        "ticket": ticket,
+        "rel_ticket": safe_div(ticket, "city_ticket"),
+        "vitality": vitality,
+        "rel_vitality": safe_div(vitality, "city_vitality"),
+        "density": F.col("area_stores") / (F.col("avg_foot") + 1),
+        "share_in_area": share,
+        "store_lq": safe_div(share, "city_share"),
+        "cv": safe_div(f"std_{sfx}", amt),
+    })
     # written once: the feature table feeds several quantile passes and joins
     return materialize(_fill_median(c, "cv"))
 
