@@ -14,6 +14,8 @@ import __spark_entry__ as E
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
 TABLES = ["region", "nation", "supplier", "part", "orders", "lineitem"]
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+         "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +35,10 @@ def _norm(rows):
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     s_cols, s_rows = sdf.columns, [tuple(r) for r in sdf.collect()]
+    d_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({ORACLES[name]})").fetchall()}
+    s_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in sdf.schema.fields}
+    assert s_types == d_types
     res = con.execute(ORACLES[name])
     d_cols = [d[0] for d in res.description]
     assert sorted(s_cols) == sorted(d_cols)
