@@ -81,3 +81,21 @@ def partitions_for(df: DataFrame, rows_each: int, least: int = 1) -> int:
     """Number of groups so that each holds about ``rows_each`` rows; counts
     the rows (for a Parquet scan this reads file footers only)."""
     return max(least, -(-df.count() // rows_each))
+
+
+def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list],
+                   column: str = "text") -> DataFrame:
+    """``df`` with the columns ``fields`` ("name type, ...") that ``compute``
+    gives for every Arrow batch; the rows and columns of ``df`` stay."""
+    from pyspark.sql.types import StructType
+    extra = StructType.fromDDL(fields).fields
+    clash = {f.name for f in extra} & set(df.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    names = df.columns + [f.name for f in extra]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, column):
+            yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], names=names)
+
+    return df.mapInArrow(run, StructType(df.schema.fields + extra))

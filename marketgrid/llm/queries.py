@@ -8,14 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from . import bpe_automaton, token_files
+from . import (bpe_automaton, html_text, language_id, packing, quality_rules, token_files,
+               winnowing)
 from .common import documents
 
 #: End-of-document id that op4 appends.
 END_ID = 2
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_and_next(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        winnowing.as_string(F.col("chosen")).alias("fingerprint"),
+        winnowing.as_string(F.col("edited_chosen")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_automaton.round_trip(documents(spark, sf_dir),
                                    public_tokenizers.path("byte_bpe_50k.json"))
@@ -32,13 +40,32 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(documents(spark, sf_dir))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_winnowing": op2_winnowing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_files": op4_token_files,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_html_text": op8_html_text,
+    "op9_language_id": op9_language_id,
+    "op10_packing": op10_packing,
 }
 
 SQL: dict[str, str] = {}
 
-
-def prepare(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
