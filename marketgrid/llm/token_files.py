@@ -43,12 +43,25 @@ MEMO_WORDS = 250_000
 SHARD_DOCS = 8_000
 
 #: Words of these characters are lower-cased one to one and cut the same way
-#: by the pre-tokenizer below, so many of them can be encoded as one text.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Fixed value: the word tokenizer's split pattern, for such characters.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]"
-                     r"|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+#: by the pre-tokenizer, so many of them can be encoded as one text.  (With an
+#: apostrophe the cut depends on more than the classes of characters.)
+_PLAIN = re.compile(r"[ !-&(-~À-ÖØ-öø-ÿ]*")
 _WORD_END = "</w>"
+#: Class of a byte in such text: space 0, letter 1, digit 2, sign 3.
+_CLASS = np.full(256, 1, np.uint8)
+_CLASS[0x21:0x7F] = [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
+                     for b in range(0x21, 0x7F)]
+_CLASS[0x20] = 0
+
+
+def _pieces_by_word(text: bytes) -> np.ndarray:
+    """Running number of pre-tokens at the end of every word of plain text:
+    runs of letters, single digits, runs of signs."""
+    kind = _CLASS[np.frombuffer(text, np.uint8)]
+    begins = kind > 0
+    begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    upto = np.cumsum(begins)
+    return np.append(upto[np.flatnonzero(kind == 0) - 1], upto[-1])
 
 
 class WordEncoder:
@@ -74,41 +87,46 @@ class WordEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            s = w.decode()
-            fits = _PLAIN.fullmatch(s) and not any(a in w.lower() for a in self.added)
-            (plain if fits else other).append((w, s))
-        for k in range(0, len(plain), 2000):
-            part = plain[k:k + 2000]
-            ids = np.array(self.lib.encode_batch_fast(
-                [" ".join([s for _, s in part])], add_special_tokens=False)[0].ids, self.kind)
-            pieces = np.cumsum([len(_PIECES.findall(s)) for _, s in part])
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        for k in range(0, len(words), 1000):
+            found.update(self._learn_some(words[k:k + 1000]))
+        return found
+
+    def _learn_some(self, words: list[bytes]) -> dict[bytes, bytes]:
+        text = b" ".join(words)
+        low = text.lower()
+        if _PLAIN.fullmatch(text.decode()) and not any(a in low for a in self.added):
+            ids = np.array(self.lib.encode_batch_fast([text.decode()], add_special_tokens=False
+                                                      )[0].ids, self.kind)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != pieces[-1]:
-                other += part
-                continue
-            cuts = ends[pieces - 1] * self.kind.itemsize
-            data, at = ids.tobytes(), 0
-            for (w, _), to in zip(part, cuts.tolist()):
-                self.young[w] = data[at:to]
-                at = to
-        if other:
-            found = self.lib.encode_batch_fast([s for _, s in other], add_special_tokens=False)
-            for (w, _), e in zip(other, found):
-                self.young[w] = np.array(e.ids, self.kind).tobytes()
+            pieces = _pieces_by_word(text)
+            if len(pieces) == len(words) and len(ends) == pieces[-1]:
+                data, size = ids.tobytes(), self.kind.itemsize
+                cuts = [0, *(ends[pieces - 1] * size).tolist()]
+                return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
+        plain = [w for w in words if _PLAIN.fullmatch(w.decode())]
+        if 0 < len(plain) < len(words):
+            rest = set(words).difference(plain)
+            return self._learn_some(plain) | self._learn_some(list(rest))
+        coded = self.lib.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, coded)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        docs = []
+        docs, found, need = [], [], set()
         for t in texts:
             low = t.lower()
-            docs.append((t if any(a in low for a in self.added) else low).split())
-        need = set().union(*docs).difference(self.young)
-        for w in need.intersection(self.old):
-            self.young[w] = self.old[w]
-        self._learn(list(need.difference(self.old)))
-        out = [b"".join(map(self.young.__getitem__, d)) for d in docs]
+            words = (t if any(a in low for a in self.added) else low).split()
+            ids = list(map(self.young.get, words))
+            if None in ids:
+                need.update([w for w, x in zip(words, ids) if x is None])
+            docs.append(words)
+            found.append(ids)
+        self.young.update((w, self.old[w]) for w in need if w in self.old)
+        self.young.update(self._learn([w for w in need if w not in self.young]))
+        young = self.young
+        out = [b"".join([young[w] if x is None else x for w, x in zip(words, ids)])
+               if None in ids else b"".join(ids) for words, ids in zip(docs, found)]
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
         return out
