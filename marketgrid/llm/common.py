@@ -1,9 +1,11 @@
-"""Helpers shared by the operators: reading, Arrow slicing, digests."""
+"""Helpers shared by the operators: reading, Arrow slicing, memory of words."""
 
 from __future__ import annotations
 
-import hashlib
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ SLICE_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -53,10 +56,6 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return col.cast(kind).to_pylist()
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 class TwoGenerations(dict):
     """A bounded memo: ``self[key]`` computes missing values with ``make``.
     When the young generation is full it becomes the old one, so keys in
@@ -99,3 +98,18 @@ def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], names=names)
 
     return df.mapInArrow(run, StructType(df.schema.fields + extra))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: the package
+    goes to the executors as a zip file, once per Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_marketgrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="marketgrid-")) / "marketgrid.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._marketgrid_shipped = True

@@ -8,14 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_automaton, html_text, language_id, packing, quality_rules, token_files,
-               winnowing)
-from .common import documents
+from . import (bpe_automaton, html_text, language_id, near_dedup, packing, quality_rules,
+               token_files, winnowing)
+from .common import documents, ship_package
 
 #: End-of-document id that op4 appends.
 END_ID = 2
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), n=2, percent=80)
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_and_next(documents(spark, sf_dir)).select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -45,6 +49,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return html_text.extract(pages).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
@@ -58,6 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_winnowing": op2_winnowing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_files": op4_token_files,
