@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe_automaton, html_text, language_id, near_dedup, packing, quality_rules,
-               token_files, winnowing)
+               substring_dedup, token_files, winnowing)
 from .common import documents, ship_package
 
 #: End-of-document id that op4 appends.
@@ -44,6 +44,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated(documents(spark, sf_dir).select("doc_id", "text"), size=50)
+    return out.select("doc_id", F.col("_n_words").alias("n_words"),
+                      F.col("_n_removed").alias("n_removed"),
+                      F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_winnowing": op2_winnowing,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_token_files": op4_token_files,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_html_text": op8_html_text,
     "op9_language_id": op9_language_id,
