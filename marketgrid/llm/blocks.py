@@ -221,3 +221,13 @@ def shared_anchors(payloads: list[bytes]) -> tuple[list[slice], np.ndarray, np.n
 
 def bits(flags: np.ndarray, places: list[slice]) -> list[bytes]:
     return [np.packbits(flags[p]).tobytes() for p in places]
+
+
+def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
+    """Which of n places lie within ``size`` places from one of ``starts``."""
+    begun = np.zeros(n, np.int32)
+    begun[starts] = 1
+    np.cumsum(begun, out=begun)
+    out = begun > 0
+    out[size:] = begun[size:] != begun[:-size]
+    return out

@@ -82,3 +82,8 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> list[tuple[int, int]]:
     if begin < len(texts):
         out.append((begin, len(texts)))
     return out
+
+
+def byte_values(text: bytes) -> np.ndarray:
+    """The value that stands for each byte in window sums."""
+    return _BYTE[np.frombuffer(text, np.uint8)]

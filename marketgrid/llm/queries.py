@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_automaton, html_text, language_id, near_dedup, packing, quality_rules,
+from . import (bpe_automaton, bwt_dedup, html_text, language_id, near_dedup, packing, quality_rules,
                substring_dedup, token_files, winnowing)
 from .common import documents, ship_package
 
@@ -55,6 +55,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(documents(spark, sf_dir))
 
 
+def op7_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt_dedup.repeated(documents(spark, sf_dir).select("doc_id", "text"), size=50)
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"),
+                      F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"),
+                      F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_bwt_dedup": op7_bwt_dedup,
     "op8_html_text": op8_html_text,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (Anchors, Blocks, KeySet, anchor_messages, bits, grouped, in_order,
-                     shared_anchors, spread)
+from .blocks import (Anchors, Blocks, KeySet, anchor_messages, bits, covered, grouped,
+                     in_order, shared_anchors, spread)
 from .hashing import chunks, window_sums, word_hashes
 
 SIZE = 50
@@ -99,10 +99,7 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
         w, start, doc, known = full_windows(rows, {-1 - b: p for b, p in got.items() if b < 0})
         earlier = known.answers({b: p for b, p in got.items() if b >= 0})[known.of]
         earlier |= w.ids[doc] > w.ids[doc[known.first]][known.of]
-        edge = np.zeros(len(w.values) + 1, np.int32)
-        np.add.at(edge, start[earlier], 1)
-        np.add.at(edge, start[earlier] + size, -1)
-        stays = np.cumsum(edge[:-1]) == 0
+        stays = ~covered(len(w.values), start[earlier], size)
         ends = np.cumsum(w.sizes)
         kept, removed = [], []
         for text, e, n in zip(w.raw, ends.tolist(), w.sizes.tolist()):
