@@ -9,15 +9,22 @@ Sets: the distinct ``n``-word shingles of a lower-cased text.
    equal registers grows with the similarity of two sets.
 2. Equal sets are one class.  For the smallest document of each class, runs
    of ``ROWS`` registers are hashed into ``BANDS`` bucket keys.
-3. Within a bucket every document is compared with the smallest one.  The
-   counts of larger, smaller and equal registers and the two set sizes give
-   the likelihood of every similarity; a pair whose likelihood is greatest
-   below ``LOOSE`` is left out (over five standard deviations below the
-   limit).  The others are confirmed on the full sets.
+3. Within a bucket every document is compared with one leader, the document
+   that meets most others in all its buckets (the middle of a group of near
+   copies).  The counts of larger, smaller and equal registers and the two set
+   sizes give the likelihood of every similarity; where it is greatest below
+   ``LOOSE`` the similarity is only bounded, otherwise it is counted on the
+   full sets.
 4. Links make components.  Buckets that still hold more than one component
-   are opened: their documents of different components and fitting sizes are
-   compared too.  So no confirmed link between documents of a common bucket
-   is lost, and a group of near copies costs one comparison per copy.
+   are opened: documents of different components are compared too, except
+   where sizes or the distances to the leader rule a link out (one minus the
+   Jaccard index is a metric: two documents are no nearer than the difference
+   of their distances).  In buckets of up to ``SMALL`` documents the pairs are
+   joined.  In larger ones the documents outside the bucket's main component
+   are held against all others in blocks of ``BLOCK`` by ``BLOCK``, on sets cut
+   to 32 bits an element (which can only raise a similarity), and just the
+   pairs that reach the limit there go on.  So no confirmed link between
+   documents of a common bucket is lost.
 
 With the defaults two sets at the limit of 0.8 share no bucket with a chance
 of 3e-6, at 0.85 of 1e-8.  Everything that grows with the data stays in
@@ -49,7 +56,8 @@ PERCENT = 80                       # similarity limit
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, STEPS = 1.02, 20.0, 4000
-LOOSE = 0.6
+SMALL, BLOCK = 24, 2000
+LOOSE, MARGIN = 0.45, 0.2       # likely similarity, and over five standard deviations of it
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(
     1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -157,18 +165,21 @@ def sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, elements (binary, sorted unsigned 64-bit)."""
+    """doc_id, elements (binary, sorted unsigned 64-bit), short (their low 32
+    bits, sorted)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             raw = raw_texts(b)
             for lo, hi in hashing.chunks(raw):
+                sets = shingle_sets(raw[lo:hi], n)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo),
-                     pa.array([s.tobytes() for s in shingle_sets(raw[lo:hi], n)], pa.binary())],
-                    names=["doc_id", "elements"])
+                     pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([np.sort(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "elements", "short"])
 
-    return docs.mapInArrow(run, "doc_id bigint, elements binary")
+    return docs.mapInArrow(run, "doc_id bigint, elements binary, short binary")
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -179,8 +190,8 @@ def _with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and registers allow."""
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, near: whether the likely similarity is at least ``LOOSE``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,34 +199,36 @@ def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16)
                         .reshape(-1, REGISTERS) for k in (2, 3)]
                 sizes = [np.asarray(b.column(k)).astype(float) for k in (4, 5)]
-                keep = likely_similarity(*regs, *sizes) >= LOOSE * percent / 80
-                yield b.select(["a", "b"]).filter(pa.array(keep))
+                near = likely_similarity(*regs, *sizes) >= LOOSE
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)],
+                                                 names=["a", "b", "near"])
 
-    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
     return (_with(pairs, sketches, ["regs", "n_shingles"])
-            .filter(100 * small >= percent * large)
             .select("a", "b", "a_regs", "b_regs", "a_n_shingles", "b_n_shingles")
-            .mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(run, "a bigint, b bigint, near boolean"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the limit."""
+def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, either: sizes of intersection and union of the full sets."""
 
-    def reaches(x: bytes, y: bytes) -> bool:
+    def sizes(x: bytes, y: bytes) -> tuple[int, int]:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
         both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        return 100 * both >= percent * (len(x) + len(y) - both)
+        return both, len(x) + len(y) - both
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "a_elements"):
-            keep = [reaches(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found = np.array([sizes(x, y) for x, y in
+                              zip(b.column(2).to_pylist(), b.column(3).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])],
+                names=["a", "b", "both", "either"])
 
     return (_with(pairs, sets, ["elements"]).select("a", "b", "a_elements", "b_elements")
-            .mapInArrow(run, "a bigint, b bigint"))
+            .mapInArrow(run, "a bigint, b bigint, both bigint, either bigint"))
 
 
 def _size_step(n: Column, percent: int) -> Column:
@@ -223,6 +236,76 @@ def _size_step(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
+def joined_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket that sizes and
+    distances allow, by a join; for small buckets."""
+    names = ("doc_id", "component", "low", "high")
+    x = rows.select("key", "step", *[F.col(c).alias("x_" + c) for c in names])
+    y = rows.select("key", F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"),
+                    *[F.col(c).alias("y_" + c) for c in names])
+    reach = 1 - percent / 100 + 1e-9
+    met = x.join(y, (x["key"] == y["key"]) & (x["step"] == y["step"])
+                 & (F.col("x_doc_id") < F.col("y_doc_id"))
+                 & (F.col("x_component") != F.col("y_component"))
+                 & (F.col("x_low") - F.col("y_high") <= reach)
+                 & (F.col("y_low") - F.col("x_high") <= reach))
+    return met.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+
+
+def blocked_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same for large buckets, and only pairs whose cut sets reach the
+    limit.  A bucket's main component is its most frequent one; every link
+    across components has an end outside it, so those ends are held against
+    all documents, block by block."""
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"),
+                                     F.sum("n").alias("n"))
+    main = main.select("key", F.col("top.component").alias("main"),
+                       F.ceil(F.col("n") / BLOCK).cast("int").alias("i_many"),
+                       F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("top.n")) / BLOCK))
+                       .cast("int").alias("j_many"))
+    full = (rows.join(main, "key").join(sets.select("doc_id", "short"), "doc_id")
+            .withColumn("h", F.xxhash64("doc_id")))
+
+    def upto(n: str) -> Column:
+        return F.sequence(F.lit(0), F.col(n) - 1)
+
+    columns = ["key", "i", "j", "asks", "doc_id", "component", "low", "high", "short"]
+    data = (full.withColumn("i", F.pmod("h", F.col("i_many")).cast("int"))
+            .withColumn("j", F.explode(upto("j_many"))).withColumn("asks", F.lit(False)))
+    asks = (full.filter("component <> main").withColumn("i", F.explode(upto("i_many")))
+            .withColumn("j", F.pmod("h", F.col("j_many")).cast("int")).withColumn("asks", F.lit(True)))
+    reach = 1 - percent / 100 + 1e-9
+
+    def compare(block: pa.Table) -> pa.Table:
+        role = np.asarray(block["asks"])
+        doc, component = np.asarray(block["doc_id"]), np.asarray(block["component"])
+        low, high = np.asarray(block["low"]), np.asarray(block["high"])
+        short = [np.frombuffer(x, np.uint32) for x in block["short"].to_pylist()]
+        held = np.flatnonzero(~role)
+        size = np.array([len(short[k]) for k in held])
+        values = np.concatenate([short[k] for k in held]) if len(held) else np.zeros(0, np.uint32)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(held)), size)[order]
+        a, b = [], []
+        for k in np.flatnonzero(role):
+            begin, end = np.searchsorted(values, short[k]), np.searchsorted(values, short[k], "right")
+            many = end - begin
+            at = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
+            both = np.bincount(owner[at], minlength=len(held))
+            both = np.minimum(both, np.minimum(size, len(short[k])))
+            fits = ((100 * both >= percent * (size + len(short[k]) - both))
+                    & (component[held] != component[k])
+                    & (low[held] - high[k] <= reach) & (low[k] - high[held] <= reach))
+            hits = doc[held[fits]]
+            a.append(np.minimum(hits, doc[k]))
+            b.append(np.maximum(hits, doc[k]))
+        return pa.table({"a": np.concatenate(a or [doc[:0]]), "b": np.concatenate(b or [doc[:0]])})
+
+    return (data.select(*columns).union(asks.select(*columns)).groupBy("key", "i", "j")
+            .applyInArrow(compare, "a bigint, b bigint").distinct())
+
+
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links), kept (doc_id = component_id)."""
@@ -234,32 +317,45 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
                                   "doc_id", "left_semi").dropDuplicates(["doc_id"])
                        .select("doc_id", "n_shingles", "regs", "keys"))
     entries = reps.select(F.explode("keys").alias("key"), "doc_id")
-    leaders = (entries.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("top"))
-               .filter("leader < top").drop("top"))
-    members = materialize(entries.join(leaders, "key"))
-    needed = members.select("doc_id").distinct()
-    sets = materialize(full_sets(id_and_text(docs).join(needed, "doc_id", "left_semi")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialize(entries.join(shared, "key"))
+    meets = members.groupBy("doc_id").agg(F.sum("n").alias("meets"))
+    leaders = (members.join(meets, "doc_id").groupBy("key")
+               .agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("minus"))).alias("top"))
+               .select("key", (-F.col("top.minus")).alias("leader")))
+    led = materialize(members.join(leaders, "key").select("key", "doc_id", "leader"))
+    sets = materialize(full_sets(id_and_text(docs).join(meets.select("doc_id"), "doc_id", "left_semi")
                                  .dropDuplicates(["doc_id"]), n))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        return materialize(confirmed(likely(pairs, reps, percent), sets, percent))
-
-    first = links(members.filter("doc_id <> leader")
-                  .select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
+    is_link = 100 * F.col("both") >= percent * F.col("either")
+
+    # every document against the leaders of its buckets
+    with_leader = led.filter("doc_id <> leader").select(F.col("leader").alias("a"),
+                                                        F.col("doc_id").alias("b")).distinct()
+    judged = materialize(likely(with_leader, reps))
+    stars = materialize(counted(judged.filter("near").select("a", "b"), sets))
+    first = stars.filter(is_link).select("a", "b")
     grouped = components(first)
 
-    labelled = (members.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # buckets that hold more than one component
+    labelled = (led.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                 .withColumn("component", F.coalesce("component", "doc_id")))
     mixed = (labelled.groupBy("key").agg(F.min("component").alias("low"),
                                          F.max("component").alias("high"))
              .filter("low < high").select("key"))
+    away = stars.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"),
+                        (1 - F.col("both") / F.col("either")).alias("distance"))
     open_ = materialize(labelled.join(mixed, "key").filter("doc_id <> leader")
+                        .join(away, ["leader", "doc_id"], "left")
                         .join(reps.select("doc_id", "n_shingles"), "doc_id")
-                        .withColumn("step", _size_step(F.col("n_shingles"), percent)))
-    x = open_.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), "step")
-    y = open_.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"),
-                     F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"))
-    more = links(x.join(y, ["key", "step"]).filter("a < b and ca <> cb").select("a", "b").distinct())
+                        .select("key", "doc_id", "component",
+                                _size_step(F.col("n_shingles"), percent).alias("step"),
+                                F.coalesce("distance", F.lit(1 - LOOSE - MARGIN)).alias("low"),
+                                F.coalesce("distance", F.lit(1.0)).alias("high")))
+    sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
+    pairs = joined_pairs(sized.filter(F.col("rows") <= SMALL), percent)
+    near = likely(pairs, reps).filter("near").select("a", "b").union(
+        blocked_pairs(sized.filter(F.col("rows") > SMALL), sets, percent)).distinct()
+    more = materialize(counted(near, sets).filter(is_link).select("a", "b"))
     if not more.isEmpty():
         grouped = components(first.union(more))
 

@@ -57,15 +57,18 @@ def test_odd_rows(odd, empty):
     assert nd.near_duplicates(empty).count() == 0 and nd.keep_one(empty).count() == 0
 
 
-def test_chain_and_large_group(spark):
-    """Links that do not pass through the smallest document of a bucket, and
-    hundreds of near copies."""
+@pytest.mark.parametrize("small, block", [(24, 2000), (2, 16)])
+def test_chain_and_large_group(spark, monkeypatch, small, block):
+    """Links that do not pass through the leader of a bucket, and hundreds of
+    near copies, with buckets compared by joins and by blocks."""
+    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "BLOCK", block)
     rng = np.random.default_rng(0)
     base = [f"w{k}" for k in range(200)]
     rows = []
     for i in range(300):                       # near copies of one text
         w = list(base)
-        for k in rng.integers(0, 200, 6):
+        for k in rng.integers(0, 200, rng.integers(4, 16)):
             w[k] = f"z{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
     chain = [f"c{k}" for k in range(400)]
