@@ -21,7 +21,7 @@ any task may be run again after an executor is lost.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import materialize, table_dir
-from .hashing import window_sums
+from .hashing import mix, window_sums
 
 MESSAGE = "_block int, bucket int, payload binary"
 NEVER = np.iinfo(np.int64).max     # stands for a null doc_id: after all others
 
 
 class Blocks:
-    """``docs`` dealt into blocks; ``count`` blocks and as many key buckets."""
+    """``docs`` dealt into ``count`` blocks, with ``buckets`` buckets of keys
+    (fewer, so that messages do not become tiny)."""
 
     def __init__(self, docs: DataFrame, bytes_each: int):
         spark = docs.sparkSession
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.count = max(1, -(-int(total) // bytes_each))
+        self.buckets = -(-self.count // 4)
         dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(self.count)).cast("int"))
         self.name = f"marketgrid_blocks_{uuid.uuid4().hex}"
         (dealt.repartition(self.count, "_block").write.format("parquet")
@@ -123,21 +125,38 @@ class Anchors:
     The anchor of a window is its smallest hash of ``part`` values in a row.
     Equal windows have equal anchors wherever they stand, and neighbouring
     windows mostly share theirs, so few anchors stand for all windows.
+    ``pieces``: (values, number of values per document) of whole documents.
     ``start``, ``many``: first window and number of windows of every run with
     one anchor; ``key``: the anchor; ``doc``: index of the document."""
 
-    def __init__(self, values: np.ndarray, sizes: np.ndarray, size: int, part: int):
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        last = np.repeat(np.cumsum(sizes), sizes) - size
-        least = sliding_min(window_sums(values, part), size - part + 1)[:max(0, len(values) - size + 1)]
-        n = len(least)
-        doc, inside = doc[:n], np.arange(n) <= last[:n]
-        new = np.ones(n, bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-        self.start = np.flatnonzero(new & inside)
-        ends = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1 if n else self.start
-        self.many = ends - self.start
-        self.key, self.doc = least[self.start], doc[self.start]
+    def __init__(self, pieces: Iterable[tuple[np.ndarray, np.ndarray]], size: int, part: int):
+        found, at, docs = [], 0, 0
+        for values, sizes in pieces:
+            start, many, key = _runs(values, sizes, size, part)
+            doc = np.searchsorted(np.cumsum(sizes), start, "right")
+            found.append((start + at, many, key, doc + docs))
+            at, docs = at + len(values), docs + len(sizes)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64),
+                np.zeros(0, np.int64))
+        self.start, self.many, self.key, self.doc = (
+            np.concatenate(c) for c in zip(none, *found))
+
+
+def _runs(values, sizes, size, part):
+    # sums of random values are random enough to choose by; keys are mixed
+    least = sliding_min(window_sums(values, part, mixed=False), size - part + 1)
+    n = max(0, len(values) - size + 1)
+    least = least[:n]
+    new = np.ones(n, bool)
+    new[1:] = least[1:] != least[:-1]
+    inside = np.ones(n, bool)
+    for e in np.cumsum(sizes).tolist():
+        inside[max(0, e - size + 1):e] = False       # would cross into the next document
+        if e < n:
+            new[e] = True
+    start = np.flatnonzero(new & inside)
+    stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)[:n]) + 1
+    return start, stop - start, mix(least[start])
 
 
 class KeySet:

@@ -3,7 +3,8 @@
 A byte is removed if it is covered by a string of ``size`` bytes that also
 starts in a document with a smaller doc_id.
 
-1. Windows that cannot repeat are set aside: every window of ``size`` bytes is
+1. Of equal texts the one with the smallest doc_id goes on; the others, if
+   long enough, go whole.  Windows that cannot repeat are set aside: every window of ``size`` bytes is
    stood for by the smallest hash of ``PART`` bytes in it (equal windows
    choose equally), and hashes found in one document only are dropped.
 2. Neighbouring windows with one surviving hash make a snippet of text.
@@ -36,16 +37,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import (Anchors, Blocks, KeySet, anchor_messages, covered, grouped, in_order,
-                     shared_anchors)
-from .hashing import byte_values, window_sums
+from .blocks import (Anchors, Blocks, KeySet, anchor_messages, bits, covered, grouped, in_order,
+                     shared_anchors, spread)
+from .hashing import byte_values, chunks, mix, window_sums
 
 SIZE, PART = 50, 20
 BLOCK_BYTES = 2 << 20
+PIECE = 128 << 10                   # bytes hashed at once
 SHARD = 64 << 10
 #: Blocks that hold a hash before its windows are sent one by one.
 MANY_BLOCKS = 64
@@ -206,23 +209,43 @@ def decide_windows(payloads: list[bytes], size: int, shard_bytes: int = SHARD) -
 
 
 class _Bytes:
-    """The bytes of a block and their anchors."""
+    """The bytes of a block.  Texts that are copies of an earlier document's
+    are left out of ``text`` once ``without_copies`` knows them."""
 
     def __init__(self, rows: pa.Table, size: int, buckets: int):
         self.rows, self.ids, self.raw = in_order(rows)
-        self.text = b"".join(self.raw)
-        self.sizes = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
         self.size, self.buckets = size, buckets
-        self.values = byte_values(self.text)
-        self.anchors = Anchors(self.values, self.sizes, size, min(PART, size))
+        long = [k for k, t in enumerate(self.raw) if len(t) >= size]
+        self.long = np.array(long, np.int64)
+        digests = b"".join([xxhash.xxh3_128_digest(self.raw[k]) for k in long])
+        a, b = np.frombuffer(digests, np.uint64).reshape(-1, 2).T
+        self.second = b
+        self.texts = KeySet(a ^ mix(b), buckets)     # one key per distinct text
+
+    def text_messages(self) -> list[tuple[int, bytes]]:
+        first = self.texts.first                     # ids ascend, so the smallest id
+        return [(b, self.texts.keys[p].tobytes() + self.second[first[p]].tobytes()
+                 + self.ids[self.long[first[p]]].tobytes()) for b, p in self.texts.parts]
+
+    def without_copies(self, got: dict[int, bytes]) -> None:
+        owner = self.ids[self.long[self.texts.first]]
+        copy = self.texts.answers(got)[self.texts.of]
+        copy |= self.ids[self.long] > owner[self.texts.of]
+        self.copy = np.zeros(len(self.raw), bool)
+        self.copy[self.long[copy]] = True
+        own = [b"" if c else t for t, c in zip(self.raw, self.copy.tolist())]
+        self.sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.text = b"".join(own)
+        pieces = ((byte_values(b"".join(own[a:b])), self.sizes[a:b])
+                  for a, b in chunks(own, PIECE))
+        self.anchors = Anchors(pieces, self.size, min(PART, self.size))
 
     def snippets(self, got: dict[int, bytes]) -> None:
         """Distinct snippets below shared anchors: ``known`` in bucket order,
         with ``key``, ``owner`` and ``parts``; per run ``of``, the snippet."""
-        a, size = self.anchors, self.size
+        a, size, text = self.anchors, self.size, self.text
         keys = KeySet(a.key, self.buckets)
-        flags = {b: p for b, p in got.items()}
-        shared, split = _two_flags(keys, flags)
+        shared, split = _two_flags(keys, got)
         once = np.flatnonzero(shared[keys.of] & ~split[keys.of])
         start, many, key, doc = a.start[once], a.many[once], a.key[once], a.doc[once]
         apart = np.flatnonzero(split[keys.of])
@@ -231,12 +254,11 @@ class _Bytes:
             first = np.repeat(a.start[apart] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             start = np.concatenate([start, first])
             many = np.concatenate([many, np.ones(len(first), np.int64)])
-            key = np.concatenate([key, window_sums(self.values, size)[first]])
+            key = np.concatenate([key, window_sums(byte_values(text), size)[first]])
             doc = np.concatenate([doc, np.repeat(a.doc[apart], n)])
             order = np.argsort(start, kind="stable")
             start, many, key, doc = start[order], many[order], key[order], doc[order]
         number: dict[bytes, int] = {}
-        text = self.text
         of = np.array([number.setdefault(text[s:e], len(number)) for s, e in
                        zip(start.tolist(), (start + many + size - 1).tolist())], np.int64)
         first = grouped(of)
@@ -268,10 +290,34 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES,
     """All columns of ``docs`` with _n_bytes, _n_removed, _n_spans (runs of
     removed bytes) and _kept (binary, the bytes that stay)."""
     blocks = Blocks(docs, bytes_each)
-    buckets = blocks.count
+    buckets = blocks.buckets
+
+    def later(answers: DataFrame, by: int) -> DataFrame:
+        """Answers of an earlier step, under bucket numbers of their own."""
+        return answers.select("_block", (F.col("bucket") - by * buckets).alias("bucket"), "payload")
+
+    def of_step(got: dict[int, bytes], by: int) -> dict[int, bytes]:
+        return {k + by * buckets: p for k, p in got.items()
+                if -by * buckets <= k < (1 - by) * buckets}
+
+    def send_texts(rows, got):
+        return _Bytes(rows, size, buckets).text_messages()
+
+    def decide_texts(payloads):
+        fields = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in payloads]
+        a, b, owner = np.concatenate(fields, 1)
+        owner = owner.view(np.int64)
+        order = np.lexsort((b, a))                   # all 128 bits count
+        new = np.ones(len(a), bool)
+        new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+        begin = np.flatnonzero(new)
+        least = spread(np.minimum.reduceat(owner[order], begin), begin, order)
+        ends = np.cumsum([f.shape[1] for f in fields])
+        return bits(least < owner, [slice(e - f.shape[1], e) for f, e in zip(fields, ends)])
 
     def send_anchors(rows, got):
         b = _Bytes(rows, size, buckets)
+        b.without_copies(of_step(got, 1))
         return anchor_messages(b.anchors, b.ids, buckets)[1]
 
     def decide_anchors(payloads):
@@ -281,25 +327,28 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES,
 
     def send_snippets(rows, got):
         b = _Bytes(rows, size, buckets)
-        b.snippets(got)
+        b.without_copies(of_step(got, 2))
+        b.snippets(of_step(got, 1))
         return [(k, _pack(b.known[p], b.key[p], b.owner[p])) for k, p in b.parts]
 
-    anchors = blocks.ask(send_anchors, decide_anchors)
-    windows = blocks.ask(send_snippets, lambda payloads: decide_windows(payloads, size), anchors)
-    # the last step needs both answers; those about anchors under negative numbers
-    both = anchors.select("_block", (-1 - F.col("bucket")).alias("bucket"), "payload").union(windows)
+    copies = blocks.ask(send_texts, decide_texts)
+    anchors = blocks.ask(send_anchors, decide_anchors, later(copies, 1))
+    windows = blocks.ask(send_snippets, lambda payloads: decide_windows(payloads, size),
+                         later(copies, 2).union(later(anchors, 1)))
+    every = later(copies, 2).union(later(anchors, 1)).union(windows)
 
     def use(rows, got):
         b = _Bytes(rows, size, buckets)
-        b.snippets({-1 - k: p for k, p in got.items() if k < 0})
+        b.without_copies(of_step(got, 2))
+        b.snippets(of_step(got, 1))
         first = np.cumsum(b.windows) - b.windows
-        bits = np.zeros(int(b.windows.sum()), bool)
+        flags = np.zeros(int(b.windows.sum()), bool)
         for k, p in b.parts:
             n = int(b.windows[p].sum())
-            bits[first[p.start]:first[p.start] + n] = np.unpackbits(
+            flags[first[p.start]:first[p.start] + n] = np.unpackbits(
                 np.frombuffer(got[k], np.uint8), count=n)
         step = np.arange(int(b.many.sum())) - np.repeat(np.cumsum(b.many) - b.many, b.many)
-        earlier = bits[np.repeat(first[b.of], b.many) + step]
+        earlier = flags[np.repeat(first[b.of], b.many) + step]
         earlier |= np.repeat(b.ids[b.doc] > b.owner[b.of], b.many)
         starts = (np.repeat(b.start, b.many) + step)[earlier]
         out = covered(len(b.text), starts, size)
@@ -310,13 +359,13 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES,
         begins[heads] = out[heads]
         text = np.frombuffer(b.text, np.uint8)
         kept, removed, spans = [], [], []
-        for raw, e, n in zip(b.raw, ends.tolist(), b.sizes.tolist()):
+        for raw, copy, e, n in zip(b.raw, b.copy.tolist(), ends.tolist(), b.sizes.tolist()):
             own = out[e - n:e]
-            gone = int(own.sum())
-            kept.append(text[e - n:e][~own].tobytes() if gone else raw)
+            gone = len(raw) if copy else int(own.sum())
+            kept.append(b"" if copy else text[e - n:e][~own].tobytes() if gone else raw)
             removed.append(gone)
-            spans.append(int(begins[e - n:e].sum()))
-        return b.rows, [pa.array(b.sizes), pa.array(removed, pa.int64()),
+            spans.append(1 if copy else int(begins[e - n:e].sum()))
+        return b.rows, [pa.array([len(t) for t in b.raw], pa.int64()), pa.array(removed, pa.int64()),
                         pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
 
-    return blocks.finish(use, both, "_n_bytes bigint, _n_removed bigint, _n_spans bigint, _kept binary")
+    return blocks.finish(use, every, "_n_bytes bigint, _n_removed bigint, _n_spans bigint, _kept binary")

@@ -61,14 +61,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.searchsorted(start, bounds), prepend=0)
 
 
-def window_sums(values: np.ndarray, size: int) -> np.ndarray:
+def window_sums(values: np.ndarray, size: int, mixed: bool = True) -> np.ndarray:
     """Position-free hash of every run of ``size`` values."""
     n = len(values)
     if n < size:
         return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * _power("up", n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * _power("down", n - size + 1))
+    found = sums[size:] - sums[:-size]
+    found *= _power("down", n - size + 1)
+    return mix(found) if mixed else found
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK) -> list[tuple[int, int]]:

@@ -43,7 +43,7 @@ class _Words:
         parts = [word_hashes(self.raw[a:b]) for a, b in chunks(self.raw)]
         self.values = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
         self.sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-        self.anchors = Anchors(self.values, self.sizes, size, -(-size // 2))
+        self.anchors = Anchors(parts, size, -(-size // 2))
 
     def candidates(self, shared: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, keys and documents of the full windows below shared anchors."""
@@ -60,7 +60,7 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
     if size < 2:
         raise ValueError("size must be at least 2")
     blocks = Blocks(docs, bytes_each)
-    buckets = blocks.count
+    buckets = blocks.buckets
 
     def send_halves(rows, got):
         w = _Words(rows, size)
