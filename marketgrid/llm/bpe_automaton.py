@@ -47,7 +47,7 @@ SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 #: Words remembered per generation in a worker.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:

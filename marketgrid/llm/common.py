@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest text payload handled at once inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+#: Rows per Arrow batch, unless the session says otherwise: documents are large.
+BATCH_ROWS, _SETTING = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +84,12 @@ def partitions_for(df: DataFrame, rows_each: int, least: int = 1) -> int:
     return max(least, -(-df.count() // rows_each))
 
 
-def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list],
+def append_columns(df: DataFrame, fields: str,
+                   make: Callable[[], Callable[[pa.RecordBatch], list]],
                    column: str = "text") -> DataFrame:
-    """``df`` with the columns ``fields`` ("name type, ...") that ``compute``
-    gives for every Arrow batch; the rows and columns of ``df`` stay."""
+    """``df`` with the columns ``fields`` ("name type, ...") that ``make()``,
+    called once per task, gives for every Arrow batch; the rows and columns
+    of ``df`` stay."""
     from pyspark.sql.types import StructType
     extra = StructType.fromDDL(fields).fields
     clash = {f.name for f in extra} & set(df.columns)
@@ -94,6 +98,7 @@ def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
     names = df.columns + [f.name for f in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
         for b in slices(batches, column):
             yield pa.RecordBatch.from_arrays([*b.columns, *compute(b)], names=names)
 
@@ -102,7 +107,10 @@ def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
 
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: the package
-    goes to the executors as a zip file, once per Spark application."""
+    goes to the executors as a zip file, once per Spark application.  Arrow
+    batches of the default number of rows are made smaller."""
+    if spark.conf.get(_SETTING) == "10000":
+        spark.conf.set(_SETTING, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_marketgrid_shipped", False):
         return

@@ -7,7 +7,7 @@ A document's distribution pools the log probabilities of all its positions
 through time, on a bounded sample of labelled documents.
 
 State starts anew at every word, so equal words have equal labels: each
-distinct word is run through the network once per worker memory, whatever the
+distinct word is run through the network once per task's memory, whatever the
 number of documents, and the whole of every text counts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0;
@@ -31,7 +31,7 @@ from .common import append_columns, texts
 TRAIN_DOCS, TRAIN_CHARS = 2_000, 4_000
 HIDDEN, STEPS, BATCH, RATE = 12, 260, 512, 0.02
 PIECE = 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -247,22 +247,20 @@ class Labeller:
         return labels, sure
 
 
-_labellers: dict[int, Labeller] = {}
-
-
 def predict(docs: DataFrame, net: Network, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its probability.  Only the
     text is read."""
-    key = hash(tuple(v.tobytes() for v in net.weights.values()))
 
-    def compute(b: pa.RecordBatch) -> list:
-        if key not in _labellers:                # one per worker and network
-            _labellers.clear()
-            _labellers[key] = Labeller(net)
-        labels, sure = _labellers[key].predict(texts(b))
-        return [pa.array(labels, pa.string()), pa.array(sure, pa.float64())]
+    def make():
+        labeller = Labeller(net)                 # its memory ends with the task
+
+        def compute(b: pa.RecordBatch) -> list:
+            labels, sure = labeller.predict(texts(b))
+            return [pa.array(labels, pa.string()), pa.array(sure, pa.float64())]
+
+        return compute
 
-    return append_columns(docs, f"{label} string, {score} double", compute)
+    return append_columns(docs, f"{label} string, {score} double", make)
 
 
 def identify(docs: DataFrame) -> DataFrame:

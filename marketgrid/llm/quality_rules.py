@@ -88,7 +88,7 @@ def measure(docs: DataFrame) -> DataFrame:
         table = np.array([counts(t) for t in texts(b)], np.int64).reshape(-1, len(_COUNTS))
         return [pa.array(table[:, k]) for k in range(len(_COUNTS))]
 
-    return append_columns(docs, ", ".join(f"{_TAG}{c} bigint" for c in _COUNTS), compute)
+    return append_columns(docs, ", ".join(f"{_TAG}{c} bigint" for c in _COUNTS), lambda: compute)
 
 
 def _count(name: str) -> Column:
