@@ -16,12 +16,13 @@ starts in a document with a smaller doc_id.
    ``SHARD`` bytes, and each shard gets its suffixes sorted to ``size`` bytes
    and its Burrows-Wheeler transform.  The shards are then merged without
    sorting their suffixes again: an interleave, which names the shard of each
-   place in the merged order, is refined by two symbols at a time: the places
-   are dealt stably by the two symbols that precede them in the transform.
-   After t rounds it orders the suffixes of all shards by their first 2t
-   symbols, and the places where a new prefix begins are known, which is what
-   common prefix lengths capped at 2t say.  After size / 2 rounds the runs
-   without a new prefix are the intervals of equal strings of ``size`` bytes.
+   place in the merged order, starts from the shards' sorted first 8 symbols
+   and is refined by two symbols at a time: the places are dealt stably by the
+   two symbols that precede them in the transform.  After t rounds it orders
+   the suffixes of all shards by their first 8 + 2t symbols, and the places
+   where a new prefix begins are known, which is what common prefix lengths
+   capped there say.  At ``size`` symbols the runs without a new prefix are the
+   intervals of equal strings of ``size`` bytes.
 4. The smallest doc_id of each interval goes back as one bit per window.
 
 A snippet whose hash no other snippet shares needs no merge: its windows
@@ -59,7 +60,8 @@ END = 0xFF                          # ends a snippet; never a byte of UTF-8
 
 class Shard:
     """Snippets with their suffixes sorted to ``size`` symbols.  ``suffix``:
-    places in the text; ``pair``: the two symbols before each suffix."""
+    places in the text; ``word``: the first 8 symbols (or ``size``) of each;
+    ``pair``: the two symbols before each."""
 
     def __init__(self, snippets: list[bytes], size: int):
         text = np.frombuffer(bytes([END]).join(snippets) + bytes([END]), np.uint8)
@@ -70,37 +72,31 @@ class Shard:
         # symbols of the rotation of each snippet: before its begin comes its end
         one = np.where(place - 1 < begin, place - 1 + np.repeat(lengths, lengths), place - 1)
         two = one[one]
-        width = -(-size // 8)
-        padded = np.concatenate([text, np.full(8 * width, END, np.uint8)])
-        words = np.ndarray((len(text) + 8 * (width - 1),), ">u8", padded.tobytes(), strides=(1,))
-        # what stands behind a snippet's end orders no whole window
-        keys = [words[8 * k:8 * k + len(text)].astype(np.uint64) for k in range(width)]
-        if size % 8:
-            keys[-1] = keys[-1] >> np.uint64(8 * (8 - size % 8))
-        order = np.argsort(keys[0], kind="stable")
-        group = keys[0][order]
-        tied = np.ones(len(order), bool)
-        for key in keys[1:]:
-            order, group = _refine(order, group, key)
-        self.suffix = order
+        # order by the first 8 symbols, then by twice as many from the ranks of
+        # two halves; what stands behind a snippet's end orders no whole window
+        padded = np.concatenate([text, np.full(8, END, np.uint8)])
+        words = np.ndarray((len(text),), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+        known = min(8, size)
+        words >>= np.uint64(64 - 8 * known)
+        order, rank = _ranked(words)
+        while known < size:
+            step = min(known, size - known)
+            behind = np.zeros(len(rank), np.int64)
+            behind[:-step] = rank[step:]
+            order, rank = _ranked(rank * np.int64(len(rank) + 1) + behind)
+            known += step
+        self.suffix, self.word = order, words[order]
         self.pair = text[two[order]].astype(np.uint16) << 8 | text[one[order]]
         self.text, self.ends = text, ends
 
 
-def _refine(order, group, key):
-    """Sort within groups of equals by another key."""
-    new = np.ones(len(order), bool)
-    new[1:] = group[1:] != group[:-1]
-    rank = np.cumsum(new) - 1
-    alone = new & np.append(new[1:], True)
-    open_ = np.flatnonzero(~alone)
-    if len(open_):
-        inner = np.lexsort((key[order[open_]], rank[open_]))
-        order = order.copy()
-        order[open_] = order[open_][inner]
-    code = np.ones(len(order), bool)
-    code[1:] = (rank[1:] != rank[:-1]) | (key[order[1:]] != key[order[:-1]])
-    return order, np.cumsum(code)
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and the rank of each (equal keys, equal ranks)."""
+    order = np.argsort(key)
+    ordered = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    return order, rank
 
 
 def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,20 +104,26 @@ def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
     (shard after shard, in each shard's own order), and where in that order a
     new string of ``size`` symbols begins."""
     pairs = np.concatenate([s.pair for s in shards])
-    shard = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.pair) for s in shards])
-    group = np.zeros(len(pairs), np.int32)
-    begins = np.zeros(len(pairs), bool)
+    shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.pair) for s in shards])
+    # the interleave by the first symbols: sorted runs of words, merged
+    words = np.concatenate([s.word for s in shards])
+    order = np.argsort(words, kind="stable")
+    shard, dealt = shard[order], words[order]
+    begins = np.ones(len(words), bool)
+    begins[1:] = dealt[1:] != dealt[:-1]
+    group = np.cumsum(begins, dtype=np.int32)
     before = np.empty_like(pairs)
-    for k in range(-(-size // 2)):
-        if 2 * k + 1 == size:                   # the last of an odd number
+    known = min(8, size)
+    while known < size:
+        if known + 1 == size:                   # the last of an odd number
             pairs = pairs & 0xFF
         # the r-th place of a shard in the interleave is its r-th suffix
         before[np.argsort(shard, kind="stable")] = pairs
         order = np.argsort(before, kind="stable")
         shard, group, dealt = shard[order], group[order], before[order]
-        begins[:1] = True
         begins[1:] = (dealt[1:] != dealt[:-1]) | (group[1:] != group[:-1])
         np.cumsum(begins, out=group)
+        known += 2
     return np.argsort(shard, kind="stable"), begins
 
 
@@ -130,7 +132,7 @@ def smallest_owner(snippets: list[bytes], owners: np.ndarray, size: int,
     """For each window of each snippet, the smallest owner of a snippet that
     holds the same window."""
     shards, counts, part, weight = [], [], [], 0
-    limit = max(shard_bytes, sum(map(len, snippets)) // 60_000)
+    limit = max(shard_bytes, sum(map(len, snippets)) // 200)  # at most 201 shards
     for s in snippets:
         part.append(s)
         weight += len(s)
