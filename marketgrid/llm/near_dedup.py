@@ -331,8 +331,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # every document against the leaders of its buckets
     with_leader = led.filter("doc_id <> leader").select(F.col("leader").alias("a"),
                                                         F.col("doc_id").alias("b")).distinct()
-    judged = materialize(likely(with_leader, reps))
-    stars = materialize(counted(judged.filter("near").select("a", "b"), sets))
+    stars = materialize(counted(likely(with_leader, reps).filter("near").select("a", "b"), sets))
     first = stars.filter(is_link).select("a", "b")
     grouped = components(first)
 
@@ -356,8 +355,18 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     near = likely(pairs, reps).filter("near").select("a", "b").union(
         blocked_pairs(sized.filter(F.col("rows") > SMALL), sets, percent)).distinct()
     more = materialize(counted(near, sets).filter(is_link).select("a", "b"))
-    if not more.isEmpty():
-        grouped = components(first.union(more))
+    if not more.isEmpty():                       # links between whole components
+        names = grouped.select("node", F.col("component").alias("of"))
+        ends = more
+        for side in ("a", "b"):
+            ends = (ends.join(names.withColumnRenamed("node", side), side, "left")
+                    .withColumn(side, F.coalesce("of", side)).drop("of"))
+        joined = components(ends)
+        lone = joined.select("node", "component").join(grouped.select("node"), "node", "left_anti")
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        grouped = materialize(grouped.join(joined, "component", "left")
+                              .select("node", F.coalesce("to", "component").alias("component"))
+                              .union(lone))
 
     of_class = (classes.join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
                 .select("key_a", "key_b", F.coalesce("component", "rep").alias("component_id")))
