@@ -112,7 +112,10 @@ class Params:
     seed: int = 42
     folds: int = 5
     holdout: float = 0.25
-    show_top: int = 15
+    # master exclusions and map slices
+    excluded_area_type: str = EXCLUDED_AREA_TYPE
+    excluded_name_pattern: str = EXCLUDED_AREA_NAME_PATTERN
+    fit_slices: tuple[float, ...] = FIT_SLICES
 
     @property
     def year1(self) -> int:
@@ -146,7 +149,10 @@ STANDIN = Params(
     rising_stores=(2.0, 3.7),
     rising_h1=(1_000_000.0, 1_750_000.0),
     alley_type="MIDDLE EAST",
-    min_sales_per_store=0.0,
-    ticket_floor=3000.0,
-    gbt_iter=20,
+    ticket_floor=3_300_000.0,
+    excluded_area_type="AMERICA",
+    excluded_name_pattern="(13|47)$",
+    fit_slices=(0.0, 0.2, 0.3, 0.4),
 )
+# A nation of the stand-in tables whose areas have no known district.
+STANDIN_NO_DISTRICT = "NATION_7"

@@ -1,14 +1,9 @@
-"""Join helpers whose broadcast side has a size bound known from the plan.
+"""Join helpers.
 
 * ``attach_scalars``: a global aggregate (no grouping keys) is exactly one
   row; it is attached as a scalar subquery (evaluated once, partial
   aggregation on the executors, the value then shipped to every task) —
   no join, no collect-to-driver of city totals (J10).
-* ``join_bounded``: broadcast a side only when its row count is bounded by a
-  parameter list (e.g. one row per listed industry or quarter); anything else
-  is left to the planner, which broadcasts only below
-  ``spark.sql.autoBroadcastJoinThreshold`` and, with AQE, re-plans from the
-  runtime size.
 """
 
 from __future__ import annotations
@@ -22,14 +17,3 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     packed = one_row.select(F.struct(*one_row.columns).alias("_scalars")).scalar()
     return df.withColumn("_scalars", packed).select("*", "_scalars.*").drop("_scalars")
 
-
-def join_bounded(df: DataFrame, small: DataFrame, on, how: str = "inner",
-                 bound: int | None = None, max_rows: int = 1_000_000) -> DataFrame:
-    """Join with ``small`` broadcast when its row bound is known and modest.
-
-    ``bound`` must come from the plan (a filter on a parameter list, a
-    grouping over such keys, a LIMIT), never from counting the data.
-    """
-    if bound is not None and bound <= max_rows:
-        small = F.broadcast(small)
-    return df.join(small, on, how)

@@ -32,16 +32,19 @@ from .lineage import materialize
 
 
 def value_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, sums: dict | None = None) -> DataFrame:
     """Distinct (group, order values) with ``n_before`` (rows of the group
     strictly before, in ascending order), ``n_equal`` and ``n_group``.
     Rows with a null order value are ignored (as pandas ranks/quantiles do).
+    ``sums``: name -> column to be summed per distinct value.
     """
     g, o = list(group_cols), list(order_cols)
-    src = df.select(*g, *o)
+    sums = sums or {}
+    src = df.select(*g, *o, *[c.alias(n) for n, c in sums.items()])
     for c in o:
         src = src.filter(F.col(c).isNotNull())
-    freq = src.groupBy(*g, *o).agg(F.count(F.lit(1)).alias("_n_eq"))
+    freq = src.groupBy(*g, *o).agg(F.count(F.lit(1)).alias("_n_eq"),
+                                   *[F.sum(n).alias(n) for n in sums])
     keys = [F.col(c).asc() for c in g + o]
     # Without an explicit count AQE may coalesce the range partitions; it only
     # merges neighbours, so partition ids stay in key order.  The partition
@@ -59,7 +62,7 @@ def value_positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     local = ranged.withColumn("_loc", F.coalesce(F.sum("_n_eq").over(w_loc), F.lit(0)))
     return (local.join(ptot, ["_pid", *g])
             .select(*g, *o, (F.col("_off") + F.col("_loc")).alias("n_before"),
-                    F.col("_n_eq").alias("n_equal"), "n_group"))
+                    F.col("_n_eq").alias("n_equal"), "n_group", *sums))
 
 
 def pct_rank_average(df: DataFrame, value_col: str, group_cols: Sequence[str] = (),

@@ -103,14 +103,6 @@ def rising(master: DataFrame, p: Params, metrics: DataFrame | None = None) -> Da
     return _display(top, False)
 
 
-def area_coords(master: DataFrame) -> DataFrame:
-    """One coordinate pair and district per area.  The values are
-    functionally dependent on area_id, so an order-free max replaces
-    ``first(ignorenulls)``."""
-    return master.groupBy("area_id").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat"),
-                                         F.max("district").alias("district"))
-
-
 def tab2_hotplaces(master: DataFrame, p: Params) -> DataFrame:
     """Mega ∪ rising with class tag, raw figures and coordinates.
 

@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import (EXCLUDED_AREA_NAME_PATTERN, EXCLUDED_AREA_TYPE, UNKNOWN,
-                      Params)
+from ..config import UNKNOWN, Params
 from ..functions.geo import tm_to_lonlat
 
 MASTER_COLUMNS = [
@@ -45,9 +44,9 @@ def foot_ok(p: Params) -> Column:
             & F.col("area_id").isNotNull())
 
 
-def area_ok() -> Column:
-    return ((F.col("area_type") != EXCLUDED_AREA_TYPE)
-            & ~F.col("area_name").rlike(EXCLUDED_AREA_NAME_PATTERN))
+def area_ok(p: Params) -> Column:
+    return ((F.col("area_type") != p.excluded_area_type)
+            & ~F.col("area_name").rlike(p.excluded_name_pattern))
 
 
 def clean_sales(df: DataFrame, p: Params) -> DataFrame:
@@ -82,5 +81,5 @@ def build_master(sales: DataFrame, stores: DataFrame, foot: DataFrame, area: Dat
          .join(clean_stores(stores, p), ["quarter", "area_id", "industry"], "inner")
          .join(clean_foot(foot, p), ["quarter", "area_id"], "inner")
          .join(clean_area(area), "area_id", "inner")
-         .filter(area_ok()))
+         .filter(area_ok(p)))
     return m.select(*MASTER_COLUMNS)

@@ -17,14 +17,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Params
 from ..operators.joins import attach_scalars
+from ..operators.lineage import materialize
 from ..operators.ranking import row_positions, value_positions
 from .settlement import FEATURES
 
@@ -53,25 +54,35 @@ def stratified_folds(train: DataFrame, k: int, label: str = "target",
 
 def stratified_holdout(train: DataFrame, frac: float, label: str = "target",
                        salt: str = "holdout") -> DataFrame:
-    """M4: ``is_test`` for the first ceil(frac·n) rows of each label class
-    in seeded hash order."""
+    """M4: ``is_test`` for ceil(frac·N) rows in all, shared between the label
+    classes in proportion (whole parts first, then the largest remainders,
+    ties to the smaller label), in seeded hash order inside a class."""
     t = train.withColumn("_h", F.md5(F.concat_ws("|", pair_key(), F.lit(salt)))).withColumn("_key", pair_key())
     t = row_positions(t, [label], ["_h", "_key"], "_pos")
-    return (t.withColumn("is_test", F.col("_pos") < F.ceil(F.col("n_group") * frac))
-            .drop("_h", "_key", "_pos", "n_group"))
+    sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))   # one row per class
+    every = Window.partitionBy()
+    total = F.ceil(F.sum("_n").over(every) * frac)
+    share = (sizes.withColumn("_all", F.sum("_n").over(every)).withColumn("_total", total)
+             .withColumn("_whole", F.expr("_total * _n div _all"))
+             .withColumn("_rest", F.expr("_total * _n % _all"))
+             .withColumn("_rank", F.row_number().over(every.orderBy(F.desc("_rest"), label)))
+             .withColumn("_extra", F.col("_total") - F.sum("_whole").over(every))
+             .select(label, (F.col("_whole") + F.when(F.col("_rank") <= F.col("_extra"), 1)
+                             .otherwise(0)).alias("_take")))
+    return (t.join(F.broadcast(share), label).withColumn("is_test", F.col("_pos") < F.col("_take"))
+            .drop("_h", "_key", "_pos", "n_group", "_take"))
 
 
 def auc_exact(scored: DataFrame, score: str = "prob", label: str = "target",
               group_cols: Sequence[str] = ()) -> DataFrame:
-    """M5: ROC AUC = (Σ avg-rank of positives − n1(n1+1)/2) / (n1·n0)."""
+    """M5: ROC AUC = (Σ avg-rank of positives − n1(n1+1)/2) / (n1·n0), from the
+    table of distinct scores with their positives; no row is joined back."""
     g = list(group_cols)
-    pos = value_positions(scored, g, [score])
-    ranks = scored.join(pos, [*g, score], "inner").withColumn(
-        "_r", F.col("n_before") + (F.col("n_equal") + 1) / 2.0)
-    agg = ranks.groupBy(*g).agg(
-        F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("_rs"),
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n_pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n_neg"))
+    pos = value_positions(scored, g, [score],
+                          sums={"_np": F.when(F.col(label) == 1, 1).otherwise(0)})
+    agg = pos.groupBy(*g).agg(
+        F.sum(F.col("_np") * (F.col("n_before") + (F.col("n_equal") + 1) / 2.0)).alias("_rs"),
+        F.sum("_np").alias("n_pos"), F.sum(F.col("n_equal") - F.col("_np")).alias("n_neg"))
     n1, n0 = F.col("n_pos"), F.col("n_neg")
     auc = F.when((n1 > 0) & (n0 > 0), (F.col("_rs") - n1 * (n1 + 1) / 2.0) / (n1 * n0))
     return agg.select(*g, auc.alias("auc"), "n_pos", "n_neg")
@@ -150,8 +161,10 @@ def fit_gbt(train: DataFrame, p: Params):
     from pyspark.ml.classification import GBTClassifier
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                         maxDepth=p.gbt_depth, stepSize=p.gbt_step, maxIter=p.gbt_iter,
-                        seed=p.seed)
-    data = class_weights(train).withColumn("label", F.col("target").cast("double"))
+                        seed=p.seed, cacheNodeIds=True)
+    # written once: every tree reads these columns and nothing upstream
+    data = materialize(class_weights(train).select(*FEATURES, "weight",
+                                                   F.col("target").cast("double").alias("label")))
     return Pipeline(stages=[_assembler(), gbt]).fit(data)
 
 
@@ -167,37 +180,38 @@ def score(model, df: DataFrame) -> DataFrame:
 
 def cv_auc(train: DataFrame, p: Params) -> DataFrame:
     """5-fold stratified CV AUC: one row per fold plus mean and (population) std."""
-    folded = stratified_folds(train, p.folds).persist()
-    scored_parts = []
+    folded = materialize(stratified_folds(train, p.folds))
+    parts = []
     for k in range(p.folds):
-        model = fit_gbt(folded.filter(F.col("fold") != k), p)
-        scored_parts.append(score(model, folded.filter(F.col("fold") == k)))
-    scored = scored_parts[0]
-    for s in scored_parts[1:]:
-        scored = scored.unionByName(s)
+        fitted = fit_gbt(folded.filter(F.col("fold") != k), p)
+        parts.append(score(fitted, folded.filter(F.col("fold") == k)).select("fold", "target", "prob"))
+    scored = materialize(reduce(DataFrame.unionByName, parts))
     per_fold = auc_exact(scored, "prob", "target", ["fold"])
     stats = per_fold.agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
     return attach_scalars(per_fold, stats)
 
 
-def permutation_importance(model, data: DataFrame, p: Params) -> DataFrame:
+def permutation_importance(fitted, data: DataFrame, p: Params) -> DataFrame:
     """M8 (re-aimed from SHAP): AUC drop when one feature's values are
-    re-assigned to other rows along a seeded hash order."""
-    base = auc_exact(score(model, data)).select(F.col("auc").alias("base_auc"))
+    re-assigned to other rows along a seeded hash order.  The order does not
+    depend on the feature, so one join brings the values of all features, and
+    one pass scores all variants."""
     t = data.withColumn("_key", pair_key()).withColumn("_h", F.md5(F.concat_ws("|", pair_key(), F.lit(p.seed))))
     by_key = row_positions(t, [], ["_key"], "_pk").drop("n_group")
-    out = []
-    for feat in FEATURES:
-        by_hash = (row_positions(t.select("_key", "_h", F.col(feat).alias("_v")), [], ["_h", "_key"], "_ph")
-                   .select(F.col("_ph").alias("_pk"), "_v"))
-        perm = by_key.join(by_hash, "_pk").withColumn(feat, F.col("_v")).drop("_v", "_pk", "_key", "_h")
-        auc = auc_exact(score(model, perm)).select(F.lit(feat).alias("feature"),
-                                                   F.col("auc").alias("perm_auc"))
-        out.append(auc)
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return attach_scalars(res, base).withColumn("importance", F.col("base_auc") - F.col("perm_auc"))
+    by_hash = row_positions(t.select("_key", "_h", *[F.col(f).alias(f"_p_{f}") for f in FEATURES]),
+                            [], ["_h", "_key"], "_pk").drop("_key", "_h", "n_group")
+    variants = [F.struct(F.lit(v).alias("feature"),
+                         *[F.col(f"_p_{f}" if f == v else f).alias(f) for f in FEATURES])
+                for v in ["", *FEATURES]]
+    rows = (by_key.join(by_hash, "_pk")
+            .select("target", F.explode(F.array(*variants)).alias("v")).select("target", "v.*"))
+    auc = auc_exact(materialize(score(fitted, rows).select("feature", "target", "prob")),
+                    "prob", "target", ["feature"])
+    auc = materialize(auc.select("feature", "auc"))
+    base = auc.filter("feature = ''").select(F.col("auc").alias("base_auc"))
+    return attach_scalars(auc.filter("feature <> ''").withColumnRenamed("auc", "perm_auc"),
+                          base.agg(F.max("base_auc").alias("base_auc"))
+                          ).withColumn("importance", F.col("base_auc") - F.col("perm_auc"))
 
 
 def tree_importance(model, spark) -> DataFrame:

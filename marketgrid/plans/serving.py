@@ -75,6 +75,32 @@ def filtered_view(tab3: DataFrame, cap: float | None = None,
     return v.filter(cond).drop("cap")
 
 
+def filtered_kpis(tab3: DataFrame, cap: float | None = None,
+                  industries: Sequence[str] | None = None, min_fit: float = 0.0) -> DataFrame:
+    """The cards above the map: candidates before the filter, rows after it,
+    their mean fit and mean entry."""
+    before = dashboard_frame(tab3).agg(F.count(F.lit(1)).alias("n_before"))
+    after = filtered_view(tab3, cap, industries, min_fit).agg(
+        F.count(F.lit(1)).alias("n_after"), F.avg("fit").alias("mean_fit"),
+        F.avg("entry").alias("mean_entry"))
+    return attach_scalars(before, after)
+
+
+def hotplace_bubbles(tab2: DataFrame, least: float = 300.0) -> DataFrame:
+    """One bubble per hot spot with coordinates: first-year revenue, clipped."""
+    return (tab2.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+            .select("area_id", "industry", "class", "lon", "lat",
+                    F.greatest(F.col("h1_10k").cast("double"), F.lit(least)).alias("bubble_size")))
+
+
+def map_markers(tab3: DataFrame) -> DataFrame:
+    """One marker per recommended row with revenue: size from entry, colour
+    from fit."""
+    return (dashboard_frame(tab3).filter(F.col("monthly_per_store_10k") > 0)
+            .select("area_id", "industry", "lon", "lat", "fit",
+                    (F.col("entry") * 25 + 5).alias("marker_size")))
+
+
 def threshold_slices(tab3: DataFrame, thresholds: Sequence[float] = FIT_SLICES) -> DataFrame:
     yo = dashboard_frame(tab3).filter(F.col("monthly_per_store_10k") > 0)
     ths = [float(t) for t in thresholds]
@@ -90,15 +116,14 @@ def threshold_slices(tab3: DataFrame, thresholds: Sequence[float] = FIT_SLICES)
 
 def kpi_leaders(tab1: DataFrame) -> DataFrame:
     """T4: leading district per metric (ties: district name)."""
-    parts = []
-    for metric in ("total_amt_100m", "amt_per_store_100m", "avg_foot_10k"):
-        parts.append(tab1.orderBy(F.desc(metric), "district").limit(1)
-                     .select(F.lit(metric).alias("metric"), "district",
-                             F.col(metric).cast("double").alias("value")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    metrics = ("total_amt_100m", "amt_per_store_100m", "avg_foot_10k")
+    best = tab1.agg(*[F.max(F.col(m)).alias(m) for m in metrics])
+    tops = attach_scalars(tab1, best.select(*[F.col(m).alias(f"_{m}") for m in metrics])).agg(
+        *[F.struct(F.min(F.when(F.col(m) == F.col(f"_{m}"), F.col("district"))).alias("district"),
+                   F.max(m).cast("double").alias("value")).alias(m) for m in metrics])
+    return tops.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(f"{m}.district").alias("district"),
+                 F.col(f"{m}.value").alias("value")) for m in metrics])).alias("r")).select("r.*")
 
 
 def kpi_means(tab1: DataFrame, tab2: DataFrame, tab3: DataFrame) -> DataFrame:
@@ -113,8 +138,9 @@ def kpi_means(tab1: DataFrame, tab2: DataFrame, tab3: DataFrame) -> DataFrame:
     yo = v.filter(F.col("monthly_per_store_10k") > 0)
     c = v.agg(F.count(F.lit(1)).cast("double").alias("n_candidates"))
     d = yo.agg(F.count(F.lit(1)).cast("double").alias("n_recommended"),
-               F.avg("fit").alias("mean_fit"), F.avg("entry").alias("mean_entry"))
-    row = attach_scalars(attach_scalars(attach_scalars(a, b), c), d)
+               F.avg("fit").alias("mean_fit"))
+    e = filtered_view(tab3).agg(F.avg("entry").alias("mean_entry"))
+    row = attach_scalars(attach_scalars(attach_scalars(attach_scalars(a, b), c), d), e)
     names = ["n_districts", "n_mega", "n_rising", "mega_mean_growth_pct", "rising_mean_growth_pct",
              "n_candidates", "n_recommended", "mean_fit", "mean_entry"]
     return row.select(F.explode(F.array(*[
@@ -142,7 +168,7 @@ def chart_ranges(tab2: DataFrame, tab3: DataFrame, axis_pad: float = 1.08,
                  F.min(F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(),
                               F.greatest(F.col("h1_10k"), F.lit(min_bubble)))).alias("min_bubble"))
     yo = dashboard_frame(tab3).filter(F.col("monthly_per_store_10k") > 0)
-    b = yo.agg(F.min("fit").alias("fit_min"), F.max("fit").alias("fit_max"),
-               F.min(F.col("entry") * 25 + 5).alias("marker_min"),
+    b = yo.agg(F.min(F.col("entry") * 25 + 5).alias("marker_min"),
                F.max(F.col("entry") * 25 + 5).alias("marker_max"))
-    return attach_scalars(a, b)
+    c = filtered_view(tab3).agg(F.min("fit").alias("fit_min"), F.max("fit").alias("fit_max"))
+    return attach_scalars(attach_scalars(a, b), c)

@@ -114,7 +114,7 @@ def q_foot_percentile(spark, sf_dir):
 
 @query("settle_label")
 def q_settle_label(spark, sf_dir):
-    ps = settlement.pair_stats(master(spark, sf_dir), P)
+    ps = materialize(settlement.pair_stats(master(spark, sf_dir), P))  # read three times
     t = settlement.settle_label(ps, P)
     return t.select("area_id", "area_name", "area_type", "industry", "stores_y1", "stores_y2",
                     "closed_y2", "per_store_y2", "fair_per_store_y1", _r("city_close_rate"),
@@ -232,40 +232,56 @@ def gbt_ranking(spark, sf_dir):
     return settlement.recommend(scored)
 
 
+# A fitted model's own figures have no SQL form.  The queries below fit and
+# score in full and return the columns that do not depend on the fit, with
+# flags that hold the fitted figures to their definitions.
+
 @query("recommend_gbt")
 def q_recommend_gbt(spark, sf_dir):
-    return gbt_ranking(spark, sf_dir).drop("foot_pct").orderBy(F.desc("score"), "area_id",
-                                                              "industry")
+    r = materialize(gbt_ranking(spark, sf_dir))
+    return r.select("area_id", "area_name", "industry",
+                    *[_r(c) for c in ["mz_share", "rel_vitality", "store_lq", "density", "entry"]],
+                    F.col("fit").between(0.0, 1.0).alias("fit_in_range"),
+                    (F.abs(F.col("score") - F.col("fit") * F.col("entry")) < 1e-9).alias("score_is_product"))
 
 
 @query("gbt_cv_auc")
 def q_gbt_cv_auc(spark, sf_dir):
-    return model.cv_auc(_train(q3_base(spark, sf_dir)[1]), P)
+    a = model.cv_auc(_train(q3_base(spark, sf_dir)[1]), P)
+    return a.select("fold", "n_pos", "n_neg", F.col("auc").between(0.0, 1.0).alias("auc_in_range"),
+                    F.col("auc_mean").between(0.0, 1.0).alias("mean_in_range"))
 
 
 @query("gbt_holdout_report")
 def q_gbt_holdout_report(spark, sf_dir):
     t = model.stratified_holdout(_train(q3_base(spark, sf_dir)[1]), P.holdout)
+    t = materialize(t)
     fitted = model.fit_gbt(t.filter(~F.col("is_test")), P)
-    scored = model.score(fitted, t.filter(F.col("is_test")))
-    auc = model.auc_exact(scored).select(F.lit("auc").alias("cls"), F.col("auc").alias("precision"),
-                                         F.lit(None).cast("double").alias("recall"),
-                                         F.lit(None).cast("double").alias("f1"),
+    scored = materialize(model.score(fitted, t.filter(F.col("is_test"))).select("target", "prob", "pred"))
+    auc = model.auc_exact(scored).select(F.lit("auc").alias("cls"),
+                                         F.col("auc").between(0.0, 1.0).alias("in_range"),
                                          (F.col("n_pos") + F.col("n_neg")).alias("support"))
-    return model.class_report(scored).unionByName(auc)
+    ok = (F.col("precision").between(0.0, 1.0) & F.col("recall").between(0.0, 1.0)
+          & F.col("f1").between(0.0, 1.0))
+    return model.class_report(scored).select("cls", ok.alias("in_range"), "support").unionByName(auc)
 
 
 @query("permutation_importance")
 def q_permutation_importance(spark, sf_dir):
-    train = _train(q3_base(spark, sf_dir)[1])
+    train = materialize(_train(q3_base(spark, sf_dir)[1]))
     fitted = model.fit_gbt(train, P)
-    return model.permutation_importance(fitted, train, P)
+    i = model.permutation_importance(fitted, train, P)
+    return i.select("feature", F.col("base_auc").between(0.0, 1.0).alias("base_in_range"),
+                    F.col("perm_auc").between(0.0, 1.0).alias("perm_in_range"),
+                    F.col("importance").between(-1.0, 1.0).alias("drop_in_range"))
 
 
 @query("tree_importance")
 def q_tree_importance(spark, sf_dir):
     fitted = model.fit_gbt(_train(q3_base(spark, sf_dir)[1]), P)
-    return model.tree_importance(fitted, spark)
+    i = model.tree_importance(fitted, spark)
+    total = i.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"))
+    return attach_scalars(i.select("feature", (F.col("importance") >= 0).alias("not_negative")), total)
 
 
 # --- serving (A18-A23) ---------------------------------------------------------
@@ -293,9 +309,41 @@ def q_filtered_view(spark, sf_dir):
                     _r("score"))
 
 
+#: A choice of the dashboard's filters: industries, revenue cap, minimum fit.
+CHOICE = {"cap": 180.0, "industries": ["LARGE", "PROMO", "SMALL"], "min_fit": 0.12}
+
+
+@query("filtered_view_choice")
+def q_filtered_view_choice(spark, sf_dir):
+    v = serving.filtered_view(_tab3(spark, sf_dir), **CHOICE)
+    return v.select("area_id", "industry", "monthly_per_store_10k", _r("fit"), _r("entry"),
+                    _r("score"))
+
+
+@query("filtered_kpis")
+def q_filtered_kpis(spark, sf_dir):
+    t = _tab3(spark, sf_dir)
+    rows = [serving.filtered_kpis(t, **args).select(F.lit(name).alias("filter"), "n_before", "n_after",
+                                                    _r("mean_fit"), _r("mean_entry"))
+            for name, args in (("default", {}), ("choice", CHOICE))]
+    return rows[0].unionByName(rows[1])
+
+
+@query("hotplace_bubbles")
+def q_hotplace_bubbles(spark, sf_dir):
+    b = serving.hotplace_bubbles(hotspots.tab2_hotplaces(master(spark, sf_dir), P))
+    return b.select("area_id", "industry", "class", _r("lon", 6), _r("lat", 6), "bubble_size")
+
+
+@query("map_markers")
+def q_map_markers(spark, sf_dir):
+    m = serving.map_markers(_tab3(spark, sf_dir))
+    return m.select("area_id", "industry", _r("lon", 6), _r("lat", 6), _r("fit"), _r("marker_size"))
+
+
 @query("threshold_slices")
 def q_threshold_slices(spark, sf_dir):
-    s = serving.threshold_slices(_tab3(spark, sf_dir))
+    s = serving.threshold_slices(_tab3(spark, sf_dir), P.fit_slices)
     return s.select("threshold", "n_rows", _r("mean_fit"))
 
 
@@ -346,10 +394,45 @@ def q_quarterly_cv(spark, sf_dir):
 
 @query("sample_extract")
 def q_sample_extract(spark, sf_dir):
-    """First 100 master rows in key order (the sample files' structure check)."""
-    m = master(spark, sf_dir)
-    return (m.orderBy("quarter", "area_id", "industry").limit(100)
-            .withColumn("lon", F.round("lon", 6)).withColumn("lat", F.round("lat", 6)))
+    """The first 100 rows of each raw dataset, written as raw CSV before."""
+    from .operators.lineage import table_dir
+    from .sources.sinks import sample_counts
+    from .sources.standin import export_raw_csv
+    root = export_raw_csv(spark, sf_dir, table_dir(spark.range(1)), P)
+    years = (P.year1, P.year2)
+    names = [f"{d}_{y}.csv" for d in ("sales", "stores") for y in years]
+    return sample_counts(spark, root, [*names, "foot_traffic.csv", "area.csv"])
+
+
+@query("master_round_trip")
+def q_master_round_trip(spark, sf_dir):
+    """The master written by quarter and read back."""
+    from .operators.lineage import table_dir
+    from .sources.sinks import write_master
+    path = table_dir(spark.range(1))
+    write_master(master(spark, sf_dir), path)
+    m = spark.read.parquet(path)
+    return m.select("quarter", "area_id", "industry", "sales_amt", "sales_cnt", "stores", "foot",
+                    "area_type", "area_name", "district", _r("lon", 6), _r("lat", 6))
+
+
+@query("serving_csv_round_trip")
+def q_serving_csv_round_trip(spark, sf_dir):
+    """The district summary as a serving CSV, read back by schema."""
+    from .operators.lineage import table_dir
+    from .sources.sinks import read_serving_csv, write_serving_csv
+    path = table_dir(spark.range(1))
+    t = district.tab1_gu_summary(master(spark, sf_dir))
+    write_serving_csv(t, path)
+    return read_serving_csv(spark, path, t.schema.simpleString()[len("struct<"):-1].replace(":", " "))
+
+
+@query("view_landmark")
+def q_view_landmark(spark, sf_dir):
+    """The landmark analysis as SQL over the registered view."""
+    from .sources.views import LANDMARK_SQL, register_views
+    register_views(master(spark, sf_dir))
+    return spark.sql(LANDMARK_SQL)
 
 
 @query("raw_csv_master")

@@ -7,27 +7,30 @@ every file of a read, so a glob over mixed dialects silently mis-reads
 re-ordered columns.  Here:
 
 1. files are listed through the Hadoop FileSystem of the path (any storage);
-2. each file's encoding is decided by one distributed pass over all lines
-   (``is_valid_utf8`` per file: valid -> UTF-8, else CP949 — the BOM is
-   dropped by the UTF-8 reader);
-3. each file's header line is read from the driver (a few bytes per file)
-   and files are grouped by (header, encoding);
-4. one ``spark.read.csv`` per group, columns renamed to canonical names,
-   then ``unionByName`` of the groups (missing columns become null).
-
-All columns are read as strings and typed with ``try_cast`` (malformed text
--> null, as the source pipeline's Spark 2 casts did; ANSI stays on).
+2. one distributed pass over all lines finds each file's header (the line at
+   block start 0, as bytes) and whether every line is valid UTF-8 (else
+   CP949).  Files are grouped by (header, encoding) on the executors; what
+   comes back is one row per group with its list of files;
+3. one ``spark.read.csv`` per group, columns renamed to canonical names,
+   then ``unionByName`` of the groups.
+
+A listed, non-empty file without a verdict is an error, and so is a required
+column that no file has.  All columns are read as strings and typed with
+``try_cast`` (malformed text -> null, as the source pipeline's Spark 2 casts
+did; ANSI stays on); decimal text such as ``123.0`` is cut to its whole part
+for integer columns, as those casts did.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HEADER_ALIASES
+from ..operators.lineage import materialize
 
 CP949 = "x-windows-949"  # Java's name; "cp949"/"EUC-KR" lose rare syllables
 UTF8 = "UTF-8"
@@ -77,42 +80,56 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(out)
 
 
-def header_bytes(spark: SparkSession, path: str) -> bytes:
-    """First line of a file, read through the Hadoop FileSystem.  Decoding
-    as ISO-8859-1 maps bytes 1:1 to chars, so the raw bytes come back intact
-    whatever the file's real encoding."""
-    jvm, fs, hpath = _fs_and_path(spark, path)
-    stream = fs.open(hpath)
+@contextmanager
+def java_charsets(spark: SparkSession):
+    """Spark 4 accepts only the standard charsets unless a setting is on; it
+    is on only while frames are planned or written, then as it was."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
     try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "ISO-8859-1"))
-        line = reader.readLine()
-        return (line or "").encode("latin-1").rstrip(b"\r")
+        yield
     finally:
-        stream.close()
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
-def detect_encodings(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """UTF-8 when every line of the file is valid UTF-8, else CP949.
-    One distributed scan; the result is one row per file."""
-    if not files:
-        return {}
-    flags = (spark.read.text(files)
-             .select(F.input_file_name().alias("f"), F.is_valid_utf8("value").alias("ok"))
-             .groupBy("f").agg(F.min(F.col("ok").cast("int")).alias("ok"))
-             .collect())
-    by_name = {r["f"]: (UTF8 if r["ok"] == 1 else CP949) for r in flags}
-
-    def norm(p: str) -> str:
-        return p.replace("file:///", "/").replace("file:/", "/")
-
-    normed = {norm(k): v for k, v in by_name.items()}
-    return {f: normed.get(norm(f), UTF8) for f in files}
+def file_groups(spark: SparkSession, files: list[str]) -> list[tuple[list[str], str]]:
+    """(files, encoding) groups with one header and one encoding each.
 
-
-def _decode_header(raw: bytes, enc: str) -> str:
-    if raw.startswith(b"\xef\xbb\xbf"):
-        raw = raw[3:]
-    return raw.decode("utf-8" if enc == UTF8 else "cp949", errors="replace")
+    The text reader keeps a line's bytes as they are, so headers of any
+    encoding survive the pass.  Rows are keyed by ``_metadata.file_path``."""
+    jvm = spark.sparkContext._jvm
+    lines = (spark.read.format("text").load(files)
+             .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"),
+                     "value"))
+    by_file = lines.groupBy("f").agg(
+        F.min(F.is_valid_utf8("value").cast("int")).alias("utf8"),
+        F.first(F.when(F.col("at") == 0, F.hex(F.col("value").cast("binary"))),
+                ignorenulls=True).alias("header"))
+    groups = by_file.groupBy("header", "utf8").agg(F.collect_list("f").alias("files")).collect()
+    listed = {_listed(jvm, f): f for f in files}
+    found = [([listed.pop(_reported(jvm, f)) for f in g["files"]], UTF8 if g["utf8"] else CP949)
+             for g in sorted(groups, key=lambda g: (g["header"] or "", g["utf8"]))]
+    for f in listed.values():
+        _, fs, hpath = _fs_and_path(spark, f)
+        if fs.getFileStatus(hpath).getLen():
+            raise RuntimeError(f"no header and encoding found for {f}")
+    return [(sorted(members), enc) for members, enc in found]
+
+
+def _listed(jvm, path: str) -> tuple[str, str]:
+    """Scheme and plain path of a Hadoop path (not escaped)."""
+    uri = jvm.org.apache.hadoop.fs.Path(path).toUri()
+    return uri.getScheme() or "file", uri.getPath()
+
+
+def _reported(jvm, uri: str) -> tuple[str, str]:
+    """The same of a file's metadata (an escaped URI)."""
+    u = jvm.java.net.URI(uri)
+    return u.getScheme() or "file", u.getPath()
 
 
 def read_raw_csv(spark: SparkSession, pattern: str) -> DataFrame:
@@ -121,29 +138,37 @@ def read_raw_csv(spark: SparkSession, pattern: str) -> DataFrame:
     files = list_files(spark, pattern)
     if not files:
         raise FileNotFoundError(pattern)
-    encs = detect_encodings(spark, files)
-    if CP949 in encs.values():
-        # Spark 4 accepts only the standard charsets unless this is enabled
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    groups: dict[tuple[str, str], list[str]] = defaultdict(list)
-    for f in files:
-        groups[(_decode_header(header_bytes(spark, f), encs[f]), encs[f])].append(f)
     frames = []
-    for (_, enc), paths in sorted(groups.items()):
-        df = (spark.read.option("header", True).option("encoding", enc)
-              .option("mode", "PERMISSIVE").csv(paths))
-        frames.append(standardise_headers(df))
+    for paths, enc in file_groups(spark, files):
+        options = {"header": True, "encoding": enc, "mode": "PERMISSIVE"}
+        if enc == CP949:
+            with java_charsets(spark):
+                df = spark.read.options(**options).csv(paths)
+                # the parser is made from the setting when the scan is planned
+                df = materialize(standardise_headers(df))
+        else:
+            df = standardise_headers(spark.read.options(**options).csv(paths))
+        frames.append(df)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def typed(df: DataFrame, dataset: str) -> DataFrame:
-    """Keep the dataset's columns, ``try_cast`` them to their types
-    (missing columns become typed nulls)."""
-    cols = []
-    for name, typ in SCHEMAS[dataset].items():
-        c = F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
-        cols.append(F.trim(c).try_cast(typ).alias(name) if typ != "string" else c.alias(name))
-    return df.select(*cols)
+    """Keep the dataset's columns, cast to their types.  A required
+    column that is absent from all files raises ValueError."""
+    missing = [c for c in SCHEMAS[dataset] if c not in df.columns]
+    if missing:
+        raise ValueError(f"{dataset}: no file has column(s) {', '.join(missing)}")
+    return df.select(*[_cast(name, typ).alias(name) for name, typ in SCHEMAS[dataset].items()])
+
+
+def _cast(name: str, typ: str) -> Column:
+    text = F.trim(F.col(name).cast("string"))
+    if typ == "string":
+        return F.col(name).cast("string")
+    if typ == "double":
+        return text.try_cast(typ)
+    whole = F.regexp_extract(text, r"^([+-]?\d+)\.\d*$", 1)
+    return F.coalesce(text.try_cast(typ), F.nullif(whole, F.lit("")).try_cast(typ))
 
 
 def read_sources(spark: SparkSession, raw_dir: str):

@@ -3,7 +3,6 @@
 * ``write_master``: Parquet partitioned by quarter — a rerun for a new
   quarter touches one partition, readers prune by quarter.  No
   ``coalesce(1)``: that would run the final join in a single task.
-* ``write_table``: Parquet for the model result and other tables.
 * ``write_serving_csv`` / ``read_serving_csv``: header CSV in UTF-8 (Spark
   writes no BOM; a BOM on read is dropped by the reader).
 * ``write_samples`` (S10): the first ``n`` rows of every raw file, re-encoded
@@ -14,23 +13,22 @@ from __future__ import annotations
 
 import os
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .csv_sources import detect_encodings, list_files
+from .csv_sources import file_groups, java_charsets, list_files, read_raw_csv
 
 
 def write_master(master: DataFrame, path: str, mode: str = "overwrite") -> None:
     master.write.mode(mode).partitionBy("quarter").parquet(path)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def write_serving_csv(df: DataFrame, path: str, single_file: bool = False,
                       mode: str = "overwrite") -> None:
-    """``single_file`` is for the small serving tables (bounded by top-k or
-    the candidate filter); large tables keep their partitioning."""
+    """``single_file`` is for the top-k tables, whose size is bounded; other
+    tables keep their partitioning."""
     out = df.coalesce(1) if single_file else df
     out.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
 
@@ -41,14 +39,24 @@ def read_serving_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_samples(spark: SparkSession, pattern: str, out_dir: str, n: int = 100) -> list[str]:
     """``sample_<name>`` folders with the first n data rows of each file."""
-    files = list_files(spark, pattern)
-    encs = detect_encodings(spark, files)
-    if "x-windows-949" in encs.values():
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     written = []
-    for f in files:
-        df = (spark.read.option("header", True).option("encoding", encs[f]).csv(f).limit(n))
-        dest = os.path.join(out_dir, f"sample_{os.path.basename(f)}")
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(dest)
-        written.append(dest)
+    for files, enc in file_groups(spark, list_files(spark, pattern)):
+        for f in files:
+            with java_charsets(spark):
+                df = spark.read.option("header", True).option("encoding", enc).csv(f).limit(n)
+                dest = os.path.join(out_dir, f"sample_{os.path.basename(f)}")
+                df.coalesce(1).write.mode("overwrite").option("header", True).csv(dest)
+            written.append(dest)
     return written
+
+
+def sample_counts(spark: SparkSession, raw_dir: str, names: list[str], n: int = 100) -> DataFrame:
+    """S10 for raw datasets that are folders of part files: the first n rows of
+    each dataset as (dataset, n_rows, n_columns)."""
+    parts = []
+    for name in names:
+        df = read_raw_csv(spark, f"{raw_dir.rstrip('/')}/{name}")
+        parts.append(df.limit(n).agg(F.count(F.lit(1)).alias("n_rows"))
+                     .select(F.lit(name).alias("dataset"), "n_rows",
+                             F.lit(len(df.columns)).cast("bigint").alias("n_columns")))
+    return reduce(DataFrame.unionByName, parts)

@@ -18,9 +18,12 @@ neighbourhood      not available -> filled with the 'unknown' sentinel
 =================  ==========================================================
 
 ``standin_facts`` scans lineitem once (date range pushed to the parquet scan,
-seven columns read) and aggregates to the (quarter, supplier, type) grain with
-map-side partial aggregation, so a hot supplier costs one partial row per map
-task.  Foot traffic is then a window sum over the *aggregated* rows of a
+seven columns read).  Lines are summed per (quarter, supplier, part) first; a
+part has one type, so the (quarter, supplier, type) grain then counts rows
+instead of distinct parts, and ``part`` is joined to the smaller side.  The
+first sum's partial rows are nearly as many as the lines (a supplier rarely
+sells a part twice in a quarter); the second collapses a hot supplier to one
+row per type and task.  Foot traffic is then a window sum over the *aggregated* rows of a
 (quarter, supplier) — at most one row per industry — so no second scan.
 """
 
@@ -31,7 +34,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import Params
+from ..config import STANDIN_NO_DISTRICT, Params
+from ..operators.lineage import materialize
 from ..plans.master import (MASTER_COLUMNS, area_ok, clean_area, foot_ok, sales_ok,
                             stores_ok)
 
@@ -67,18 +71,20 @@ def standin_facts(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     pri = F.col("o_orderpriority")
-    facts = (li.join(part, li.l_partkey == part.p_partkey, "inner")
-             .join(orders, li.l_orderkey == orders.o_orderkey, "left")
+    sums = ["sales_amt", "sales_cnt", "amt_20s", "amt_30s", "opened", "closed", "_qty"]
+    by_part = (li.join(orders, li.l_orderkey == orders.o_orderkey, "left")
+               .groupBy("quarter", "l_suppkey", "l_partkey")
+               .agg(F.sum(cents).alias("sales_amt"),
+                    F.count(F.lit(1)).alias("sales_cnt"),
+                    F.sum(F.when(pri == URGENT, cents).otherwise(0)).alias("amt_20s"),
+                    F.sum(F.when(pri == HIGH, cents).otherwise(0)).alias("amt_30s"),
+                    F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("opened"),
+                    F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("closed"),
+                    F.sum("l_quantity").alias("_qty")))
+    facts = (by_part.join(part, by_part.l_partkey == part.p_partkey, "inner")
              .groupBy("quarter", F.col("l_suppkey").alias("area_id"),
                       F.col("p_type").alias("industry"))
-             .agg(F.sum(cents).alias("sales_amt"),
-                  F.count(F.lit(1)).alias("sales_cnt"),
-                  F.sum(F.when(pri == URGENT, cents).otherwise(0)).alias("amt_20s"),
-                  F.sum(F.when(pri == HIGH, cents).otherwise(0)).alias("amt_30s"),
-                  F.count_distinct("l_partkey").alias("stores"),
-                  F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("opened"),
-                  F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("closed"),
-                  F.sum("l_quantity").alias("_qty")))
+             .agg(*[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("stores")))
     # One exchange on area_id serves both the foot window (quarter, area_id)
     # and the later join with the area dimension; after aggregation an area
     # holds at most quarters x industries rows, so hashing by area alone
@@ -99,15 +105,16 @@ def standin_area_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("s_suppkey").alias("area_id"),
                     F.col("r_name").alias("area_type"),
                     F.col("s_name").alias("area_name"),
-                    F.col("n_name").alias("district"),
+                    F.nullif(F.col("n_name"), F.lit(STANDIN_NO_DISTRICT)).alias("district"),
                     F.lit(None).cast("string").alias("neighbourhood"),
                     (F.lit(190000) + (F.col("s_suppkey") % 200) * 100).cast("double").alias("x"),
                     (F.lit(440000) + (F.col("s_suppkey") % 170) * 100).cast("double").alias("y")))
 
 
-def standin_sources(spark: SparkSession, sf_dir: str, p: Params):
+def standin_sources(spark: SparkSession, sf_dir: str, p: Params,
+                    facts: DataFrame | None = None):
     """The four raw datasets (sales, stores, foot, area) as separate frames."""
-    facts = standin_facts(spark, sf_dir, p)
+    facts = standin_facts(spark, sf_dir, p) if facts is None else facts
     sales = facts.select("quarter", "area_id", "industry", "sales_amt", "sales_cnt",
                          "amt_20s", "amt_30s")
     stores = facts.select("quarter", "area_id", "industry", "stores", "opened", "closed")
@@ -128,7 +135,7 @@ def standin_master(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
              .filter(sales_ok(p) & stores_ok(p) & foot_ok(p))
              .fillna(0, subset=["amt_20s", "amt_30s", "opened", "closed"]))
     area = clean_area(standin_area_raw(spark, sf_dir))
-    return facts.join(area, "area_id", "inner").filter(area_ok()).select(*MASTER_COLUMNS)
+    return facts.join(area, "area_id", "inner").filter(area_ok(p)).select(*MASTER_COLUMNS)
 
 
 def export_raw_csv(spark: SparkSession, sf_dir: str, out_dir: str, p: Params) -> str:
@@ -137,9 +144,12 @@ def export_raw_csv(spark: SparkSession, sf_dir: str, out_dir: str, p: Params) ->
     one English-header year with re-ordered columns), ``foot_traffic.csv``
     and a CP949-encoded ``area.csv`` — the mix the ingest must handle."""
     from ..config import HEADER_ALIASES
+    from .csv_sources import java_charsets
     ko = {c: pair[0] for c, pair in HEADER_ALIASES.items()}
     en = {c: pair[1] for c, pair in HEADER_ALIASES.items()}
-    sales, stores, foot, area = standin_sources(spark, sf_dir, p)
+    # the facts are written once; all four datasets are projections of them
+    sales, stores, foot, area = standin_sources(spark, sf_dir, p, materialize(
+        standin_facts(spark, sf_dir, p)))
     root = out_dir.rstrip("/")
 
     def dump(df: DataFrame, names: dict, path: str, encoding: str = "UTF-8", reverse=False):
@@ -155,6 +165,9 @@ def export_raw_csv(spark: SparkSession, sf_dir: str, out_dir: str, p: Params) ->
             dump(df.filter(year == y), ko if korean else en, f"{root}/{name}_{y}.csv",
                  reverse=not korean)
     dump(foot, ko, f"{root}/foot_traffic.csv")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    dump(area, ko, f"{root}/area.csv", encoding="x-windows-949")
+    # two area files: CP949, and UTF-8 with a byte order mark in the header
+    with java_charsets(spark):
+        dump(area.filter("area_id % 2 = 0"), ko, f"{root}/area.csv/cp949", encoding="x-windows-949")
+    marked = ko | {area.columns[0]: "\ufeff" + ko[area.columns[0]]}
+    dump(area.filter("area_id % 2 = 1"), marked, f"{root}/area.csv/utf8")
     return root

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..config import UNKNOWN
+
 MASTER_VIEW = "commercial_master"
 RESULT_VIEW = "recommendation_result"
 
@@ -12,3 +14,29 @@ def register_views(master: DataFrame, result: DataFrame | None = None) -> None:
     master.createOrReplaceTempView(MASTER_VIEW)
     if result is not None:
         result.createOrReplaceTempView(RESULT_VIEW)
+
+
+#: The landmark industry of each district (A4) for SQL users; the DataFrame
+#: form is ``plans.district.landmark_lq``.
+LANDMARK_SQL = f"""
+WITH cell AS (
+  SELECT district, industry, SUM(sales_amt) AS rev, SUM(stores) AS st
+  FROM {MASTER_VIEW} WHERE district IS NOT NULL AND district <> '{UNKNOWN}'
+  GROUP BY district, industry
+), margin AS (
+  SELECT *, SUM(rev) OVER (PARTITION BY district) AS d_rev, SUM(st) OVER (PARTITION BY district) AS d_st,
+         SUM(rev) OVER (PARTITION BY industry) AS i_rev, SUM(st) OVER (PARTITION BY industry) AS i_st
+  FROM cell
+), quotient AS (
+  SELECT district, industry, (rev / d_rev) / (i_rev / (SELECT SUM(rev) FROM cell)) AS by_rev,
+         (st / d_st) / (i_st / (SELECT SUM(st) FROM cell)) AS by_st
+  FROM margin
+), best AS (
+  SELECT district, MIN_BY(STRUCT(industry, by_rev, by_st),
+                          STRUCT(-(0.7D * by_rev + 0.3D * by_st) AS w, industry)) AS top
+  FROM quotient GROUP BY district
+)
+SELECT district, top.industry AS landmark_industry,
+       ROUND(0.7D * top.by_rev + 0.3D * top.by_st, 2) AS lq,
+       ROUND(top.by_rev, 2) AS rev_lq, ROUND(top.by_st, 2) AS store_lq
+FROM best ORDER BY lq DESC, district"""

@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
+
 from marketgrid.config import REFERENCE
 from marketgrid.plans.master import clean_sales
-from marketgrid.sources.csv_sources import (detect_encodings, list_files, read_raw_csv,
-                                            read_sources, typed)
+from marketgrid.sources.csv_sources import (file_groups, list_files, read_raw_csv, read_sources,
+                                            typed)
 from marketgrid.sources.sinks import write_samples
 
 KO = "기준_년분기_코드,상권_코드,서비스_업종_코드_명,당월_매출_금액,당월_매출_건수,연령대_20_매출_금액,연령대_30_매출_금액"
@@ -22,8 +24,8 @@ def test_mixed_headers_and_encodings(spark, tmpdir_fresh):
     _write(f"{d}/sales_2024.csv", KO + "\n20241,A1,한식음식점,1000,4,100,200\n", bom=True)
     _write(f"{d}/sales_2025.csv", EN_REORDERED + "\n7,A2,300,20251,커피-음료,2000,abc\n")
     _write(f"{d}/sales_2026.csv", KO + "\n20252,똠1,제과점,,1,1,1\n", enc="cp949")
-    encs = detect_encodings(spark, list_files(spark, f"{d}/sales_*.csv"))
-    assert sorted(v for v in encs.values()) == ["UTF-8", "UTF-8", "x-windows-949"]
+    groups = file_groups(spark, list_files(spark, f"{d}/sales_*.csv"))
+    assert sorted(enc for _, enc in groups) == ["UTF-8", "UTF-8", "x-windows-949"]
     df = typed(read_raw_csv(spark, f"{d}/sales_*.csv"), "sales")
     rows = {r.area_id: r for r in df.collect()}
     assert rows["A1"].quarter == 20241 and rows["A1"].sales_amt == 1000 and rows["A1"].amt_30s == 200
@@ -51,3 +53,37 @@ def test_read_sources_and_samples(spark, tmpdir_fresh):
     assert len(written) == 4
     back = spark.read.option("header", True).csv(os.path.join(out, "sample_area.csv")).first()
     assert back["상권_코드_명"] == "똠얌 골목"
+
+
+@pytest.mark.parametrize("folder", ["with space", "per%20cent", "한글 폴더", "plus+&=#"])
+def test_names_of_folders(spark, tmpdir_fresh, folder):
+    d = f"{tmpdir_fresh}/{folder}"
+    os.makedirs(d)
+    _write(f"{d}/sales_a 1.csv", KO + "\n20241,A1,제과점,1000,4,100,200\n", enc="cp949")
+    _write(f"{d}/sales_b%1.csv", KO + "\n20241,A2,커피-음료,7,4,1,2\n", bom=True)
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    rows = {r.area_id: r for r in typed(read_raw_csv(spark, f"{d}/sales_*.csv"), "sales").collect()}
+    assert rows["A1"].industry == "제과점" and rows["A1"].sales_amt == 1000
+    assert rows["A2"].industry == "커피-음료"
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+
+
+def test_decimal_text_and_missing_column(spark, tmpdir_fresh):
+    d = tmpdir_fresh
+    _write(f"{d}/sales_1.csv", KO + "\n20241.0,A1,제과점,123.0,4.9,-7.,x\n")
+    r = typed(read_raw_csv(spark, f"{d}/sales_1.csv"), "sales").first()
+    assert (r.quarter, r.sales_amt, r.sales_cnt, r.amt_20s, r.amt_30s) == (20241, 123, 4, -7, None)
+    _write(f"{d}/foot.csv", "기준_년분기_코드,상권_코드\n20241,A1\n")
+    with pytest.raises(ValueError, match="foot"):
+        typed(read_raw_csv(spark, f"{d}/foot.csv"), "foot")
+
+
+def test_many_part_files(spark, tmpdir_fresh):
+    d = tmpdir_fresh
+    for k in range(40):
+        head, body = (KO, f"20241,P{k},제과점,{k + 1},1,0,0") if k % 2 else (
+            EN_REORDERED, f"1,P{k},0,20241,제과점,{k + 1},0")
+        _write(f"{d}/sales_{k}.csv", f"{head}\n{body}\n", enc="cp949" if k % 4 == 1 else "utf-8")
+    rows = typed(read_raw_csv(spark, f"{d}/sales_*.csv"), "sales").collect()
+    assert {(r.area_id, r.sales_amt, r.industry) for r in rows} == {
+        (f"P{k}", k + 1, "제과점") for k in range(40)}

@@ -36,9 +36,14 @@ def test_folds_are_stratified(spark):
 def test_holdout_share(spark):
     df, rows = _scored(spark)
     h = model.stratified_holdout(df, 0.25)
-    for t in (0, 1):
-        n = sum(1 for r in rows if r[2] == t)
-        assert h.filter((F.col("target") == t) & F.col("is_test")).count() == -(-n // 4)
+    n = [sum(1 for r in rows if r[2] == t) for t in (0, 1)]
+    total = -(-sum(n) // 4)                      # a quarter of all rows, rounded up
+    exact = [total * k for k in n]
+    take = [e // sum(n) for e in exact]
+    for t in sorted((0, 1), key=lambda t: (-(exact[t] % sum(n)), t))[:total - sum(take)]:
+        take[t] += 1
+    got = {r.target: r["count"] for r in h.filter("is_test").groupBy("target").count().collect()}
+    assert got == {t: take[t] for t in (0, 1)} and sum(take) == total
 
 
 def test_class_report_zero_division(spark):

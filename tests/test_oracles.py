@@ -1,18 +1,19 @@
 """Every registered query with an oracle, against DuckDB on sf0.001 (the
-driver runs the same comparison at sf0.01).  Model-fitting queries have no
-oracle: they are checked for rows and value ranges."""
+driver runs the same comparison at sf0.01).  Model queries run with a few
+trees here; their oracles hold the columns that do not depend on the fit."""
 
 import math
-import os
 
 import duckdb
 import pytest
 from helpers import SF_SMALL
 
 import __spark_entry__ as E
+from marketgrid import registry
+from marketgrid.config import STANDIN
 
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = {n: q for n, q in E.queries().items() if n in registry.QUERIES}
+ORACLES = {n: q for n, q in E.oracle_sql().items() if n in QUERIES}
 TABLES = ["region", "nation", "supplier", "part", "orders", "lineitem"]
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
          "boolean": "BOOLEAN"}
@@ -31,6 +32,11 @@ def _norm(rows):
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+@pytest.fixture(autouse=True)
+def few_trees(monkeypatch):
+    monkeypatch.setattr(registry, "P", STANDIN.with_(gbt_iter=5))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
@@ -48,19 +54,9 @@ def test_query_matches_oracle(spark, con, name):
     assert _norm(s_rows) == _norm(d_rows)
 
 
-def test_every_query_has_oracle_or_is_a_model_query():
-    no_oracle = set(QUERIES) - set(ORACLES)
-    assert no_oracle == {"recommend_gbt", "gbt_cv_auc", "gbt_holdout_report",
-                         "permutation_importance", "tree_importance"}
-
-
-@pytest.mark.skipif(os.environ.get("MG_FAST") == "1", reason="model fits are slow")
-def test_gbt_queries_rows_and_ranges(spark):
-    rec = QUERIES["recommend_gbt"](spark, SF_SMALL).collect()
-    assert all(0.0 <= r.fit <= 1.0 and 0.0 <= r.entry <= 1.0 for r in rec)
-    imp = QUERIES["tree_importance"](spark, SF_SMALL).collect()
-    assert len(imp) == 5 and abs(sum(r.importance for r in imp) - 1.0) < 1e-9 or all(
-        r.importance == 0 for r in imp)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+    assert STANDIN.gbt_iter == 200               # the registered queries train in full
 
 
 def test_entry_smoke(spark):
