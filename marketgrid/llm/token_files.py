@@ -30,15 +30,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import materialize, table_dir
-from .common import id_and_text, partitions_for, raw_texts, slices
+from .common import id_and_text, partitions_for, slices
 
 #: Words remembered per generation in a worker.
 MEMO_WORDS = 200_000
+#: Bytes of text encoded at once: the more, the fewer times a word is looked up.
+SLICE = 4 << 20
 #: Documents per shard (a shard is one range of doc_id and one file).
 SHARD_DOCS = 8_000
 
@@ -54,14 +57,17 @@ _CLASS[0x21:0x7F] = [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
 _CLASS[0x20] = 0
 
 
-def _pieces_by_word(text: bytes) -> np.ndarray:
-    """Running number of pre-tokens at the end of every word of plain text:
-    runs of letters, single digits, runs of signs."""
+def _cut(text: bytes) -> tuple[list[bytes], list[int]]:
+    """Pre-tokens of plain text (runs of letters, single digits, runs of
+    signs), and their running number at the end of every word."""
     kind = _CLASS[np.frombuffer(text, np.uint8)]
     begins = kind > 0
     begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    stops = kind > 0
+    stops[:-1] &= begins[1:] | (kind[1:] == 0)
+    at = zip(np.flatnonzero(begins).tolist(), (np.flatnonzero(stops) + 1).tolist())
     upto = np.cumsum(begins)
-    return np.append(upto[np.flatnonzero(kind == 0) - 1], upto[-1])
+    return [text[x:y] for x, y in at], [*upto[np.flatnonzero(kind == 0) - 1].tolist(), int(upto[-1])]
 
 
 class WordEncoder:
@@ -73,7 +79,7 @@ class WordEncoder:
     could spell an added token."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
@@ -84,27 +90,36 @@ class WordEncoder:
         self.added = [t.content.lower().encode() for t in
                       self.lib.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if len(self.ends) <= 1 << 16 else "<u4")
+        # the same model for pre-tokens that are cut and folded already
+        self.bare = Tokenizer.from_file(path)
+        self.bare.no_truncation()
+        self.bare.no_padding()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(),
+             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.pieces: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
-        for k in range(0, len(words), 1000):
-            found.update(self._learn_some(words[k:k + 1000]))
+        found: dict[bytes, bytes] = {b"": b""}       # beside leading or trailing space
+        words = [w for w in words if w]
+        for k in range(0, len(words), 2000):
+            found.update(self._learn_some(words[k:k + 2000]))
         return found
 
     def _learn_some(self, words: list[bytes]) -> dict[bytes, bytes]:
-        text = b" ".join(words)
+        text = b" ".join(words).decode()
         low = text.lower()
-        if _PLAIN.fullmatch(text.decode()) and not any(a in low for a in self.added):
-            ids = np.array(self.lib.encode_batch_fast([text.decode()], add_special_tokens=False
-                                                      )[0].ids, self.kind)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            pieces = _pieces_by_word(text)
-            if len(pieces) == len(words) and len(ends) == pieces[-1]:
-                data, size = ids.tobytes(), self.kind.itemsize
-                cuts = [0, *(ends[pieces - 1] * size).tolist()]
-                return {w: data[a:b] for w, a, b in zip(words, cuts, cuts[1:])}
+        if _PLAIN.fullmatch(text) and not any(a.decode() in low for a in self.added):
+            pieces, upto = _cut(low.encode())
+            if len(self.pieces) > MEMO_WORDS:
+                self.pieces.clear()
+            self._learn_pieces(set(pieces).difference(self.pieces))
+            ids = list(map(self.pieces.__getitem__, pieces))
+            return {w: ids[x] if y == x + 1 else b"".join(ids[x:y])
+                    for w, x, y in zip(words, [0, *upto], upto)}
         plain = [w for w in words if _PLAIN.fullmatch(w.decode())]
         if 0 < len(plain) < len(words):
             rest = set(words).difference(plain)
@@ -112,24 +127,56 @@ class WordEncoder:
         coded = self.lib.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, coded)}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        docs, found, need = [], [], set()
-        for t in texts:
-            low = t.lower()
-            words = (t if any(a in low for a in self.added) else low).split()
-            ids = list(map(self.young.get, words))
-            if None in ids:
-                need.update([w for w, x in zip(words, ids) if x is None])
-            docs.append(words)
-            found.append(ids)
-        self.young.update((w, self.old[w]) for w in need if w in self.old)
-        self.young.update(self._learn([w for w in need if w not in self.young]))
-        young = self.young
-        out = [b"".join([young[w] if x is None else x for w, x in zip(words, ids)])
-               if None in ids else b"".join(ids) for words, ids in zip(docs, found)]
+    def _learn_pieces(self, pieces: set[bytes]) -> None:
+        """The library encodes many pre-tokens as one text; the word ends in
+        its ids tell them apart."""
+        todo = list(pieces)
+        for k in range(0, len(todo), 5000):
+            part = todo[k:k + 5000]
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()],
+                                                       add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise RuntimeError("pre-tokens and word ends do not agree")
+            data, size = ids.tobytes(), self.kind.itemsize
+            self.pieces.update((p, data[x * size:y * size]) for p, x, y in zip(part, [0, *ends], ends))
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        found = list(map(self.young.get, words))
+        if None in found:
+            need = [w for w, x in zip(words, found) if x is None]
+            self.young.update((w, self.old[w]) for w in need if w in self.old)
+            self.young.update(self._learn([w for w in need if w not in self.young]))
+            found = list(map(self.young.__getitem__, words))
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
-        return out
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of a string array.  Arrow splits the texts and
+        numbers the distinct words; their ids are laid out by numpy."""
+        low = pc.ascii_lower(texts)
+        odd = np.zeros(len(texts), bool)             # could hold an added token
+        for a in self.added:
+            odd |= pc.match_substring(low, a.decode()).to_numpy(zero_copy_only=False)
+        if odd.any():
+            low = pc.if_else(pa.array(odd), texts, low)
+        split = pc.ascii_split_whitespace(low)
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        kind = pa.large_binary() if pa.types.is_large_string(low.type) else pa.binary()
+        known = self._ids_of(words.dictionary.cast(kind).to_pylist())
+        size = self.kind.itemsize
+        many = np.fromiter(map(len, known), np.int64, len(known)) // size
+        first = np.cumsum(many) - many
+        per_word = many[at]
+        ends = np.cumsum(per_word)
+        place = np.repeat(first[at] - (ends - per_word), per_word)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(known), self.kind)[place].tobytes()
+        cuts = (np.append(0, ends)[split.offsets.to_numpy()] * size).tolist()
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -183,8 +230,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.kind).tobytes()
-        for b in slices(batches):
-            ids = [x + end for x in enc.encode(raw_texts(b))]
+        for b in slices(batches, limit=SLICE):
+            ids = [x + end for x in enc.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(ids, pa.binary()),
                  pa.array(np.full(len(ids), enc.kind.itemsize == 4))],
