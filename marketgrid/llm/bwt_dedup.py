@@ -16,10 +16,10 @@ starts in a document with a smaller doc_id.
    ``SHARD`` bytes, and each shard gets its suffixes sorted to ``size`` bytes
    and its Burrows-Wheeler transform.  The shards are then merged without
    sorting their suffixes again: an interleave, which names the shard of each
-   place in the merged order, starts from the shards' sorted first 8 symbols
-   and is refined by two symbols at a time: the places are dealt stably by the
+   place in the merged order, starts from the shards' sorted heads of ``HEAD``
+   symbols and is refined by two symbols at a time: the places are dealt stably by the
    two symbols that precede them in the transform.  After t rounds it orders
-   the suffixes of all shards by their first 8 + 2t symbols, and the places
+   the suffixes of all shards by their first 32 + 2t symbols, and the places
    where a new prefix begins are known, which is what common prefix lengths
    capped there say.  At ``size`` symbols the runs without a new prefix are the
    intervals of equal strings of ``size`` bytes.
@@ -53,6 +53,7 @@ PIECE = 128 << 10                   # bytes hashed at once
 SHARD = 64 << 10
 #: Blocks that hold a hash before its windows are sent one by one.
 MANY_BLOCKS = 64
+HEAD = 32                           # symbols that the interleave starts with
 END = 0xFF                          # ends a snippet; never a byte of UTF-8
 
 
@@ -60,8 +61,8 @@ END = 0xFF                          # ends a snippet; never a byte of UTF-8
 
 class Shard:
     """Snippets with their suffixes sorted to ``size`` symbols.  ``suffix``:
-    places in the text; ``word``: the first 8 symbols (or ``size``) of each;
-    ``pair``: the two symbols before each."""
+    places in the text; ``head``: the first ``HEAD`` symbols (or ``size``) of
+    each; ``pair``: the two symbols before each."""
 
     def __init__(self, snippets: list[bytes], size: int):
         text = np.frombuffer(bytes([END]).join(snippets) + bytes([END]), np.uint8)
@@ -85,7 +86,11 @@ class Shard:
             behind[:-step] = rank[step:]
             order, rank = _ranked(rank * np.int64(len(rank) + 1) + behind)
             known += step
-        self.suffix, self.word = order, words[order]
+        self.suffix = order
+        head = min(HEAD, size)
+        padded = np.concatenate([text, np.full(head, END, np.uint8)])
+        heads = np.lib.stride_tricks.sliding_window_view(padded, head)
+        self.head = np.ascontiguousarray(heads[order]).view(f"S{head}").ravel()
         self.pair = text[two[order]].astype(np.uint16) << 8 | text[one[order]]
         self.text, self.ends = text, ends
 
@@ -105,15 +110,15 @@ def merge(shards: list[Shard], size: int) -> tuple[np.ndarray, np.ndarray]:
     new string of ``size`` symbols begins."""
     pairs = np.concatenate([s.pair for s in shards])
     shard = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.pair) for s in shards])
-    # the interleave by the first symbols: sorted runs of words, merged
-    words = np.concatenate([s.word for s in shards])
-    order = np.argsort(words, kind="stable")
-    shard, dealt = shard[order], words[order]
-    begins = np.ones(len(words), bool)
+    # the interleave by the first symbols: a merge of sorted runs
+    heads = np.concatenate([s.head for s in shards])
+    order = np.argsort(heads, kind="stable")
+    shard, dealt = shard[order], heads[order]
+    begins = np.ones(len(heads), bool)
     begins[1:] = dealt[1:] != dealt[:-1]
     group = np.cumsum(begins, dtype=np.int32)
     before = np.empty_like(pairs)
-    known = min(8, size)
+    known = min(HEAD, size)
     while known < size:
         if known + 1 == size:                   # the last of an odd number
             pairs = pairs & 0xFF
