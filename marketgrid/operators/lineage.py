@@ -8,20 +8,37 @@ start from the written files instead of recomputing the upstream plan.
 Compared with ``Dataset.checkpoint`` this is one job instead of two (a
 reliable checkpoint first computes, then runs a second job to write), and
 readers get Parquet column pruning and filter pushdown on the written table.
+
+Written tables stay until ``release``, since lazy results read them; a
+long-lived session calls it once the results of its queries are used.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
 
+_written: list[str] = []
+
+
 def table_dir(df: DataFrame) -> str:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    return f"{base}/marketgrid-tables/{uuid.uuid4().hex}"
+    _written.append(f"{base}/marketgrid-tables/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table this process has written; how many folders went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -321,6 +321,15 @@ def candidates(base: Q3Base, p: Params, cur: DataFrame | None = None) -> DataFra
     return a.filter(keep).dropna(subset=FEATURES)
 
 
+def require_candidates(found: DataFrame) -> DataFrame:
+    """The candidates, written once; ValueError if no pair meets all
+    conditions, as there is nothing to rank then."""
+    found = materialize(found)
+    if found.isEmpty():
+        raise ValueError("no candidate meets all conditions")
+    return found
+
+
 def recommend(scored: DataFrame) -> DataFrame:
     """entry = (1 − minmax(density))·0.7 + max(0, 1 − |pct − 0.65|/0.65)·0.3;
     score = fit · entry.  ``scored`` carries a ``fit`` column (model output)."""

@@ -228,7 +228,8 @@ def q_class_report(spark, sf_dir):
 def gbt_ranking(spark, sf_dir):
     _, base = q3_base(spark, sf_dir)
     fitted = model.fit_gbt(_train(base), P)
-    scored = model.score(fitted, settlement.candidates(base, P)).withColumnRenamed("prob", "fit")
+    found = settlement.require_candidates(settlement.candidates(base, P))
+    scored = model.score(fitted, found).withColumnRenamed("prob", "fit")
     return settlement.recommend(scored)
 
 

@@ -8,6 +8,7 @@ creates a private folder only when Spark runs in local mode and none is set.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,7 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return conf
-    if sc.master.startswith("local"):
+    if re.match(r"local(\[|$)", sc.master):
         path = tempfile.mkdtemp(prefix="marketgrid-ckpt-",
                                 dir=os.environ.get("MARKETGRID_SCRATCH"))
         sc.setCheckpointDir(path)

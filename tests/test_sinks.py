@@ -37,3 +37,15 @@ def test_master_view_sql(spark):
     register_views(m)
     n = spark.sql(f"SELECT COUNT(DISTINCT quarter) AS nq FROM {MASTER_VIEW}").first().nq
     assert n == len(STANDIN.quarters)
+
+
+def test_release_empties_the_scratch_folder(spark, tmpdir_fresh, monkeypatch):
+    import os
+
+    from marketgrid.operators import lineage
+    monkeypatch.setattr(lineage, "_written", [])
+    monkeypatch.setattr(lineage, "ensure_checkpoint_dir", lambda s: tmpdir_fresh)
+    for _ in range(3):
+        assert lineage.materialize(spark.range(5)).count() == 5
+    root = os.path.join(tmpdir_fresh, "marketgrid-tables")
+    assert len(os.listdir(root)) == 3 and lineage.release(spark) == 3 and os.listdir(root) == []
