@@ -18,8 +18,7 @@ from ..operators.lineage import materialize
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b -> node, component (the smallest node reachable)."""
-    both = materialize(links.select("a", "b").union(links.select("b", "a"))
-                       .filter("a <> b").distinct())
+    both = materialize(links.select("a", "b").union(links.select("b", "a")).filter("a <> b"))
     parents = materialize(both.groupBy(F.col("a").alias("node"))
                           .agg(F.least(F.min("b"), F.first("a")).alias("parent")))
     while True:

@@ -136,8 +136,8 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
 
 
 def sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (two longs; null for the empty set), regs
-    (binary, unsigned 16-bit), keys (bucket keys)."""
+    """doc_id, n_shingles, key_a and key_b (digest of the set; null for the
+    empty set), keys (bucket keys of its sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -155,18 +155,16 @@ def sketch(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
                     [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([None if k is None else int(digests[k][0]) for k in rows], pa.int64()),
                      pa.array([None if k is None else int(digests[k][1]) for k in rows], pa.int64()),
-                     pa.array([None if k is None else regs[k].tobytes() for k in rows], pa.binary()),
                      pa.array([None if k is None else keys[k] for k in rows], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "key_a", "key_b", "regs", "keys"])
+                    names=["doc_id", "n_shingles", "key_a", "key_b", "keys"])
 
     return id_and_text(docs).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, key_a bigint, key_b bigint, regs binary, "
-             "keys array<bigint>")
+        run, "doc_id bigint, n_shingles bigint, key_a bigint, key_b bigint, keys array<bigint>")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, elements (binary, sorted unsigned 64-bit), short (their low 32
-    bits, sorted)."""
+    bits, sorted), regs (the sketch); for texts with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -176,10 +174,11 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo),
                      pa.array([s.tobytes() for s in sets], pa.binary()),
-                     pa.array([np.sort(s.astype(np.uint32)).tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "elements", "short"])
+                     pa.array([np.sort(s.astype(np.uint32)).tobytes() for s in sets], pa.binary()),
+                     pa.array([r.tobytes() for r in registers(sets)], pa.binary())],
+                    names=["doc_id", "elements", "short", "regs"])
 
-    return docs.mapInArrow(run, "doc_id bigint, elements binary, short binary")
+    return docs.mapInArrow(run, "doc_id bigint, elements binary, short binary, regs binary")
 
 
 def _with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -190,29 +189,11 @@ def _with(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b, near: whether the likely similarity is at least ``LOOSE``."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, either: sizes of intersection and union of the full sets,
+    for pairs whose likely similarity is at least ``LOOSE``; no others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16)
-                        .reshape(-1, REGISTERS) for k in (2, 3)]
-                sizes = [np.asarray(b.column(k)).astype(float) for k in (4, 5)]
-                near = likely_similarity(*regs, *sizes) >= LOOSE
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)],
-                                                 names=["a", "b", "near"])
-
-    return (_with(pairs, sketches, ["regs", "n_shingles"])
-            .select("a", "b", "a_regs", "b_regs", "a_n_shingles", "b_n_shingles")
-            .mapInArrow(run, "a bigint, b bigint, near boolean"))
-
-
-def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, both, either: sizes of intersection and union of the full sets."""
-
-    def sizes(x: bytes, y: bytes) -> tuple[int, int]:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    def sizes(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
         if len(x) > len(y):
             x, y = y, x
         at = np.searchsorted(y, x)
@@ -221,13 +202,20 @@ def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "a_elements"):
-            found = np.array([sizes(x, y) for x, y in
-                              zip(b.column(2).to_pylist(), b.column(3).to_pylist())], np.int64)
+            regs = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16)
+                    .reshape(-1, REGISTERS) for k in (2, 3)]
+            x, y = ([np.frombuffer(e, np.uint64) for e in b.column(k).to_pylist()] for k in (4, 5))
+            n_x, n_y = (np.array([len(e) for e in side], float) for side in (x, y))
+            near = likely_similarity(*regs, n_x, n_y) >= LOOSE
+            found = np.array([sizes(x[k], y[k]) for k in np.flatnonzero(near)],
+                             np.int64).reshape(-1, 2)
+            kept = pa.array(near)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(found[:, 0]), pa.array(found[:, 1])],
-                names=["a", "b", "both", "either"])
+                [b.column(0).filter(kept), b.column(1).filter(kept),
+                 pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b", "both", "either"])
 
-    return (_with(pairs, sets, ["elements"]).select("a", "b", "a_elements", "b_elements")
+    return (_with(pairs, sets, ["regs", "elements"])
+            .select("a", "b", "a_regs", "b_regs", "a_elements", "b_elements")
             .mapInArrow(run, "a bigint, b bigint, both bigint, either bigint"))
 
 
@@ -315,7 +303,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # documents of one class have equal sketches; any row of the representative will do
     reps = materialize(known.join(classes.select(F.col("rep").alias("doc_id")).distinct(),
                                   "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                       .select("doc_id", "n_shingles", "regs", "keys"))
+                       .select("doc_id", "n_shingles", "keys"))
     entries = reps.select(F.explode("keys").alias("key"), "doc_id")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(entries.join(shared, "key"))
@@ -331,7 +319,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # every document against the leaders of its buckets
     with_leader = led.filter("doc_id <> leader").select(F.col("leader").alias("a"),
                                                         F.col("doc_id").alias("b")).distinct()
-    stars = materialize(counted(likely(with_leader, reps).filter("near").select("a", "b"), sets))
+    stars = materialize(compared(with_leader, sets))
     first = stars.filter(is_link).select("a", "b")
     grouped = components(first)
 
@@ -352,9 +340,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
                                 F.coalesce("distance", F.lit(1.0)).alias("high")))
     sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     pairs = joined_pairs(sized.filter(F.col("rows") <= SMALL), percent)
-    near = likely(pairs, reps).filter("near").select("a", "b").union(
-        blocked_pairs(sized.filter(F.col("rows") > SMALL), sets, percent)).distinct()
-    more = materialize(counted(near, sets).filter(is_link).select("a", "b"))
+    pairs = pairs.union(blocked_pairs(sized.filter(F.col("rows") > SMALL), sets, percent)).distinct()
+    more = materialize(compared(pairs, sets).filter(is_link).select("a", "b"))
     if not more.isEmpty():                       # links between whole components
         names = grouped.select("node", F.col("component").alias("of"))
         ends = more
