@@ -51,8 +51,11 @@ SIZE, PART = 50, 20
 BLOCK_BYTES = 2 << 20
 PIECE = 128 << 10                   # bytes hashed at once
 SHARD = 64 << 10
-#: Blocks that hold a hash before its windows are sent one by one.
-MANY_BLOCKS = 64
+#: Blocks that hold a hash before its windows are sent one by one.  Below that
+#: the snippets of one hash are some ten MB at most (blocks x documents a block
+#: x 70 bytes), which a bucket can hold; sent one by one they would be several
+#: times as large.
+MANY_BLOCKS = 1024
 HEAD = 32                           # symbols that the interleave starts with
 END = 0xFF                          # ends a snippet; never a byte of UTF-8
 
