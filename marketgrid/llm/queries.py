@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import (bpe_automaton, bwt_dedup, html_text, language_id, near_dedup, packing, quality_rules,
                substring_dedup, token_files, winnowing)
 from .common import documents, ship_package
+from .oracles import SQL  # noqa: F401
 
 #: End-of-document id that op4 appends.
 END_ID = 2
@@ -95,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
-
