@@ -39,9 +39,9 @@ from ..operators.lineage import materialize, table_dir
 from .common import id_and_text, partitions_for, slices
 
 #: Words remembered per generation in a worker.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 #: Bytes of text encoded at once: the more, the fewer times a word is looked up.
-SLICE = 4 << 20
+SLICE = 6 << 20
 #: Documents per shard (a shard is one range of doc_id and one file).
 SHARD_DOCS = 8_000
 
