@@ -272,5 +272,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose language is known with more than ``least``."""
     label, score = "_language_label", "_language_score"
-    found = predict(docs, train(docs), label, score)
+    net = train(docs)
+    if not net.languages:                        # nothing to learn from: any letter will do
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = predict(docs, net, label, score)
     return found.filter((F.col(label) != UNKNOWN) & (F.col(score) > least)).select(*docs.columns)

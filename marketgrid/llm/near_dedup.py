@@ -33,7 +33,8 @@ tables; sketches, sets and links never reach the driver.
 Edge cases: a null or empty text, or one without words, has the empty set and
 no links; with fewer than ``n`` words the whole sequence is the one shingle;
 ties go to the smaller doc_id; rows that repeat a doc_id count as one
-document; an empty table gives an empty result.
+document; rows without a doc_id have no links and no component and are kept;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -298,7 +299,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links), kept (doc_id = component_id)."""
     sketches = materialize(sketch(docs, n))
-    known = sketches.filter(F.col("key_a").isNotNull())
+    known = sketches.filter(F.col("key_a").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(known.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")))
     # documents of one class have equal sketches; any row of the representative will do
     reps = materialize(known.join(classes.select(F.col("rep").alias("doc_id")).distinct(),
@@ -360,11 +361,12 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     return (sketches.select("doc_id", "n_shingles", "key_a", "key_b")
             .join(of_class, ["key_a", "key_b"], "left")
             .select("doc_id", "n_shingles",
-                    F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.col("doc_id") == F.col("component_id")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+                    .alias("component_id"))
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` of which one document per group stays."""
     kept = near_duplicates(docs, n, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")

@@ -13,7 +13,7 @@
    third of all rows is spread over many tasks.
 
 Edge cases: a null or empty text has length 0 and is padded like any other;
-repeated rows take places of their own; fewer distinct lengths than buckets
+repeated rows take places of their own; rows without a doc_id come first; fewer distinct lengths than buckets
 give one bucket per length; an empty table gives an empty result.  A document
 longer than the token budget is a batch of its own.
 """

@@ -19,7 +19,8 @@ sums give the place of every rank, and ids come from the rank table; all by
 numpy over whole batches.
 
 Edge cases: a null or empty text holds just the end id; repeated doc_ids stand
-side by side, ordered by their ids; an empty table gives empty shards.
+side by side, ordered by their ids; rows without a doc_id come first; an empty
+table gives empty shards.
 """
 
 from __future__ import annotations

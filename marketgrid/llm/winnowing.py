@@ -16,7 +16,8 @@ fingerprint ''; a text with fewer than ``k`` words has one hash over all of
 them; with fewer than ``w`` k-grams the one window is the whole text.  The
 likeness of two fingerprints is the Jaccard index of their hash sets; of two
 empty ones 1.  Where doc_ids repeat, the next document is the one with the
-smallest text among the next larger doc_id.
+smallest text among the next larger doc_id.  A row without a doc_id has no
+next document: its last quarter is replaced by nothing.
 """
 
 from __future__ import annotations
@@ -121,7 +122,7 @@ def edited_and_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     and its own hash set."""
     texts = id_and_text(docs)
     quarter = F.expr("char_length(text) div 4")
-    ids = texts.groupBy("doc_id").agg(F.max(quarter).alias("need"))
+    ids = texts.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(quarter).alias("need"))
     placed = (texts.join(predecessors(ids), "doc_id")
               .groupBy("doc_id").agg(F.first("prev_id").alias("prev_id"),
                                      F.first("prev_need").alias("prev_need"),
@@ -131,7 +132,9 @@ def edited_and_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
                          hashes(winnow(F.col("text"), k, w)).alias("next_hashes"))
     cut = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), "
                  "substring(head, 1, cast(n_chars div 4 as int)))")
-    found = (texts.join(sent, "doc_id")
+    found = (texts.join(sent, "doc_id", "left")
+             .withColumn("head", F.coalesce("head", F.lit("")))
+             .withColumn("next_hashes", F.coalesce("next_hashes", F.array().cast("array<int>")))
              .withColumn("n_chars", F.char_length("text").cast("bigint"))
              .withColumn("edited", cut)
              .select("doc_id", "n_chars", "edited", "next_hashes",

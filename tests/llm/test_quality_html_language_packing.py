@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 from helpers import SF_CHECK, SF_SMALL
+from pyspark.sql import functions as F
 
 from marketgrid.llm import html_text, language_id, packing, quality_rules
 
@@ -154,6 +155,9 @@ def test_language_odd(odd, empty):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, p in by_id.items() if p != "und"}
     assert language_id.identify(empty).count() == 0
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language_id.keep_known(unlabelled).collect()} == {
+        r[0] for r in odd_rows() if any(c.isalpha() for c in r[1] or "")}
 
 
 # -- packing ----------------------------------------------------------------------
