@@ -55,7 +55,8 @@ _WORD_END = "</w>"
 _CLASS = np.full(256, 1, np.uint8)
 _CLASS[0x21:0x7F] = [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
                      for b in range(0x21, 0x7F)]
-_CLASS[0x20] = 0
+_CLASS[[0x20, 9, 10, 11, 12, 13]] = 0
+_ODD = r"[^ \t\n\x0b\x0c\r!-&(-~À-ÖØ-öø-ÿ]"
 
 
 def _cut(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -155,29 +156,75 @@ class WordEncoder:
         return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of every text of a string array.  Arrow splits the texts and
-        numbers the distinct words; their ids are laid out by numpy."""
+        """Ids of every text of a string array.  Plain texts are cut into
+        pre-tokens, others into words; Arrow numbers the distinct ones, and
+        their ids are laid out by numpy."""
         low = pc.ascii_lower(texts)
         odd = np.zeros(len(texts), bool)             # could hold an added token
         for a in self.added:
             odd |= pc.match_substring(low, a.decode()).to_numpy(zero_copy_only=False)
-        if odd.any():
-            low = pc.if_else(pa.array(odd), texts, low)
-        split = pc.ascii_split_whitespace(low)
+        plain = ~odd & ~pc.match_substring_regex(low, _ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for mask, encode, source in ((plain, self._encode_plain, low), (odd, self._encode_words, texts),
+                                     (~plain & ~odd, self._encode_words, low)):
+            rows = np.flatnonzero(mask)
+            if len(rows):
+                for k, x in zip(rows.tolist(), encode(source.filter(pa.array(mask)))):
+                    out[k] = x
+        return out
+
+    def _encode_plain(self, texts: pa.Array) -> list[bytes]:
+        sizes = np.asarray(pc.binary_length(texts), np.int64)
+        text = np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8).copy()
+        # capitals beyond ASCII: in UTF-8, C3 80..9E but 97 become C3 A0..BE
+        second = np.flatnonzero(text[:-1] == 0xC3) + 1
+        second = second[(text[second] <= 0x9E) & (text[second] != 0x97)]
+        text[second] += 0x20
+        kind = _CLASS[text]
+        solid = kind > 0
+        begins = solid.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        ends = np.cumsum(sizes)
+        heads = (ends - sizes)[sizes > 0]
+        begins[heads] = solid[heads]
+        stops = solid.copy()
+        stops[:-1] &= begins[1:] | ~solid[1:]
+        start = np.flatnonzero(begins)
+        body = text[solid]
+        offsets = np.append(0, np.cumsum(np.flatnonzero(stops) + 1 - start)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(start),
+                                       [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+        pieces = pieces.dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        known = list(map(self.pieces.get, distinct))
+        if None in known:
+            if len(self.pieces) > 2 * MEMO_WORDS:
+                self.pieces.clear()
+            self._learn_pieces({w for w in distinct if w not in self.pieces})
+            known = list(map(self.pieces.__getitem__, distinct))
+        return self._laid_out(known, pieces.indices.to_numpy(),
+                              np.append(0, np.searchsorted(start, ends)))
+
+    def _encode_words(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        at = words.indices.to_numpy()
-        kind = pa.large_binary() if pa.types.is_large_string(low.type) else pa.binary()
-        known = self._ids_of(words.dictionary.cast(kind).to_pylist())
+        kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+        offsets = split.offsets.to_numpy()
+        return self._laid_out(self._ids_of(words.dictionary.cast(kind).to_pylist()),
+                              words.indices.to_numpy(), offsets - offsets[0])
+
+    def _laid_out(self, known: list[bytes], at: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """Ids of the units ``at``, cut into documents."""
         size = self.kind.itemsize
         many = np.fromiter(map(len, known), np.int64, len(known)) // size
         first = np.cumsum(many) - many
-        per_word = many[at]
-        ends = np.cumsum(per_word)
-        place = np.repeat(first[at] - (ends - per_word), per_word)
+        per_unit = many[at]
+        ends = np.cumsum(per_unit)
+        place = np.repeat(first[at] - (ends - per_unit), per_unit)
         place += np.arange(len(place))
         ids = np.frombuffer(b"".join(known), self.kind)[place].tobytes()
-        cuts = (np.append(0, ends)[split.offsets.to_numpy()] * size).tolist()
-        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+        bounds = (np.append(0, ends)[cuts] * size).tolist()
+        return [ids[x:y] for x, y in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)
