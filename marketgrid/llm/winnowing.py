@@ -132,9 +132,11 @@ def edited_and_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
                          hashes(winnow(F.col("text"), k, w)).alias("next_hashes"))
     cut = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 4 as int)), "
                  "substring(head, 1, cast(n_chars div 4 as int)))")
-    found = (texts.join(sent, "doc_id", "left")
-             .withColumn("head", F.coalesce("head", F.lit("")))
-             .withColumn("next_hashes", F.coalesce("next_hashes", F.array().cast("array<int>")))
+    # an inner join, so that both of its sides read one shuffle of the texts
+    nameless = texts.filter(F.col("doc_id").isNull()).select(
+        "doc_id", "text", F.lit("").alias("head"), F.array().cast("array<int>").alias("next_hashes"))
+    found = (texts.join(sent, "doc_id").select("doc_id", "text", "head", "next_hashes")
+             .union(nameless)
              .withColumn("n_chars", F.char_length("text").cast("bigint"))
              .withColumn("edited", cut)
              .select("doc_id", "n_chars", "edited", "next_hashes",
