@@ -160,6 +160,24 @@ def test_language_odd(odd, empty):
         r[0] for r in odd_rows() if any(c.isalpha() for c in r[1] or "")}
 
 
+def test_gibberish_goes_clean_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    rng = np.random.default_rng(3)
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", "абвгдежзиклмнопрст", "αβγδεζηθικλμν")
+    junk = [(10 ** 6 + k, " ".join("".join(a[i] for i in rng.integers(0, len(a), rng.integers(2, 10)))
+                                   for _ in range(120))) for k, a in enumerate(alphabets * 5)]
+    columns = ["doc_id", "text", "lang"]
+    both = docs.select(*columns).unionByName(
+        spark.createDataFrame(junk, "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string")))
+    kept = {r.doc_id for r in language_id.keep_known(both).collect()}
+    assert not kept & {i for i, _ in junk}
+    clean = [r for r in docs.collect() if r.lang and len((r.text or "").split()) >= 50]
+    assert {r.lang for r in clean} == {"de", "en", "es", "fr"}
+    for lang in ("de", "en", "es", "fr"):
+        mine = [r.doc_id in kept for r in clean if r.lang == lang]
+        assert sum(mine) >= 0.99 * len(mine)
+
+
 # -- packing ----------------------------------------------------------------------
 
 def padding(sizes, n, bounds):
