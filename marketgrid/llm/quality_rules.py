@@ -9,12 +9,23 @@ quartile, at least a floor per ratio); the mean word length has a lower fence
 too.  The fences are joined back to the documents, and a document outside any
 fence, or one that fails the base rule, is rejected.
 
+A group's own quartile is a junk value once a quarter of the group is junk, so
+the sketches are merged upwards as well, per language and over the corpus, and
+no group's fence lies outside a merged one.  The merged fences are built from
+the median and twice the distance to its nearer quartile in place of the
+quartiles, so they hold up to about half of junk.  The mean word length, which
+has usual values on both sides of a median, keeps its quartiles there and so
+holds up to a quarter.  The corpus bounds only the ratios that do not depend
+on the script and spelling of a language (``ANY_LANGUAGE``).
+
 The base rule: fewer than 50 words, or more than half of the words in
 repeated 3-word windows.  Sketches cover the documents that pass it.
 
 Edge cases: a null or empty text has no words and fails the base rule; null
 languages and sources are groups of their own; a group of one document keeps
-it (its ratios are the quartiles); repeated rows are judged alike.
+it within the merged fences (its ratios are its quartiles); a source that is
+unusual for its language and for the corpus is rejected however uniform it
+is; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -40,6 +51,8 @@ FLOORS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.12, "repeat_ratio": 0.1,
           "capital_ratio": 0.04, "mean_word": 0.5}
 #: ratios with a lower fence as well
 TWO_SIDED = ("mean_word",)
+#: ratios bounded over the whole corpus as well
+ANY_LANGUAGE = ("symbol_ratio", "dup_line_ratio", "repeat_ratio")
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
            "n_lines", "n_capitals")
@@ -111,19 +124,47 @@ def base_failed() -> Column:
     return (_count("n_words") < 50) | (100 * _count("n_repeat_words") > 50 * _count("n_words"))
 
 
+def _fence(name: str, lo: Column, hi: Column, width: float) -> tuple[Column, Column]:
+    spread = F.greatest(hi - lo, F.lit(FLOORS[name])) * width
+    return lo - spread, hi + spread
+
+
+def _merged_fence(name: str, width: float) -> tuple[Column, Column]:
+    lo, mid, hi = (F.col(name)[k] for k in range(3))
+    if name in TWO_SIDED:
+        return _fence(name, lo, hi, width)
+    half = F.least(mid - lo, hi - mid)
+    return _fence(name, mid - half, mid + half, width)
+
+
 def fences(measured: DataFrame, width: float = 3.0, accuracy: int = 10_000) -> DataFrame:
     """One row per (lang, source): _lang, _source, and per ratio its fences."""
-    quartiles = F.array(F.lit(0.25), F.lit(0.75))
-    sketched = (measured.filter(~base_failed())
-                .groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-                .agg(*[F.percentile_approx(c, quartiles, accuracy).alias(name)
-                       for name, c in _ratios().items()]))
+    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    passed = measured.filter(~base_failed()).select(
+        F.col("lang").alias("_lang"), F.col("source").alias("_source"),
+        *[c.alias(name) for name, c in _ratios().items()])
+    keys = [F.col("_lang"), F.col("_source")]
+    sketched = materialize(
+        passed.groupingSets([keys, keys[:1], []], *keys)
+        .agg(F.grouping_id().cast("int").alias("_level"),
+             *[F.percentile_approx(name, quartiles, accuracy).alias(name) for name in FLOORS]))
+
+    def merged(tag: str, names) -> list[Column]:
+        return [c.alias(f"{tag}{name}_{side}") for name in names
+                for side, c in zip(("low", "high"), _merged_fence(name, width))]
+
+    per_group = sketched.filter(F.col("_level") == 0)
+    per_lang = sketched.filter(F.col("_level") == 1).select(
+        F.col("_lang").alias("_of_lang"), *merged("_lang_", FLOORS))
+    corpus = sketched.filter(F.col("_level") == 3).select(*merged("_corpus_", ANY_LANGUAGE))
     out = []
-    for name, floor in FLOORS.items():
-        lo, hi = F.col(name)[0], F.col(name)[1]
-        spread = F.greatest(hi - lo, F.lit(floor)) * width
-        out += [(lo - spread).alias(f"{name}_low"), (hi + spread).alias(f"{name}_high")]
-    return sketched.select("_lang", "_source", *out)
+    for name in FLOORS:
+        low, high = _fence(name, F.col(name)[0], F.col(name)[2], width)
+        tags = ["_lang_", "_corpus_"] if name in ANY_LANGUAGE else ["_lang_"]
+        out += [F.greatest(low, *[F.col(f"{t}{name}_low") for t in tags]).alias(f"{name}_low"),
+                F.least(high, *[F.col(f"{t}{name}_high") for t in tags]).alias(f"{name}_high")]
+    return (per_group.join(F.broadcast(per_lang), F.col("_lang").eqNullSafe(F.col("_of_lang")), "left")
+            .crossJoin(F.broadcast(corpus)).select("_lang", "_source", *out))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:

@@ -65,6 +65,27 @@ def test_labelled_quality(spark):
     assert sum(not r.kept for r in bad) >= 0.95 * len(bad)
 
 
+def test_source_with_much_junk(spark):
+    """Junk goes though it is a third, or half, of its source."""
+    def text(k, mark):
+        return " ".join(f"word{k}x{j}{mark if j % 2 else ''}" for j in range(60))
+    rows, junk = [], set()
+    for n, (lang, source, part) in enumerate([("en", "a", 0), ("en", "b", 3), ("en", "c", 2),
+                                              ("de", "a", 0), ("de", "b", 2), (None, "a", 0)]):
+        for k in range(30):
+            bad = part and k % part == 0
+            rows.append((100 * n + k, text(100 * n + k, "##" if bad else ""), lang, source))
+            junk |= {100 * n + k} if bad else set()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id for r in quality_rules.keep_good(df).collect()} == {r[0] for r in rows} - junk
+
+
+def test_small_groups_follow_merged_fences(spark):
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet").filter("quality = 0")
+    assert quality_rules.keep_good(docs).join(labels, "doc_id", "left_semi").count() == 0
+
+
 # -- pages -------------------------------------------------------------------
 
 def test_page_rules():
