@@ -75,7 +75,8 @@ _MARKS = re.compile(
     r"share|sharing|social|related|recommended|comment|comments|reply|replies|disqus|widget|"
     r"search|toolbar|copyright|legal|pager|pagination|complementary|contentinfo|dialog)"
     r"(?=$|[\s_-])", re.I)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+#: One attribute; its value is consumed, so nothing is looked for inside it.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
                   r"""|[!?][^>]*(?:>|$)|/?[a-zA-Z][^>]*(?:>|$))""", re.S)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,6 +94,16 @@ class Block:
         self.out, self.heading = out, heading
 
 
+def attributes(inside: str) -> dict[str, str]:
+    """Lower-cased names and values of a tag's attributes; of a name given
+    twice the first counts."""
+    given: dict[str, str] = {}
+    for a in _ATTRIBUTE.finditer(inside):
+        value = a[2] or ""
+        given.setdefault(a[1].lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return given
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order; ``place`` is 0 outside article/main, else
     a number per such element."""
@@ -155,11 +166,12 @@ def blocks(html: str) -> list[Block]:
             continue
         marked = name in _OUTSIDE and not (name == "header" and place)
         if m[3]:
-            for a in _ATTRIBUTE.finditer(m[3]):
-                kind, value = a[1].lower(), (a[2] or "").strip("\"'")
-                if kind == "hidden" or (kind != "hidden" and value and _MARKS.search(value)
-                                        and name not in ("body", "html", "article", "main")):
-                    marked = True
+            given = attributes(m[3])
+            if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
+                marked = True
+            elif name not in ("body", "html", "article", "main"):
+                marked = marked or any(_MARKS.search(given.get(k, ""))
+                                       for k in ("class", "id", "role"))
         if name in _NESTED:
             if name in _MAIN and not place:
                 places += 1

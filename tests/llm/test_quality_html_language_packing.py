@@ -108,6 +108,18 @@ def test_page_without_article():
     assert html_text.main_text(page) == f"Heading\n{text}\nYes.\n{text}"
 
 
+def test_attributes_one_by_one():
+    text = "It is the story of a man who went to the sea and of what he had found there."
+    for shown in ('style="overflow:hidden"', 'aria-hidden="false"', 'title="Hidden gems"',
+                  'data-id="menu-3"', "data-x='a class=\"ad\" hidden'", 'class="lead" class="ad"'):
+        assert html_text.main_text(f"<article><div {shown}><p>{text}</p></div></article>") == text
+        assert html_text.main_text(f"<div {shown}><article {shown}><p>{text}</p></article></div>") == text
+    for unseen in ("hidden", 'hidden=""', "HIDDEN", "aria-hidden=true", "class='x ad'", "id = menu",
+                   "title='a' role=\"dialog\""):
+        page = f"<article><p>{text}</p><div {unseen}><p>{text} Again.</p></div></article>"
+        assert html_text.main_text(page) == text
+
+
 def test_pages_odd(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain"), (4, "u", "<p"), (5, "u", "<!-- a"),
             (6, "u", "<script>x"), (7, "u", "<article><p>" + "a b " * 50_000), (8, "u", "&am"),
