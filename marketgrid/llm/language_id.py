@@ -29,13 +29,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import append_columns, texts
 
 #: Bounds of the training sample: documents, and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 2_000, 4_000
+#: A language sends so many documents, if it has them, however many there are.
+LEAST_DOCS = 50
 HIDDEN, STEPS, BATCH, RATE = 12, 260, 512, 0.02
 PIECE = 20
 MEMO_WORDS = 100_000
@@ -172,7 +174,7 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS, hidden: int = HIDDEN
         seed: int = 7) -> Network:
     """Train on (text, language) pairs and on noise, the last class.  Every
     step takes words of one length, drawn by their frequency, as many from
-    each language."""
+    each language that has the length."""
     languages = sorted({lang for _, lang in samples})
     if not languages:
         return Network([], {})
@@ -181,9 +183,7 @@ def fit(samples: list[tuple[str, str]], steps: int = STEPS, hidden: int = HIDDEN
     for text, lang in samples:
         for w in word_pieces(text):
             by_size.setdefault(len(w), [[] for _ in languages])[languages.index(lang)].append(w)
-    sizes = [n for n, groups in by_size.items() if all(groups)]
-    if not sizes:                                # too little text: any length will do
-        sizes = list(by_size)
+    sizes = list(by_size)
     mass = np.array([n * sum(map(len, by_size[n])) for n in sizes], float)
     letters = "".join(sorted({c for text, _ in samples for c in text.lower() if _LETTER.match(c)}))
     noise: dict[int, list[bytes]] = {}
@@ -233,19 +233,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def shares(counts: dict[str, int], n_docs: int, least: int = LEAST_DOCS) -> int:
+    """The number of documents each language may send so that all together
+    are about ``n_docs``: what small languages leave goes to the others.  At
+    least ``least``, so that every language is learned."""
+    left, sizes = n_docs, sorted(counts.values())
+    for k, n in enumerate(sizes):
+        each = left // (len(sizes) - k)
+        if n > each:
+            return max(each, least)
+        left -= n
+    return max(sizes, default=0)
+
+
 def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_chars: int = TRAIN_CHARS) -> Network:
-    """Fit on the ``n_docs`` labelled documents with the smallest hash of
-    doc_id among those that are not held out, ``n_chars`` characters each."""
+    """Fit on the labelled documents with the smallest hash of doc_id in each
+    language among those that are not held out, about ``n_docs`` in all,
+    ``n_chars`` characters each.  ``lang`` is taken to have few values."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()
                            & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # only documents below a hash bound with half as many again as needed are
-    # looked at, so what partitions send does not grow with their number
-    total = labelled.count()
-    share = min(1.0, 1.5 * n_docs / total) if total else 1.0
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return fit([])
+    each = shares(counts, n_docs)
+    # only documents below a language's hash bound with half as many again as
+    # needed are looked at, so what partitions send does not grow with their number
+    bounds = docs.sparkSession.createDataFrame(
+        [(lang, int(min(1.0, 1.5 * each / n) * (1 << 40))) for lang, n in counts.items()],
+        "lang string, _bound bigint")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     rows = (labelled.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h"), "doc_id", "lang",
                             F.substring("text", 1, n_chars).alias("text"))
-            .filter(F.col("h") < int(share * (1 << 40)))
-            .orderBy("h", "doc_id", "lang", "text").limit(n_docs).collect())
+            .join(F.broadcast(bounds), "lang").filter(F.col("h") < F.col("_bound"))
+            .withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= each)
+            .orderBy("h", "doc_id", "lang", "text").collect())
     return fit([(r["text"], r["lang"]) for r in rows])
 
 

@@ -211,6 +211,27 @@ def test_gibberish_goes_clean_documents_stay(spark):
         assert sum(mine) >= 0.99 * len(mine)
 
 
+def test_rare_language_is_learned(spark):
+    """Drawn from a large table, and not at the cost of the others."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "lang", "text")
+    rare = [(10 ** 6 + k, "xx", " ".join(["kwizzok", "zokkwy", "wukkiz", "kyzzwak"] * 20)) for k in range(8)]
+    both = docs.unionByName(spark.createDataFrame(rare, "doc_id bigint, lang string, text string"))
+    net = language_id.train(both, n_docs=60)
+    assert net.languages == ["de", "en", "es", "fr", "xx"]
+    got, _ = language_id.Labeller(net).predict([t for _, _, t in rare])
+    assert set(got) == {"xx"}
+    some = [r for r in docs.collect() if r.lang and len((r.text or "").split()) >= 50]
+    got, _ = language_id.Labeller(net).predict([r.text for r in some])
+    assert sum(g == r.lang for g, r in zip(got, some)) >= 0.97 * len(some)
+
+
+def test_shares():
+    assert language_id.shares({}, 100) == 0
+    assert language_id.shares({"a": 3, "b": 4}, 100) == 4
+    assert language_id.shares({"a": 10, "b": 1000, "c": 1000}, 100, 5) == 45
+    assert language_id.shares({"a": 1000, "b": 1000}, 10, 20) == 20
+
+
 # -- packing ----------------------------------------------------------------------
 
 def padding(sizes, n, bounds):
