@@ -50,7 +50,7 @@ def growth_metrics(master: DataFrame, p: Params) -> DataFrame:
             .withColumn("h1", h1).withColumn("h2", h2)
             .withColumn("abs_growth", F.col("h2") - F.col("h1"))
             .withColumn("growth_rate", safe_div("h2", "h1") - 1.0)
-            .withColumn("up_count", up_count(cols)))
+            .withColumn("up_count", up_count(cols).cast("bigint")))
 
 
 def mega_candidates(metrics: DataFrame, p: Params) -> DataFrame:

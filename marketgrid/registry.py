@@ -89,6 +89,9 @@ def q_tab2(spark, sf_dir):
 
 # --- Q3 ---------------------------------------------------------------------
 
+#: Columns of the published result.
+RESULT_COLUMNS = ["area_id", "area_name", "industry", "mz_share", "rel_vitality", "store_lq", "density", "fit",
+                  "entry", "score"]
 R9 = 9  # ratios near 1
 R4 = 4  # money-scale values (cents)
 
@@ -412,11 +415,42 @@ def q_master_round_trip(spark, sf_dir):
     from .sources.sinks import write_master
     path = table_dir(spark.range(1))
     write_master(master(spark, sf_dir), path)
-    m = spark.read.parquet(path)
+    return _shown_master(spark.read.parquet(path))
+
+
+def _shown_master(m: DataFrame) -> DataFrame:
     return m.select("quarter", "area_id", "industry", "sales_amt", "sales_cnt", "stores", "foot",
                     "area_type", "area_name", "district", _r("lon", 6), _r("lat", 6))
 
 
+@query("master_quarter_refresh")
+def q_master_quarter_refresh(spark, sf_dir):
+    """All quarters are written, then one comes again with corrected sales
+    and one area less; the others stay as written."""
+    from .operators.lineage import table_dir
+    from .sources.sinks import write_master
+    m = master_table(spark, sf_dir)
+    path = table_dir(m)
+    write_master(m, path)
+    late = m.filter(F.col("quarter") == P.quarters[-1])
+    write_master(late.filter("area_id % 10 <> 3").withColumn("sales_amt", F.col("sales_amt") + F.col("sales_cnt")),
+                 path)
+    return _shown_master(spark.read.parquet(path))
+
+
+@query("result_round_trip")
+def q_result_round_trip(spark, sf_dir):
+    """The result table published twice; readers get the second version."""
+    from .operators.lineage import table_dir
+    from .sources.published import publish, read_published
+    result = materialize(prior_ranking(q3_base(spark, sf_dir)[1]).select(*RESULT_COLUMNS))
+    path = table_dir(result)
+    publish(result.limit(1), path)
+    publish(result, path)
+    return read_published(spark, path).select(
+        "area_id", "area_name", "industry", *[_r(c) for c in RESULT_COLUMNS[3:]])
+
+
 @query("serving_csv_round_trip")
 def q_serving_csv_round_trip(spark, sf_dir):
     """The district summary as a serving CSV, read back by schema."""
@@ -436,6 +470,36 @@ def q_view_landmark(spark, sf_dir):
     return spark.sql(LANDMARK_SQL)
 
 
+@query("view_mega")
+def q_view_mega(spark, sf_dir):
+    """The proven hot spots as SQL with thresholds as arguments."""
+    from .sources.views import mega_by_sql, register_views
+    register_views(master(spark, sf_dir))
+    return mega_by_sql(spark, P)
+
+
+@query("view_rising")
+def q_view_rising(spark, sf_dir):
+    """The emerging hot spots as SQL with thresholds as arguments."""
+    from .sources.views import register_views, rising_by_sql
+    register_views(master(spark, sf_dir))
+    return rising_by_sql(spark, P)
+
+
+@query("view_result")
+def q_view_result(spark, sf_dir):
+    """The published result and the master in one SQL text: the best pair of
+    each district with at least two recommendations."""
+    from .operators.lineage import table_dir
+    from .sources.published import publish, read_published
+    from .sources.views import register_views, result_by_sql
+    m = master_table(spark, sf_dir)
+    path = table_dir(m)
+    publish(prior_ranking(q3_base(spark, sf_dir, m)[1]).select(*RESULT_COLUMNS), path)
+    register_views(m, read_published(spark, path))
+    return result_by_sql(spark, least=2)
+
+
 @query("raw_csv_master")
 def q_raw_csv_master(spark, sf_dir):
     """A1 end to end through the raw-file path: the stand-in sources are

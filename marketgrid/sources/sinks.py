@@ -1,8 +1,11 @@
 """Sinks (S6-S8, S10) and the serving-table reader.
 
-* ``write_master``: Parquet partitioned by quarter — a rerun for a new
-  quarter touches one partition, readers prune by quarter.  No
-  ``coalesce(1)``: that would run the final join in a single task.
+* ``write_master``: Parquet partitioned by quarter.  Only the quarters that the
+  frame holds are replaced (dynamic partition overwrite), so a rerun for a new
+  or corrected quarter leaves the files of the others as they are; readers
+  prune by quarter.  Rows are rebalanced by quarter: a large quarter is written
+  by several tasks, a small one by one, and no ``coalesce(1)`` puts the final
+  join into a single task.
 * ``write_serving_csv`` / ``read_serving_csv``: header CSV in UTF-8 (Spark
   writes no BOM; a BOM on read is dropped by the reader).
 * ``write_samples`` (S10): the first ``n`` rows of every raw file, re-encoded
@@ -21,8 +24,12 @@ from pyspark.sql import functions as F
 from .csv_sources import file_groups, java_charsets, list_files, read_raw_csv
 
 
-def write_master(master: DataFrame, path: str, mode: str = "overwrite") -> None:
-    master.write.mode(mode).partitionBy("quarter").parquet(path)
+def write_master(master: DataFrame, path: str, whole: bool = False) -> None:
+    """Replace the quarters of ``master`` at ``path``; with ``whole`` all that
+    is there.  A quarter without rows is no part of the frame and stays."""
+    (master.hint("rebalance", "quarter").write.mode("overwrite")
+     .option("partitionOverwriteMode", "static" if whole else "dynamic")
+     .partitionBy("quarter").parquet(path))
 
 
 def write_serving_csv(df: DataFrame, path: str, single_file: bool = False,
