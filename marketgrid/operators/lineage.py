@@ -23,6 +23,7 @@ from ..session import ensure_checkpoint_dir
 
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def table_dir(df: DataFrame) -> str:
@@ -31,8 +32,17 @@ def table_dir(df: DataFrame) -> str:
     return _written[-1]
 
 
+def table_name(kind: str) -> str:
+    """A name for a catalog table, which ``release`` drops."""
+    _tables.append(f"marketgrid_{kind}_{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def release(spark: SparkSession) -> int:
-    """Delete every table this process has written; how many folders went."""
+    """Delete every table this process has written, with its entry in the
+    catalog; how many folders went."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS `{_tables.pop()}`")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     while _written:

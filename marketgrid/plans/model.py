@@ -1,15 +1,16 @@
 """Q3 model: boosted trees, stratified validation, metrics, scoring.
 
-* M1 ``fit_gbt``: MLlib ``GBTClassifier`` (depth, step, trees, seed) over a
-  ``VectorAssembler`` — training is distributed over the executors.
-* M2 class weight n_neg / (n_pos + 1e-9) as ``weightCol``.
+* M1 ``fit_gbt``: second-order boosted trees on binned cells
+  (``operators.boosting``): two jobs, whatever the number of trees.
+* M2 class weight n_neg / (n_pos + 1e-9) for positives.
 * M3/M4 stratified folds and hold-out: per-label row positions ordered by
   md5 of the pair key (``operators.ranking.row_positions``, no task holds a
   whole label class); fold = position mod k.
 * M5 exact AUC by the rank-sum (Mann-Whitney) formula with average ranks.
 * M6/M7 confusion matrix and per-class report by conditional aggregation.
-* M8 importance: MLlib's tree ``featureImportances`` plus permutation
-  importance (each feature's values re-assigned along a seeded order of the
+  The folds' models grow in the same jobs, as does the hold-out's.
+* M8 importance: mean absolute Shapley value, besides split gains and
+  permutation (each feature's values re-assigned along a seeded order of the
   rows, AUC drop).
 * ``prior_fit``: an oracle-checkable stand-in for the model's probability —
   the positive share of the pair's industry in the training set.
@@ -18,13 +19,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Params
+from ..operators import boosting
 from ..operators.joins import attach_scalars
 from ..operators.lineage import materialize
 from ..operators.ranking import row_positions, value_positions
@@ -148,55 +149,72 @@ def prior_fit(train: DataFrame, scored: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------
-# MLlib boosted trees
+# boosted trees
 # ----------------------------------------------------------------------------
 
-def _assembler():
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="error")
+@dataclass
+class Fitted:
+    """Models by the part that they leave out, and their trees as a table."""
+    trees: DataFrame
+    models: dict[int, boosting.Ensemble]
 
 
-def fit_gbt(train: DataFrame, p: Params):
-    """M1: boosted trees with the class weight of M2."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                        maxDepth=p.gbt_depth, stepSize=p.gbt_step, maxIter=p.gbt_iter,
-                        seed=p.seed, cacheNodeIds=True)
-    # written once: every tree reads these columns and nothing upstream
-    data = materialize(class_weights(train).select(*FEATURES, "weight",
-                                                   F.col("target").cast("double").alias("label")))
-    return Pipeline(stages=[_assembler(), gbt]).fit(data)
+def boost_params(p: Params) -> boosting.BoostParams:
+    return boosting.BoostParams(trees=p.gbt_iter, depth=p.gbt_depth, step=p.gbt_step)
 
 
-def score(model, df: DataFrame) -> DataFrame:
-    """M9: probability of class 1 and the 0.5-threshold prediction."""
-    from pyspark.ml.functions import vector_to_array
-    out = model.transform(df)
-    prob = vector_to_array("probability")[1]
-    keep = [c for c in df.columns]
-    return out.select(*keep, prob.alias("prob"),
-                      (prob >= 0.5).cast("int").alias("pred"))
+def _fit(train: DataFrame, p: Params, part: str | None = None, leave_out: Sequence[int] = (boosting.WHOLE,)
+         ) -> Fitted:
+    trees = boosting.fit(train, FEATURES, "target", boost_params(p), part, leave_out)
+    return Fitted(trees, boosting.ensembles(trees, len(FEATURES)))
 
 
-def cv_auc(train: DataFrame, p: Params) -> DataFrame:
-    """5-fold stratified CV AUC: one row per fold plus mean and (population)
-    std.  The fits do not depend on each other, so their many small jobs are
-    submitted side by side."""
+def fit_gbt(train: DataFrame, p: Params) -> Fitted:
+    """M1: boosted trees; positives weigh n_neg / (n_pos + 1e-9) (M2)."""
+    return _fit(train, p)
+
+
+def _with_prob(df: DataFrame, margin: Column) -> DataFrame:
+    prob = 1 / (1 + F.exp(-margin))
+    return df.withColumn("prob", prob).withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+
+
+def score(model: Fitted, df: DataFrame, which: Column | None = None) -> DataFrame:
+    """M9: probability of class 1 and the 0.5-threshold prediction, by the
+    whole model or by the one that leaves the part ``which`` out."""
+    return _with_prob(df, boosting.margin_of(model.models, FEATURES, which))
+
+
+def held_out_scores(train: DataFrame, p: Params) -> DataFrame:
+    """fold, target, prob: every row scored by the model grown without its
+    fold.  All folds' models come from one set of jobs."""
     folded = materialize(stratified_folds(train, p.folds))
+    fitted = _fit(folded, p, "fold", range(p.folds))
+    return score(fitted, folded, F.col("fold")).select("fold", "target", "prob")
 
-    def fold(k: int) -> DataFrame:
-        fitted = fit_gbt(folded.filter(F.col("fold") != k), p)
-        return score(fitted, folded.filter(F.col("fold") == k)).select("fold", "target", "prob")
 
-    with ThreadPoolExecutor(p.folds) as pool:
-        parts = list(pool.map(fold, range(p.folds)))
-    scored = materialize(reduce(DataFrame.unionByName, parts))
-    per_fold = auc_exact(scored, "prob", "target", ["fold"])
+def cv_auc(train: DataFrame, p: Params) -> DataFrame:
+    """M3: stratified cross-validated AUC, one row per fold plus mean and
+    (population) std."""
+    per_fold = auc_exact(materialize(held_out_scores(train, p)), "prob", "target", ["fold"])
     stats = per_fold.agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
     return attach_scalars(per_fold, stats)
 
 
+def holdout_scores(train: DataFrame, p: Params) -> DataFrame:
+    """target, prob, pred of the hold-out by a model grown without it."""
+    split = materialize(stratified_holdout(train, p.holdout).withColumn("_test", F.col("is_test").cast("int")))
+    fitted = _fit(split, p, "_test", [1])
+    return score(fitted, split.filter("is_test"), F.lit(1)).select("target", "prob", "pred")
+
+
+def shap_importance(train: DataFrame, p: Params) -> DataFrame:
+    """M8: mean absolute attribution per feature over the training rows."""
+    train = materialize(train.select(*FEATURES, "target"))
+    ensemble = fit_gbt(train, p).models[boosting.WHOLE]
+    return boosting.mean_absolute(boosting.attributions(train, ensemble, FEATURES), FEATURES)
+
+
 def permutation_importance(fitted, data: DataFrame, p: Params) -> DataFrame:
     """M8 (re-aimed from SHAP): AUC drop when one feature's values are
     re-assigned to other rows along a seeded hash order.  The order does not
@@ -220,8 +238,13 @@ def permutation_importance(fitted, data: DataFrame, p: Params) -> DataFrame:
                           ).withColumn("importance", F.col("base_auc") - F.col("perm_auc"))
 
 
-def tree_importance(model, spark) -> DataFrame:
-    """MLlib's split-gain importances of the fitted trees (5 rows)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, imp)],
-                                 "feature string, importance double")
+def tree_importance(fitted: Fitted) -> DataFrame:
+    """Share of the whole model's split gains per feature (0 if unused)."""
+    gains = fitted.trees.filter(F.col("model") == boosting.WHOLE).agg(
+        *[F.sum(F.when(F.col("feature") == k, F.col("gain")).otherwise(0.0)).alias(f)
+          for k, f in enumerate(FEATURES)])
+    total = sum((F.col(f) for f in FEATURES), F.lit(0.0))
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"),
+                              F.coalesce(F.try_divide(F.col(f), total), F.lit(0.0)).alias("importance"))
+                     for f in FEATURES])
+    return gains.select(F.explode(rows).alias("r")).select("r.*")

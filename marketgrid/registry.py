@@ -258,10 +258,7 @@ def q_gbt_cv_auc(spark, sf_dir):
 
 @query("gbt_holdout_report")
 def q_gbt_holdout_report(spark, sf_dir):
-    t = model.stratified_holdout(_train(q3_base(spark, sf_dir)[1]), P.holdout)
-    t = materialize(t)
-    fitted = model.fit_gbt(t.filter(~F.col("is_test")), P)
-    scored = materialize(model.score(fitted, t.filter(F.col("is_test"))).select("target", "prob", "pred"))
+    scored = materialize(model.holdout_scores(_train(q3_base(spark, sf_dir)[1]), P))
     auc = model.auc_exact(scored).select(F.lit("auc").alias("cls"),
                                          F.col("auc").between(0.0, 1.0).alias("in_range"),
                                          (F.col("n_pos") + F.col("n_neg")).alias("support"))
@@ -283,11 +280,45 @@ def q_permutation_importance(spark, sf_dir):
 @query("tree_importance")
 def q_tree_importance(spark, sf_dir):
     fitted = model.fit_gbt(_train(q3_base(spark, sf_dir)[1]), P)
-    i = model.tree_importance(fitted, spark)
+    i = model.tree_importance(fitted)
     total = i.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sum_is_one"))
     return attach_scalars(i.select("feature", (F.col("importance") >= 0).alias("not_negative")), total)
 
 
+@query("boost_first_tree")
+def q_boost_first_tree(spark, sf_dir):
+    """M1: the first tree's splits and leaves, as values."""
+    from .operators import boosting
+    t = boosting.fit(_train(q3_base(spark, sf_dir)[1]), settlement.FEATURES, "target",
+                     model.boost_params(P.with_(gbt_iter=1)))
+    names = F.array(*[F.lit(f) for f in settlement.FEATURES])
+    return t.select("node", F.when(F.col("feature") >= 0, F.get(names, F.col("feature"))).alias("feature"),
+                    _r("threshold"), _r("value"), _r("cover"))
+
+
+@query("boost_first_cv_auc")
+def q_boost_first_cv_auc(spark, sf_dir):
+    """M3: cross-validated AUC of the folds' first trees, as values."""
+    s = model.held_out_scores(_train(q3_base(spark, sf_dir)[1]), P.with_(gbt_iter=1))
+    a = model.auc_exact(materialize(s.withColumn("prob", F.round("prob", 9))), "prob", "target", ["fold"])
+    return a.select("fold", _r("auc"), "n_pos", "n_neg")
+
+
+@query("shap_first_tree")
+def q_shap_first_tree(spark, sf_dir):
+    """M8: mean absolute attributions of the first tree, as values."""
+    return model.shap_importance(_train(q3_base(spark, sf_dir)[1]), P.with_(gbt_iter=1)).select(
+        "feature", _r("mean_abs"), "adds_up")
+
+
+@query("shap_importance")
+def q_shap_importance(spark, sf_dir):
+    """M8: mean absolute attributions of all trees.  No SQL form; a test holds
+    it against all subsets of features."""
+    return model.shap_importance(_train(q3_base(spark, sf_dir)[1]), P).select(
+        "feature", _r("mean_abs"), "adds_up").orderBy(F.desc("mean_abs"), "feature")
+
+
 # --- serving (A18-A23) ---------------------------------------------------------
 
 def _tab3(spark, sf_dir, base=None):

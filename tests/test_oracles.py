@@ -55,7 +55,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    # attributions of 200 trees have no SQL form; tests/test_boosting.py has all subsets
+    assert set(QUERIES) - set(ORACLES) == {"shap_importance"} and not set(ORACLES) - set(QUERIES)
     assert STANDIN.gbt_iter == 200               # the registered queries train in full
 
 
