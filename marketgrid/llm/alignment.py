@@ -31,10 +31,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -46,8 +45,8 @@ from ..operators.lineage import materialize
 from .bpe_automaton import byte_alphabet
 from .common import id_and_text, raw_texts, slices
 
-#: Bytes of text aligned at once, and batches that ask about pairs together.
-SLICE, TOGETHER = 4 << 20, 4
+#: Bytes of text aligned at once, and how many such slices ask about pairs together.
+SLICE, TOGETHER = 2 << 20, 2
 #: Segments longer than this are encoded one by one, others some KB together.
 LONG, PART = 20_000, 8_000
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
@@ -62,7 +61,6 @@ class ByteSide:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, vocab = spec.get("pre_tokenizer") or {}, spec["model"]["vocab"]
@@ -74,10 +72,7 @@ class ByteSide:
         self.size = np.zeros(max(label) + 1, np.int64)
         for i, t in label.items():
             self.size[i] = len(t)
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.lib.no_truncation()
-        self.lib.no_padding()
+        self.path = path
         # where ids are ranks of merges, the ranks alone say the same and are faster
         made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)]
                 for m in spec["model"]["merges"]]
@@ -86,6 +81,15 @@ class ByteSide:
             self.ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, special_tokens={},
                                             mergeable_ranks={t: i for i, t in label.items()})
 
+    @cached_property
+    def lib(self):
+        from tokenizers import Tokenizer
+        lib = Tokenizer.from_file(self.path)
+        lib.encode_special_tokens = True
+        lib.no_truncation()
+        lib.no_padding()
+        return lib
+
     def ids(self, text: str, long: bool) -> np.ndarray:
         """Of a text that begins with the space.  ``long``: with runs that the
         faster library's pattern matcher may not bear."""
@@ -137,7 +141,7 @@ class Encoded:
         self.ids, self.many = ids, many
         self.end = np.cumsum(size[ids])
         self.start = self.end - size[ids]
-        self.doc = np.repeat(np.arange(len(many)), many)
+        self.doc = np.repeat(np.arange(len(many), dtype=np.int32), many)
 
 
 def _of_segments(side, distinct: Distinct, at: np.ndarray, first: np.ndarray
@@ -229,6 +233,7 @@ class Aligner:
 
     def overlaps(self, a: Encoded, b: Encoded) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of overlapping tokens, as indices."""
+        import pandas as pd          # only where texts are aligned
         left = pd.DataFrame({"doc": a.doc, "start": a.start, "a": np.arange(len(a.ids))}, copy=False)
         right = pd.DataFrame({"doc": b.doc, "start": b.start, "b": np.arange(len(b.ids))}, copy=False)
         over = pd.merge_asof(left, right, on="start", by="doc")["b"].to_numpy()
@@ -325,60 +330,89 @@ def _codes(table, n: np.ndarray) -> np.ndarray:
     return out[0].astype(np.int64) << 32 | out[1]
 
 
+def _runs_of(batch: np.ndarray) -> list[slice]:
+    cuts = [0, *(np.flatnonzero(np.diff(batch)) + 1).tolist(), len(batch)]
+    return [slice(x, y) for x, y in zip(cuts, cuts[1:])]
+
+
+def _coded(aligned: DataFrame) -> tuple[DataFrame, list]:
+    """``aligned`` with ``link``, the places of a document's links in its
+    batch's list of distinct pairs (two bytes each, or four), instead of the
+    ids, and a row for each batch with that list and how often each occurs."""
+    fields = [f for f in aligned.schema.fields if f.name not in ("link_a", "link_b", "batch")]
+    names = [f.name for f in fields] + ["batch", "link", "pairs", "counts"]
+    schema = StructType(fields + StructType.fromDDL(
+        "batch bigint, link binary, pairs binary, counts binary").fields)
+    columns = aligned.select("batch", *[f.name for f in fields], "link_a", "link_b")
+
+    def told(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(rows)
+        n = np.asarray(found["n_links"], np.int64)
+        pairs, at, counts = np.unique(_codes(found, n), return_inverse=True, return_counts=True)
+        kind = np.dtype("<u2" if len(pairs) <= 1 << 16 else "<u4")
+        data, ends = at.astype(kind).tobytes(), (np.cumsum(n) * kind.itemsize).tolist()
+        links = [data[e - k * kind.itemsize:e] for e, k in zip(ends, n.tolist())]
+        none = pa.nulls(len(links), pa.binary())
+        yield from pa.table([*[found[f.name] for f in fields], found["batch"], pa.array(links, pa.binary()),
+                             none, none], names).to_batches()
+        yield pa.RecordBatch.from_arrays(
+            [*[pa.nulls(1, found[f.name].type) for f in fields], found["batch"].chunk(0)[:1],
+             pa.nulls(1, pa.binary()), pa.array([pairs.tobytes()], pa.binary()),
+             pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rows in batches:
+            for part in _runs_of(np.asarray(rows.column(0))) if rows.num_rows else []:
+                if held and held[0].column(0)[0] != rows.column(0)[part.start]:
+                    yield from told(held)
+                    held = []
+                held.append(rows.slice(part.start, part.stop - part.start))
+        if held:
+            yield from told(held)
+
+    return columns.mapInArrow(run, schema), fields
+
+
 def with_counts(aligned: DataFrame) -> DataFrame:
     """``aligned`` (doc_id, n_links, link_a, link_b, batch and more) without
     links and batch, with n_best, the links whose id pair is counted as often
     as any pair of its B id, and count_sum, the sum of the links' counts.  The
     count of a pair is its number of links in the corpus."""
-    fields = [f for f in aligned.schema.fields if f.name not in ("link_a", "link_b", "batch")]
+    coded, fields = _coded(aligned)
+    coded = materialize(coded)
     schema = StructType(fields + StructType.fromDDL("n_best bigint, count_sum bigint").fields)
-    aligned = materialize(aligned)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(batch: int, found: list[np.ndarray]) -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(code), batch)), pa.array(code), pa.array(n)],
-                names=["batch", "pair", "n"])
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for batch, pairs, n in zip(*(c.to_pylist() for c in rows.columns)):
+                pairs, n = np.frombuffer(pairs, np.int64), np.frombuffer(n, "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(pairs), batch)), pa.array(pairs), pa.array(n)], ["batch", "pair", "n"])
 
-        now, found = None, []
-        for rows in slices(batches, "link_a"):
-            code = _codes(rows, n := np.asarray(rows.column(1)))
-            at = np.repeat(np.asarray(rows.column(0)), n)
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
-                if len(part):
-                    if found and at[part[0]] != now:
-                        yield told(now, found)
-                        found = []
-                    now = int(at[part[0]])
-                    found.append(code[part])
-        if found:
-            yield told(now, found)
-
-    asked = materialize(aligned.select("batch", "n_links", "link_a", "link_b")
-                        .mapInArrow(ask, "batch bigint, pair bigint, n bigint"))
+    asked = (coded.filter(F.col("pairs").isNotNull()).select("batch", "pairs", "counts")
+             .mapInArrow(spell, "batch bigint, pair bigint, n bigint"))
     counts = (asked.groupBy("pair").agg(F.sum("n").alias("total"))
               .withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)))
     most = counts.groupBy("b").agg(F.max("total").alias("most"))
-    told = asked.select("batch", "pair").join(
-        counts.join(most, "b").select("pair", "total", (F.col("total") == F.col("most")).alias("best")),
-        "pair")
+    best = counts.join(most, "b").select("pair", "total", (F.col("total") == F.col("most")).alias("best"))
+    answers = asked.select("batch", "pair").join(best, "pair")
 
     def use(key, rows: pa.Table, got: pa.Table) -> pa.Table:
+        got = got.sort_by("pair")              # the order of the batch's list
         n = np.asarray(rows["n_links"], np.int64)
-        code, total, best = (np.asarray(got[c]) for c in ("pair", "total", "best"))
-        order = np.argsort(code)
-        at = order[np.searchsorted(code[order], _codes(rows, n))] if len(code) else np.zeros(0, np.int64)
-        ends = np.cumsum(n)
+        kind, ends = "<u2" if got.num_rows <= 1 << 16 else "<u4", np.cumsum(n)
+        at = np.frombuffer(b"".join(rows["link"].to_pylist()), kind)
 
         def summed(x: np.ndarray) -> pa.Array:
-            run = np.append(0, np.cumsum(x, dtype=np.int64))
+            run = np.append(0, np.cumsum(x[at], dtype=np.int64))
             return pa.array(run[ends] - run[ends - n])
 
         return pa.table({f.name: rows[f.name] for f in fields}
-                        | {"n_best": summed(best[at]), "count_sum": summed(total[at])})
+                        | {"n_best": summed(np.asarray(got["best"])), "count_sum": summed(np.asarray(got["total"]))})
 
-    return aligned.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(use, schema)
+    rows = coded.filter(F.col("link").isNotNull()).drop("pairs", "counts")
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(use, schema)
 
 
 def count_pairs(aligned: DataFrame) -> DataFrame:
