@@ -47,10 +47,13 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import attach_scalars
 from ..operators.lineage import materialize
+from .common import partitions_for
 
 #: Characters of context, part of the labelled URLs kept for calibration,
 #: frequency (one in so many) from which a gram is broadcast.
 ORDER, FOLDS, HOT = 5, 5, 10_000
+#: Rows of the table per partition of distinct URLs.
+URLS_EACH = 8_000
 #: Scores are calibrated in steps of 1/STEPS, between -BOUND and BOUND.
 STEPS, BOUND = 100, 20
 _BEGIN, _END, _MICRO = "\x02", "\x03", 1_000_000
@@ -82,11 +85,13 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 def grams(text: Column) -> Column:
     """All (ORDER + 1)-grams of a text; it begins with ORDER marks and ends
-    with one.  Characters are split once, so long texts cost no more a place."""
+    with one.  The array of characters is made once a text (as the variable of
+    a lambda), so long texts cost no more a place."""
     chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
     marked = F.concat(F.array_repeat(F.lit(_BEGIN), ORDER), chars, F.array(F.lit(_END)))
-    return F.transform(F.sequence(F.lit(0), F.size(marked) - (ORDER + 1)),
-                       lambda k: F.concat(*[F.get(marked, k + d) for d in range(ORDER + 1)]))
+    return F.transform(F.array(marked), lambda m: F.transform(
+        F.sequence(F.lit(0), F.size(m) - (ORDER + 1)),
+        lambda k: F.concat(*[F.get(m, k + d) for d in range(ORDER + 1)])))[0]
 
 
 def _levels(counted: DataFrame) -> DataFrame:
@@ -178,7 +183,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     pages = (pages.select("page_id", host.alias("host"), path.alias("path"), text.alias("text"))
              .withColumn("by", fitting_rule(F.col("host"), F.col("path"), rules)))
     label = F.col("by.verdict")
-    urls = pages.select("text", label.alias("label")).distinct()
+    # a URL becomes some dozens of rows, so few make a partition
+    urls = pages.select("text", label.alias("label")).distinct().repartition(partitions_for(pages, URLS_EACH))
     held = F.conv(F.right(F.md5("text"), F.lit(8)), 16, 10).cast("bigint") % FOLDS == 0
     urls = materialize(urls.select(F.monotonically_increasing_id().alias("id"), "text", "label",
                                    (F.col("label").isNotNull() & ~held).alias("counted")))
