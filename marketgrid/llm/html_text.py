@@ -4,12 +4,24 @@ A page is cut at tags into blocks of text.  Pass one decides every block on
 its own:
 
 * *out* if it stands in a menu, header, footer, sidebar, notice, advert, form,
-  share bar or comment list (by element, role, class or id), if most of its
-  characters are link text, or if it holds a copyright sign outside an
-  article;
+  share bar or comment list (by element, role, class or id), if it is not
+  shown (hidden, aria-hidden, a style of display:none or visibility:hidden), if
+  it follows a heading that says comments, up to the next heading of that
+  level, if most of its characters are link text, or if it holds a copyright
+  sign outside an article;
 * *in* if it is long enough and dense in stop words;
 * *open* otherwise: short blocks, headings, text with few stop words.
 
+The stop words are of four languages.  On a page whose text holds hardly any of
+them, whatever its language, length and link density decide alone: a block that is
+not short and has few links is *in*.  So they do on a page where no block is
+sure to be *in*.  A character of a script without spaces weighs as much
+as ``WIDE`` others.
+
+A class, id or role marks furniture if one of its words does as a whole: a word
+of the list, or several joined by hyphens of which each is in that list or in
+the list of parts of a layout ("comment-list", but not "comment-free").
+
 Pass two gives an open block the label of the nearest decided neighbours: both
 sides agree, or the nearer one wins, at equal distance *out*.  A page with an
 <article> or <main> element is judged inside those elements only; there a
@@ -67,14 +79,26 @@ _NESTED = frozenset("""a article aside blockquote body button center details dia
 fieldset figure footer form header html main menu nav ol section span summary table ul
 """.split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words in a class, id or role that mark page furniture.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|"
-    r"banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|footer|masthead|"
-    r"cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|"
-    r"share|sharing|social|related|recommended|comment|comments|reply|replies|disqus|widget|"
-    r"search|toolbar|copyright|legal|pager|pagination|complementary|contentinfo|dialog)"
-    r"(?=$|[\s_-])", re.I)
+#: Words in a class, id or role that mark page furniture.
+_MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo banner
+nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies
+consent gdpr notice alert popup modal newsletter subscribe signup login share sharing social related
+recommended comment comments reply replies disqus widget search toolbar copyright legal pager
+pagination complementary contentinfo dialog""".split())
+#: Words that name a part of a layout and may be joined to those.
+_PARTS = frozenset("""area author bar block body bottom box btn button buttons card cell col column
+container content count date desktop entry entries field footer form global group header holder icon
+icons inner item items js left link links list main meta mobile module outer overlay page panel post
+posts primary right row secondary section site slot small sticky tab tabs text thread title top unit
+user wrap wrapper zone""".split())
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)",
+                      re.I)
+#: Headings of reader comments.
+_COMMENT_HEADS = frozenset("""comment comments commentaire commentaires comentario comentarios kommentar
+kommentare discussion responses replies""".split()) | {
+    "reader comments", "user comments", "leave a comment", "post a comment", "write a comment",
+    "leave a reply", "add a comment", "leserkommentare", "kommentar schreiben", "laisser un commentaire",
+    "deja un comentario", "deja una respuesta"}
 #: One attribute; its value is consumed, so nothing is looked for inside it.
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
@@ -83,10 +107,24 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 SHORT, LONG = 70, 200              # characters
 DENSE, SPARSE = 0.32, 0.15         # share of stop words
-LINKS = 0.5                        # share of link characters
+LINKS, FEW_LINKS = 0.5, 0.2        # share of link characters
+#: Share of stop words in a page's text below which the lists do not know its language.
+STRANGE = 0.06
+WIDE = 3                           # characters that one of an unspaced script stands for
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+
+
+def marks(value: str) -> bool:
+    """Whether a class, id or role marks furniture."""
+    for word in value.lower().split():
+        parts = [p.rstrip("0123456789") for p in re.split(r"[_-]+", word) if p.rstrip("0123456789")]
+        if any(p in _MARKS for p in parts) and all(p in _MARKS or p in _PARTS for p in parts):
+            return True
+    return False
 
 
 class Block:
+    """``heading``: level of a heading, 0 for other blocks."""
     __slots__ = ("text", "links", "place", "out", "heading")
 
     def __init__(self, text, links, place, out, heading):
@@ -111,7 +149,7 @@ def blocks(html: str) -> list[Block]:
     words: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, bool, int]] = []      # (element, marked out, place)
-    out, place, places, in_link, heading, item_out = False, 0, 0, 0, False, False
+    out, place, places, in_link, heading, item_out = False, 0, 0, 0, 0, False
     pos, end, skip = 0, len(html), ""
 
     def close() -> None:
@@ -145,7 +183,7 @@ def blocks(html: str) -> list[Block]:
             words.append(" ")
         if name in _BLOCKS:
             close()
-            item_out = heading = False
+            item_out, heading = False, 0
         if m[1]:                                 # an end tag
             if name in _NESTED:
                 for k in range(len(stack) - 1, -1, -1):
@@ -167,11 +205,11 @@ def blocks(html: str) -> list[Block]:
         marked = name in _OUTSIDE and not (name == "header" and place)
         if m[3]:
             given = attributes(m[3])
-            if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
+            if ("hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+                    or _UNSHOWN.search(given.get("style", ""))):
                 marked = True
             elif name not in ("body", "html", "article", "main"):
-                marked = marked or any(_MARKS.search(given.get(k, ""))
-                                       for k in ("class", "id", "role"))
+                marked = marked or any(marks(given[k]) for k in ("class", "id", "role") if k in given)
         if name in _NESTED:
             if name in _MAIN and not place:
                 places += 1
@@ -181,20 +219,44 @@ def blocks(html: str) -> list[Block]:
             in_link += name == "a"
         elif name in _BLOCKS:
             item_out = marked
-            heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
+            heading = int(name[1]) if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0
     close()
     return found
 
 
-def _decide(b: Block) -> bool | None:
-    """True: in, False: out, None: open."""
+def _without_comments(page: list[Block]) -> None:
+    """Mark a heading of comments out, with what follows up to the next
+    heading of its level or above in the same place."""
+    level, place = 0, 0
+    for b in page:
+        if level and (b.place != place or 0 < b.heading <= level):
+            level = 0
+        if b.heading and not level and re.sub(r"[\W\d_]+", " ", b.text.lower()).strip() in _COMMENT_HEADS:
+            level, place = b.heading, b.place
+        if level:
+            b.out = True
+
+
+def _stop_share(page: list[Block]) -> float:
+    """Share of stop words in the text of blocks that are not out already."""
+    words = [w for b in page if not b.out and b.links <= LINKS * len(b.text)
+             for w in _LETTERS.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 1.0
+
+
+def _decide(b: Block, strange: bool) -> bool | None:
+    """True: in, False: out, None: open.  ``strange``: no language of the
+    stop words."""
     size = len(b.text)
     if b.out or b.links > LINKS * size:
         return False
     if not b.place and ("©" in b.text or "all rights reserved" in b.text.lower()):
         return False
-    if b.heading or size < SHORT:
+    if b.heading or size < SHORT and not strange:
         return None
+    if strange:
+        weight = size + (WIDE - 1) * len(_UNSPACED.findall(b.text))
+        return True if weight >= SHORT and b.links <= FEW_LINKS * size else None
     found = _LETTERS.findall(b.text.lower())
     share = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
     if share >= DENSE or share >= SPARSE and size >= LONG:
@@ -208,7 +270,12 @@ def main_text(html: str | None) -> str:
     page = blocks(html or "")
     if any(b.place for b in page):
         page = [b for b in page if b.place]
-    labels = [_decide(b) for b in page]
+    _without_comments(page)
+    strange = _stop_share(page) < STRANGE
+    labels = [_decide(b, strange) for b in page]
+    if True not in labels:                       # nothing sure: what is not short and has few links
+        labels = [True if x is None and not b.heading and len(b.text) >= SHORT
+                  and b.links <= FEW_LINKS * len(b.text) else x for b, x in zip(page, labels)]
     n, far = len(page), len(page) + 1
 
     def nearest(order) -> list[tuple[int, bool | None]]:
