@@ -78,6 +78,19 @@ class TwoGenerations(dict):
         return value
 
 
+def carried(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` of ``docs`` and all others in one struct, so that
+    none of them can meet a working name of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*others or [F.lit(None).cast("int").alias("none")]).alias("_carried"))
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a frame that came from ``carried(docs)``."""
+    held = set(df.schema["_carried"].dataType.names)
+    return df.select(*[F.col("_carried")[c].alias(c) if c in held else F.col(c) for c in docs.columns])
+
+
 def partitions_for(df: DataFrame, rows_each: int, least: int = 1) -> int:
     """Number of groups so that each holds about ``rows_each`` rows; counts
     the rows (for a Parquet scan this reads file footers only)."""

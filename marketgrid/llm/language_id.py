@@ -7,19 +7,20 @@ A document's distribution pools the log probabilities of all its positions
 through time, on a bounded sample of labelled documents.
 
 One more class, noise, is trained beside the languages on drawn letters of
-many scripts (``noise_words``), so letter gibberish and scripts of no learned
-language have a label to go to; a document whose noise is likelier than every
-language is ``und``.
-
-State starts anew at every word, so equal words have equal labels: each
-distinct word is run through the network once per task's memory, whatever the
-number of documents, and the whole of every text counts.
-
-Edge cases: a null text, or one without a letter, is ``und`` with score 0;
-words above ``PIECE`` bytes are cut into pieces of that size; repeated rows
-are labelled alike; without labelled documents everything is ``und``.  A
-language that is not learned but close to a learned one in its letters can
-still get that one's label.
+many scripts (``noise_words``).  It never takes a label away: the label is the
+likeliest language of every text that has a letter, the score its probability
+among the languages, and the noise's own probability stands beside them, for
+filters (``keep_known``).
+
+The context is a parameter, ``PIECE``: state starts anew at every word and
+after so many bytes of one, so equal words have equal labels.  Each distinct
+word is run through the network once per task's memory, whatever the number of
+documents, and the whole of every text counts.
+
+Edge cases: a null text, or one without a letter, is ``und`` with score 0 and
+noise 0; repeated rows are labelled alike; without labelled documents
+everything is ``und``.  A language that is not learned gets the label of one
+that is.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, texts
+from .common import append_columns, carried, restored, texts
 
 #: Bounds of the training sample: documents, and characters of each.
 TRAIN_DOCS, TRAIN_CHARS = 2_000, 4_000
@@ -42,9 +43,10 @@ HIDDEN, STEPS, BATCH, RATE = 12, 260, 512, 0.02
 PIECE = 20
 MEMO_WORDS = 100_000
 UNKNOWN = "und"
-#: A document is kept with a score above this.  Over the labelled documents of
-#: sf0.01 the lowest score is 0.41, and 0.74 from 50 words on (two seeds).
-LEAST = 0.3
+#: A document goes when noise is at least so likely.  Held-out documents of
+#: sf0.1 reach 0.31, single sentences of everyday prose 0.6; letter gibberish
+#: in four alphabets starts at 0.99.
+NOISE = 0.9
 #: Noise words drawn for training, and first and last letters of the scripts
 #: they are drawn from besides the letters of the sample.
 NOISE_WORDS = 20_000
@@ -296,47 +298,48 @@ class Labeller:
             self.old, self.young = self.young, {}
         return out
 
-    def predict(self, docs: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, docs: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, their probabilities among the languages, and the noise's
+        probability among all classes."""
         known = [k for k, t in enumerate(docs) if t and _LETTER.search(t)]
-        labels, sure = [UNKNOWN] * len(docs), np.zeros(len(docs))
+        labels, sure, noise = [UNKNOWN] * len(docs), np.zeros(len(docs)), np.zeros(len(docs))
         if known and self.net.languages:
             logs = self.scores([docs[k] for k in known])
-            p = np.exp(logs - logs.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            for k, row in zip(known, p):
-                best = int(row.argmax())
-                if best < len(self.net.languages):
-                    labels[k], sure[k] = self.net.languages[best], row[best]
-        return labels, sure
+            every = np.exp(logs - logs.max(1, keepdims=True))
+            noise[known] = every[:, -1] / every.sum(1)
+            own = np.exp(logs[:, :-1] - logs[:, :-1].max(1, keepdims=True))
+            sure[known] = own.max(1) / own.sum(1)
+            for k, best in zip(known, own.argmax(1).tolist()):
+                labels[k] = self.net.languages[best]
+        return labels, sure, noise
 
 
-def predict(docs: DataFrame, net: Network, label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its probability.  Only the
-    text is read."""
+def predict(docs: DataFrame, net: Network) -> DataFrame:
+    """``docs`` with lang_pred, score and noise.  Only the text is read."""
 
     def make():
         labeller = Labeller(net)                 # its memory ends with the task
 
         def compute(b: pa.RecordBatch) -> list:
-            labels, sure = labeller.predict(texts(b))
-            return [pa.array(labels, pa.string()), pa.array(sure, pa.float64())]
+            labels, sure, noise = labeller.predict(texts(b))
+            return [pa.array(labels, pa.string()), pa.array(sure, pa.float64()), pa.array(noise, pa.float64())]
 
         return compute
 
-    return append_columns(docs, f"{label} string, {score} double", make)
+    return append_columns(docs, "lang_pred string, score double, noise double", make)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
+    """doc_id, held_out, lang_pred, score, noise."""
     return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"),
                    train(docs)).drop("text")
 
 
-def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` whose language is known with more than ``least``."""
-    label, score = "_language_label", "_language_score"
+def keep_known(docs: DataFrame, noise: float = NOISE) -> DataFrame:
+    """The rows of ``docs`` that have a letter and are noise with less
+    probability than ``noise``."""
     net = train(docs)
     if not net.languages:                        # nothing to learn from: any letter will do
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = predict(docs, net, label, score)
-    return found.filter((F.col(label) != UNKNOWN) & (F.col(score) > least)).select(*docs.columns)
+    found = predict(carried(docs, "text"), net)
+    return restored(found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("noise") < noise)), docs)

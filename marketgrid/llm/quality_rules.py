@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach_scalars
 from ..operators.lineage import materialize
-from .common import append_columns, texts
+from .common import append_columns, carried, restored, texts
 
 _SPACE = b"\t\n\v\f\r "
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -164,7 +165,7 @@ def fences(measured: DataFrame, width: float = 3.0, accuracy: int = 10_000) -> D
         out += [F.greatest(low, *[F.col(f"{t}{name}_low") for t in tags]).alias(f"{name}_low"),
                 F.least(high, *[F.col(f"{t}{name}_high") for t in tags]).alias(f"{name}_high")]
     return (per_group.join(F.broadcast(per_lang), F.col("_lang").eqNullSafe(F.col("_of_lang")), "left")
-            .crossJoin(F.broadcast(corpus)).select("_lang", "_source", *out))
+            .transform(attach_scalars, corpus).select("_lang", "_source", *out))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -195,4 +196,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     twice (for the fences, and again beside the verdict) so that they need
     not be shuffled."""
     limits = materialize(fences(measure(docs.select("text", "lang", "source"))))
-    return judge(measure(docs), limits).filter(F.col(f"{_TAG}kept")).select(*docs.columns)
+    own = carried(docs, "text", "lang", "source")
+    return restored(judge(measure(own), limits).filter(F.col(f"{_TAG}kept")), docs)
