@@ -2,9 +2,12 @@
 
 Two operators look for passages that documents share.  Neither can gather the
 passages of the corpus in one place, and neither needs to: the documents are
-dealt by a hash of doc_id into blocks of a few MB, and written once as a
-bucketed table, so that a block is read back as one group without a shuffle.
-A step then has three parts:
+dealt into blocks of a few MB and written once as a bucketed table, so that a
+block is read back as one group without a shuffle.  A file of the table holds
+the blocks whose numbers hash alike; there are ``FILES`` files at most, however
+many blocks.  Rows are dealt by doc_id and place in the scan, so rows without a
+doc_id, or of one doc_id, spread over the blocks like others.  A step then has
+three parts:
 
 * ``send``: every block computes the keys it wants to ask about and sends one
   message per bucket of keys (each key once, however often the block has it);
@@ -20,7 +23,6 @@ any task may be run again after an executor is lost.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -28,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import materialize, table_dir
+from ..operators.lineage import materialize, table_dir, table_name
 from .hashing import mix, window_sums
 
+#: Files of a table; Spark allows 100,000 buckets.
+FILES = 40_000
 MESSAGE = "_block int, bucket int, payload binary"
 NEVER = np.iinfo(np.int64).max     # stands for a null doc_id: after all others
 
@@ -42,12 +46,16 @@ class Blocks:
     def __init__(self, docs: DataFrame, bytes_each: int):
         spark = docs.sparkSession
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if "_block" in docs.columns:
+            raise ValueError("_block is a working name")
         self.count = max(1, -(-int(total) // bytes_each))
         self.buckets = -(-self.count // 4)
-        dealt = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(self.count)).cast("int"))
-        self.name = f"marketgrid_blocks_{uuid.uuid4().hex}"
-        (dealt.repartition(self.count, "_block").write.format("parquet")
-         .bucketBy(self.count, "_block").option("path", table_dir(docs))
+        number = F.xxhash64("doc_id", F.monotonically_increasing_id())
+        dealt = docs.withColumn("_block", F.pmod(number, F.lit(self.count)).cast("int"))
+        files = min(self.count, FILES)
+        self.name = table_name("blocks")
+        (dealt.repartition(files, "_block").write.format("parquet")
+         .bucketBy(files, "_block").option("path", table_dir(docs))
          .option("compression", "zstd").saveAsTable(self.name))
         self.table = spark.table(self.name)
         self.columns = docs.columns
@@ -159,16 +167,26 @@ def _runs(values, sizes, size, part):
     return start, stop - start, mix(least[start])
 
 
+def _sorted(keys: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of keys, and where in it a new one begins."""
+    order = np.argsort(keys, kind="stable") if second is None else np.lexsort((second, keys))
+    new = np.zeros(len(keys), bool)
+    new[:1] = True
+    for k in (keys,) if second is None else (keys, second):
+        ordered = k[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
+    return order, new
+
+
 class KeySet:
     """Distinct keys of a block in bucket order.  ``of`` gives the index of
     the distinct key for every given one; ``first`` the given index of the
-    first occurrence, ``last`` of the last."""
+    first occurrence, ``last`` of the last.  With ``second`` a key is the 128
+    bits of both."""
 
-    def __init__(self, keys: np.ndarray, buckets: int):
-        order = np.argsort(keys, kind="stable")
+    def __init__(self, keys: np.ndarray, buckets: int, second: np.ndarray | None = None):
+        order, new = _sorted(keys, second)
         ordered = keys[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
         begin = np.flatnonzero(new)
         distinct = ordered[begin]
         first = order[begin]
@@ -176,6 +194,7 @@ class KeySet:
         bucket = ((distinct >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
         place = np.argsort(bucket, kind="stable")
         self.keys, self.first, self.last = distinct[place], first[place], last[place]
+        self.second = None if second is None else second[self.first]
         rank = np.empty(len(place), np.int64)
         rank[place] = np.arange(len(place))
         self.of = np.empty(len(keys), np.int64)
@@ -193,12 +212,9 @@ class KeySet:
         return out
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grouped(keys: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Stable order of keys and the begin of each group of equals."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+    order, new = _sorted(keys, second)
     return order, np.flatnonzero(new)
 
 

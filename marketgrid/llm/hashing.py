@@ -4,7 +4,8 @@ A word's hash is a polynomial of its bytes (a random 64-bit value per byte
 value, a random odd base, arithmetic modulo 2^64), taken from prefix sums, so
 a whole block of texts is hashed in a few passes; a finalizer mixes the bits.
 Equal words have equal hashes; unequal ones differ but for a chance of about
-2^-64 a pair.
+2^-64 a pair.  There are two independent families of them, so that two hashes
+make one of 128 bits.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import numpy as np
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BASE = int(_RNG.integers(1 << 62)) * 4 + 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = [_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+_BYTE = _BYTES[0]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -44,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], family: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after the other, and the number
     of words of each text.  Words are runs of bytes other than ASCII space."""
     joined = np.frombuffer(b" ".join(texts), np.uint8)
@@ -53,7 +55,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
     terms = np.zeros(n + 1, np.uint64)
-    np.multiply(np.where(inside, _BYTE[joined], np.uint64(0)), _power("up", n), out=terms[1:])
+    np.multiply(np.where(inside, _BYTES[family][joined], np.uint64(0)), _power("up", n), out=terms[1:])
     np.cumsum(terms, out=terms)
     h = mix((terms[end] - terms[start]) * _power("down", n)[start])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))

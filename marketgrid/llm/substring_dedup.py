@@ -10,7 +10,8 @@ equally), and only those that are repeated in another document survive.  Level
 window is repeated are asked about themselves, with the smallest doc_id that
 has each.  Windows repeated at the full length are the result; all others have
 been dropped at the level where they became single.  Both levels are steps of
-``blocks.Blocks``: keys of distinct windows meet by hash, bits come back.
+``blocks.Blocks``: keys of distinct windows meet by hash, bits come back.  Full
+windows are told apart by 128 bits, from two independent hashes of every word.
 
 Edge cases: a null or empty text has no words; documents of fewer than
 ``size`` words lose nothing; a passage repeated inside one document only, or
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .blocks import (Anchors, Blocks, KeySet, anchor_messages, bits, covered, grouped,
                      in_order, shared_anchors, spread)
+from .common import carried, restored
 from .hashing import chunks, window_sums, word_hashes
 
 SIZE = 50
@@ -45,20 +47,24 @@ class _Words:
         self.sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
         self.anchors = Anchors(parts, size, -(-size // 2))
 
-    def candidates(self, shared: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, keys and documents of the full windows below shared anchors."""
+    def candidates(self, shared: np.ndarray, size: int, buckets: int
+                   ) -> tuple[np.ndarray, np.ndarray, KeySet]:
+        """Starts, documents and keys of the full windows below shared anchors."""
         a = self.anchors
         start, many = a.start[shared], a.many[shared]
         first = np.repeat(start - (np.cumsum(many) - many), many)
         start = first + np.arange(len(first))
-        return start, window_sums(self.values, size)[start], np.repeat(a.doc[shared], many)
+        second = np.concatenate([word_hashes(self.raw[x:y], 1)[0] for x, y in chunks(self.raw)]
+                                or [np.zeros(0, np.uint64)])
+        keys = KeySet(window_sums(self.values, size)[start], buckets, window_sums(second, size)[start])
+        return start, np.repeat(a.doc[shared], many), keys
 
 
 def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with _n_words, _n_removed and _kept (the words
     that stay, joined by one space)."""
-    if size < 2:
-        raise ValueError("size must be at least 2")
+    if size < 2 or {"_n_words", "_n_removed", "_kept"} & set(docs.columns):
+        raise ValueError("size must be at least 2, and the columns' names be free")
     blocks = Blocks(docs, bytes_each)
     buckets = blocks.buckets
 
@@ -73,22 +79,23 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
     def full_windows(rows, got):
         w = _Words(rows, size)
         known = KeySet(w.anchors.key, buckets)
-        start, key, doc = w.candidates(known.answers(got)[known.of], size)
-        return w, start, doc, KeySet(key, buckets)
+        return w, *w.candidates(known.answers(got)[known.of], size, buckets)
 
     def send_full(rows, got):
         w, _, doc, full = full_windows(rows, got)
         # documents stand in ascending order, so the first has the smallest id
         owner = w.ids[doc[full.first]]
-        return [(b, full.keys[p].tobytes() + owner[p].tobytes()) for b, p in full.parts]
+        return [(b, full.keys[p].tobytes() + full.second[p].tobytes() + owner[p].tobytes())
+                for b, p in full.parts]
 
     def decide_full(payloads):
-        keys = [np.frombuffer(p, np.uint64, len(p) // 16) for p in payloads]
-        owners = np.concatenate([np.frombuffer(p, np.int64, offset=len(p) // 2) for p in payloads])
-        order, begin = grouped(np.concatenate(keys))
+        fields = [np.frombuffer(p, np.uint64).reshape(3, -1) for p in payloads]
+        first, second, owners = np.concatenate(fields, 1)
+        owners = owners.view(np.int64)
+        order, begin = grouped(first, second)
         least = spread(np.minimum.reduceat(owners[order], begin), begin, order)
-        ends = np.cumsum([len(k) for k in keys])
-        return bits(least < owners, [slice(e - len(k), e) for k, e in zip(keys, ends)])
+        ends = np.cumsum([f.shape[1] for f in fields])
+        return bits(least < owners, [slice(e - f.shape[1], e) for f, e in zip(fields, ends)])
 
     halves = blocks.ask(send_halves, decide_halves)
     full = blocks.ask(send_full, decide_full, halves)
@@ -116,6 +123,6 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
 def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows of ``docs``; texts that lose words hold the words that stay,
     other texts are unchanged."""
-    out = repeated(docs, size)
+    out = repeated(carried(docs, "doc_id", "text"), size)
     text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    return out.withColumn("text", text).select(*docs.columns)
+    return restored(out.withColumn("text", text), docs)

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from helpers import SF_CHECK, SF_SMALL
 from pyspark.sql import functions as F
 
@@ -120,6 +121,49 @@ def test_attributes_one_by_one():
         assert html_text.main_text(page) == text
 
 
+OTHER_LANGUAGES = {
+    "it": "Il vecchio pescatore tornava ogni sera verso casa quando le luci del porto si accendevano, portando le "
+          "reti bagnate sulle spalle e cantando piano una canzone che gli aveva insegnato suo padre molti anni prima.",
+    "ru": "Старый рыбак каждый вечер возвращался домой, когда в порту зажигались огни, нёс на плечах мокрые сети и "
+          "тихо напевал песню, которой много лет назад научил его отец, сидя на берегу у погасшего костра.",
+    "zh": "老渔夫每天傍晚在港口的灯光亮起时回家，肩上扛着湿漉漉的渔网，轻轻哼着父亲多年前教给他的歌。海风从远处吹来，带着盐和海草的气味，"
+          "村里的孩子们跟在他身后奔跑，问他今天有没有捕到大鱼。"}
+
+
+@pytest.mark.parametrize("lang", sorted(OTHER_LANGUAGES))
+def test_page_without_article_in_other_languages(lang):
+    text = OTHER_LANGUAGES[lang]
+    page = (f"<body><ul class='menu'><li><a href='/'>A</a></ul><h2>T</h2><div>{text}</div><p>{text}</p>"
+            f"<div><a href='/x'>{text}</a></div><footer>{text}</footer></body>")
+    assert html_text.main_text(page) == f"T\n{text}\n{text}"
+
+
+def test_what_is_not_shown():
+    text = "It is the story of a man who went to the sea and of what he had found there."
+    for style in ("display:none", "color: red; DISPLAY : none", "visibility:hidden;", "display:none !important"):
+        assert html_text.main_text(f"<article><p>{text}</p><div style='{style}'><p>{text} No.</p></div></article>") == text
+    for style in ("display:none-such", "overflow:hidden", "x-display:none", "display:block"):
+        assert html_text.main_text(f"<article><div style='{style}'><p>{text}</p></div></article>") == text
+
+
+def test_words_of_a_class_count_whole():
+    text = "It is the story of a man who went to the sea and of what he had found there."
+    for name in ("article-comment-free", "legal-history", "menuetto", "read-more-share-price", "header-image"):
+        assert not html_text.marks(name)
+        assert html_text.main_text(f"<article><div class='{name}'><p>{text}</p></div></article>") == text
+    for name in ("comment-list", "Site_Footer", "x nav-bar", "comment-12", "post-comments", "ad-slot-3", "cookie_notice"):
+        assert html_text.marks(name)
+
+
+def test_comments_below_a_heading():
+    text = "It is the story of a man who went to the sea and of what he had found there."
+    page = (f"<article><h1>A</h1><p>{text}</p><h2>Comments (3)</h2><h3>Ann</h3><ul><li>{text}<li>{text}</ul>"
+            f"<h2>More</h2><p>{text}</p></article>")
+    assert html_text.main_text(page) == f"A\n{text}\nMore\n{text}"
+    plain = f"<div><h3>Our comments on the law</h3><p>{text}</p></div>"
+    assert html_text.main_text(plain) == f"Our comments on the law\n{text}"
+
+
 def test_pages_odd(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain"), (4, "u", "<p"), (5, "u", "<!-- a"),
             (6, "u", "<script>x"), (7, "u", "<article><p>" + "a b " * 50_000), (8, "u", "&am"),
@@ -183,10 +227,13 @@ def test_language_odd(odd, empty):
     got = language_id.identify(odd).collect()
     assert len(got) == len(odd_rows())
     by_id = {r.doc_id: r.lang_pred for r in got}
-    assert all(by_id[i] == "und" for i in (3, 4, 5, 14)) and by_id[12] == "en"
+    without = {r[0] for r in odd_rows() if not any(c.isalpha() for c in r[1] or "")}
+    assert {i for i, p in by_id.items() if p == "und"} == without and by_id[12] == "en"
+    assert all((r.score == r.noise == 0) == (r.doc_id in without) for r in got)
     kept = language_id.keep_known(odd)
     assert kept.columns == odd.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, p in by_id.items() if p != "und"}
+    assert {r.doc_id for r in kept.collect()} == {
+        r.doc_id for r in got if r.doc_id not in without and r.noise < language_id.NOISE}
     assert language_id.identify(empty).count() == 0
     unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.doc_id for r in language_id.keep_known(unlabelled).collect()} == {
@@ -211,6 +258,49 @@ def test_gibberish_goes_clean_documents_stay(spark):
         assert sum(mine) >= 0.99 * len(mine)
 
 
+SENTENCES = {
+    "en": ["I would like to take the train to London tomorrow", "The doctor told me that I should sleep more often",
+           "It was raining all day and we stayed at home", "She has never been to the mountains before"],
+    "de": ["Die Kinder spielen jeden Nachmittag im Park hinter der Schule",
+           "Ich möchte morgen mit dem Zug nach Hamburg fahren", "Das Wetter war gestern sehr schön und warm",
+           "Wir haben lange auf den Bus gewartet"],
+    "fr": ["Je voudrais prendre le train pour Paris demain matin",
+           "Les enfants jouent dans le jardin derrière la maison", "Il fait très froid en hiver dans les montagnes"],
+    "es": ["Los niños juegan en el parque cada tarde", "El médico me dijo que debería dormir más",
+           "Hace mucho frío en las montañas durante el invierno"]}
+
+
+def test_real_sentences(spark):
+    """Any text with a letter gets a learned label, and everyday prose is no
+    noise, whatever the invented words of the training documents."""
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(10 ** 7 + k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, ts in SENTENCES.items() for t in ts)]
+    odd = [(2 * 10 ** 7, "x", None), (2 * 10 ** 7 + 1, "漢字", None), (2 * 10 ** 7 + 2, "12 é", None)]
+    net = language_id.train(docs)
+    both = spark.createDataFrame([(i, t) for i, t, _ in rows + odd], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in language_id.predict(both, net).collect()}
+    assert all(r.lang_pred in SENTENCES and 0 < r.score <= 1 and 0 <= r.noise <= 1 for r in got.values())
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 0.75 * len(rows)
+    assert all(got[i].noise < language_id.NOISE for i, _, _ in rows)
+
+
+def test_columns_that_clash(spark):
+    """Foreign columns may have any name, those of our own working columns too."""
+    from marketgrid.llm import substring_dedup
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
+    names = ["_kept", "_n_words", "_n_removed", "_block", "_quality_kept", "symbol_ratio_high", "_language_label",
+             "lang_pred", "score", "noise", "_carried", "_scalars", "bucket", "payload", "a.b", "_lang", "_source"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for stage in (substring_dedup.remove_repeated, quality_rules.keep_good, language_id.keep_known):
+        plain = {r.doc_id: r.text for r in stage(docs).collect()}
+        out = stage(wide)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert {r.doc_id: r.text for r in rows} == plain
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_rare_language_is_learned(spark):
     """Drawn from a large table, and not at the cost of the others."""
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "lang", "text")
@@ -218,10 +308,10 @@ def test_rare_language_is_learned(spark):
     both = docs.unionByName(spark.createDataFrame(rare, "doc_id bigint, lang string, text string"))
     net = language_id.train(both, n_docs=60)
     assert net.languages == ["de", "en", "es", "fr", "xx"]
-    got, _ = language_id.Labeller(net).predict([t for _, _, t in rare])
+    got, _, _ = language_id.Labeller(net).predict([t for _, _, t in rare])
     assert set(got) == {"xx"}
     some = [r for r in docs.collect() if r.lang and len((r.text or "").split()) >= 50]
-    got, _ = language_id.Labeller(net).predict([r.text for r in some])
+    got, _, _ = language_id.Labeller(net).predict([r.text for r in some])
     assert sum(g == r.lang for g, r in zip(got, some)) >= 0.97 * len(some)
 
 

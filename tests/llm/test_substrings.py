@@ -108,3 +108,50 @@ def test_merged_shards_give_the_intervals(size):
     for shard_bytes in (64, 1000, 10 ** 6):
         for s, least in zip(snippets, bw.smallest_owner(snippets, owners, size, shard_bytes)):
             assert least.tolist() == [first[s[k:k + size]] for k in range(len(s) - size + 1)]
+
+
+def test_more_blocks_than_buckets_allowed(spark, monkeypatch):
+    """Over 100,000 blocks in few files; half of the rows without a doc_id and
+    many of one doc_id spread over them."""
+    from marketgrid.llm import blocks
+    monkeypatch.setattr(blocks, "FILES", 8)
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = [(None if k % 2 else 7 if k % 4 else k, f"own{k} " * 30 + (passage if k % 3 else "") + f" tail{k}" * 20)
+            for k in range(160)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    size = sum(len(t) for _, t in rows)
+    each = max(1, size // 120_000)
+    far = 10 ** 12
+    check = {(i, t): v for (i, t), v in brute([(far if i is None else i, t) for i, t in rows], 50, words).items()}
+    made = blocks.Blocks(df, each)
+    assert made.count > 100_000
+    dealt = made.table.groupBy("_block").count().collect()
+    assert max(r["count"] for r in dealt) <= 4 and len(dealt) > 120
+    got = sd.repeated(df, 50, each).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n, gone, _, kept = check[far if r.doc_id is None else r.doc_id, r.text]
+        assert (r._n_words, r._n_removed, r._kept.encode()) == (n, gone, b" ".join(kept))
+
+
+def test_release_drops_the_catalog_entry(spark):
+    from marketgrid.llm.blocks import Blocks
+    from marketgrid.operators import lineage
+    made = Blocks(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), 100)
+    assert spark.catalog.tableExists(made.name)
+    written, lineage._written[:] = list(lineage._written), []
+    lineage.release(spark)
+    assert not spark.catalog.tableExists(made.name)
+    lineage._written[:] = written
+
+
+def test_keys_of_128_bits():
+    from marketgrid.llm.blocks import KeySet, grouped
+    keys = np.array([5, 5, 9, 5, 9, 9], np.uint64)
+    second = np.array([1, 2, 1, 1, 1, 3], np.uint64)
+    found = KeySet(keys, 4, second)
+    pairs = list(zip(found.keys[found.of].tolist(), found.second[found.of].tolist()))
+    assert pairs == list(zip(keys.tolist(), second.tolist())) and len(found.keys) == 4
+    assert found.first[found.of].tolist() == [0, 1, 2, 0, 2, 5]
+    order, begin = grouped(keys, second)
+    assert np.diff(np.append(begin, 6)).tolist() == [2, 1, 2, 1]
