@@ -439,6 +439,20 @@ def q_sample_extract(spark, sf_dir):
     return sample_counts(spark, root, [*names, "foot_traffic.csv", "area.csv"])
 
 
+@query("sample_rows")
+def q_sample_rows(spark, sf_dir):
+    """The first 100 rows of every raw file, from one pass over all."""
+    from .operators.lineage import table_dir
+    from .sources.sinks import file_heads
+    from .sources.standin import export_by_area
+    root = export_by_area(spark, sf_dir, table_dir(master(spark, sf_dir)), P)
+    parts = F.split("file", "/")
+    return file_heads(spark, f"{root}/*", 100).select(
+        F.element_at(parts, -3).alias("dataset"),
+        F.regexp_extract(F.element_at(parts, -2), r"(\d+)$", 1).cast("bigint").alias("part"), "line",
+        F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("master_round_trip")
 def q_master_round_trip(spark, sf_dir):
     """The master written by quarter and read back."""

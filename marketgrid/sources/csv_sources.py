@@ -4,27 +4,31 @@ The raw files come in two header dialects (Korean names or English API
 codes) and two encodings (UTF-8, possibly with a BOM, or CP949).  Spark's CSV
 reader takes the column names of *one* file and applies them by position to
 every file of a read, so a glob over mixed dialects silently mis-reads
-re-ordered columns.  Here:
-
-1. files are listed through the Hadoop FileSystem of the path (any storage);
-2. one distributed pass over all lines finds each file's header (the line at
-   block start 0, as bytes) and whether every line is valid UTF-8 (else
-   CP949).  Files are grouped by (header, encoding) on the executors; what
-   comes back is one row per group with its list of files;
-3. one ``spark.read.csv`` per group, columns renamed to canonical names,
-   then ``unionByName`` of the groups.
-
-A listed, non-empty file without a verdict is an error, and so is a required
-column that no file has.  All columns are read as strings and typed with
-``try_cast`` (malformed text -> null, as the source pipeline's Spark 2 casts
-did; ANSI stays on); decimal text such as ``123.0`` is cut to its whole part
-for integer columns, as those casts did.
+re-ordered columns.  Here all files are read as text, whose lines keep their
+bytes and their file:
+
+1. ``dialects``: one aggregation gives each file's header line and whether all
+   its lines are valid UTF-8 (else CP949), and with the header the canonical
+   names in the file's order.  One row per file, written once; only the number
+   of columns and the distinct names come to the driver;
+2. ``read_raw_csv``: one scan of the lines joined with that table by file.  A
+   line is decoded and split (``from_csv``) as its file's row says, and fields
+   go to their names by the file's positions.  So the number of scans does not
+   depend on the number of headers, encodings or files, and nothing is done
+   file by file.
+
+A required column that no file has is an error.  A line with an odd number of
+quotes would be part of a quoted line break, which this line reader refuses
+with an error.  Empty lines, and lines of a file's first block that equal its
+header, are no rows; an empty file has none.  All columns are read as strings
+and typed with ``try_cast`` (malformed text -> null, as the source pipeline's
+Spark 2 casts did; ANSI stays on); decimal text such as ``123.0`` is cut to its
+whole part for integer columns, as those casts did.
 """
 
 from __future__ import annotations
 
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +37,6 @@ from ..config import HEADER_ALIASES
 from ..operators.lineage import materialize
 
 CP949 = "x-windows-949"  # Java's name; "cp949"/"EUC-KR" lose rare syllables
-UTF8 = "UTF-8"
 
 RENAME: dict[str, str] = {alias: canon for canon, pair in HEADER_ALIASES.items()
                           for alias in pair}
@@ -50,34 +53,16 @@ SCHEMAS: dict[str, dict[str, str]] = {
 }
 
 
-def standardise_headers(df: DataFrame) -> DataFrame:
-    """Rename every known raw header (either dialect) to its canonical name."""
-    return df.withColumnsRenamed({c: RENAME[c] for c in df.columns if c in RENAME})
-
-
-def _fs_and_path(spark: SparkSession, path: str):
+def text_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """Lines of all files below a glob or directory: file, at (begin of the
+    block that the line was read in), value (its bytes, as text)."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return jvm, fs, hpath
-
-
-def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Data files matching a glob; directories are listed recursively;
-    hidden/marker files (``_SUCCESS``, ``.crc``) are skipped."""
-    jvm, fs, hpath = _fs_and_path(spark, pattern)
-    out: list[str] = []
-    stats = fs.globStatus(hpath) or []
-    for st in stats:
-        if st.isDirectory():
-            it = fs.listFiles(st.getPath(), True)
-            while it.hasNext():
-                f = it.next().getPath()
-                if not f.getName().startswith(("_", ".")):
-                    out.append(f.toString())
-        elif not st.getPath().getName().startswith(("_", ".")):
-            out.append(st.getPath().toString())
-    return sorted(out)
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path):
+        raise FileNotFoundError(pattern)
+    return (spark.read.format("text").option("recursiveFileLookup", True).load(pattern)
+            .select(F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("at"), "value"))
 
 
 @contextmanager
@@ -96,60 +81,52 @@ def java_charsets(spark: SparkSession):
             spark.conf.set(name, before)
 
 
-def file_groups(spark: SparkSession, files: list[str]) -> list[tuple[list[str], str]]:
-    """(files, encoding) groups with one header and one encoding each.
+def decoded(value: Column, utf8: Column) -> Column:
+    """Text of a line's bytes, without a byte order mark.  To be planned within
+    ``java_charsets``."""
+    other = F.decode(value.cast("binary"), CP949)
+    return F.regexp_replace(F.when(utf8, value).otherwise(other), "^\ufeff", "")
 
-    The text reader keeps a line's bytes as they are, so headers of any
-    encoding survive the pass.  Rows are keyed by ``_metadata.file_path``."""
-    jvm = spark.sparkContext._jvm
-    lines = (spark.read.format("text").load(files)
-             .select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"),
-                     "value"))
-    by_file = lines.groupBy("f").agg(
-        F.min(F.is_valid_utf8("value").cast("int")).alias("utf8"),
+
+def dialects(lines: DataFrame) -> DataFrame:
+    """File, utf8, header (its line's bytes in hex) and names
+    (canonical where known, in the file's order), one row per file."""
+    per_file = lines.groupBy("file").agg(
+        F.min(F.is_valid_utf8("value").cast("int")).cast("boolean").alias("utf8"),
         F.first(F.when(F.col("at") == 0, F.hex(F.col("value").cast("binary"))),
                 ignorenulls=True).alias("header"))
-    groups = by_file.groupBy("header", "utf8").agg(F.collect_list("f").alias("files")).collect()
-    listed = {_listed(jvm, f): f for f in files}
-    found = [([listed.pop(_reported(jvm, f)) for f in g["files"]], UTF8 if g["utf8"] else CP949)
-             for g in sorted(groups, key=lambda g: (g["header"] or "", g["utf8"]))]
-    for f in listed.values():
-        _, fs, hpath = _fs_and_path(spark, f)
-        if fs.getFileStatus(hpath).getLen():
-            raise RuntimeError(f"no header and encoding found for {f}")
-    return [(sorted(members), enc) for members, enc in found]
-
-
-def _listed(jvm, path: str) -> tuple[str, str]:
-    """Scheme and plain path of a Hadoop path (not escaped)."""
-    uri = jvm.org.apache.hadoop.fs.Path(path).toUri()
-    return uri.getScheme() or "file", uri.getPath()
-
-
-def _reported(jvm, uri: str) -> tuple[str, str]:
-    """The same of a file's metadata (an escaped URI)."""
-    u = jvm.java.net.URI(uri)
-    return u.getScheme() or "file", u.getPath()
+    known = F.create_map(*[F.lit(x) for pair in RENAME.items() for x in pair])
+    with java_charsets(lines.sparkSession):
+        text = decoded(F.unhex("header").cast("string"), F.col("utf8"))
+        parts = F.transform(F.split(text, ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+        named = per_file.withColumn("names", F.transform(parts, lambda c: F.coalesce(known[c], c)))
+        return materialize(named)
 
 
 def read_raw_csv(spark: SparkSession, pattern: str) -> DataFrame:
     """Read files (glob or directory) with mixed headers/encodings into
     one all-string frame with canonical column names."""
-    files = list_files(spark, pattern)
-    if not files:
-        raise FileNotFoundError(pattern)
-    frames = []
-    for paths, enc in file_groups(spark, files):
-        options = {"header": True, "encoding": enc, "mode": "PERMISSIVE"}
-        if enc == CP949:
-            with java_charsets(spark):
-                df = spark.read.options(**options).csv(paths)
-                # the parser is made from the setting when the scan is planned
-                df = materialize(standardise_headers(df))
-        else:
-            df = standardise_headers(spark.read.options(**options).csv(paths))
-        frames.append(df)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    lines = text_lines(spark, pattern)
+    found = dialects(lines)
+    wide, names = found.agg(F.max(F.size("names")), F.array_sort(F.array_distinct(
+        F.flatten(F.collect_set("names"))))).first()
+    if not names:
+        raise FileNotFoundError(f"{pattern}: only empty files")
+    # the planner broadcasts the table of files if it is small; a large file's
+    # lines are split among tasks if not
+    rows = (lines.join(found, "file")
+            .filter(~((F.col("at") == 0) & (F.hex(F.col("value").cast("binary")) == F.col("header")))))
+    with java_charsets(spark):
+        text = decoded(F.col("value"), F.col("utf8"))
+        quotes = F.char_length(text) - F.char_length(F.replace(text, F.lit('"'), F.lit("")))
+        broken = F.raise_error(F.concat(F.lit("a quoted line break in "), F.col("file")))
+        rows = rows.select("names", F.when(quotes % 2 == 1, broken).otherwise(text).alias("text"))
+        rows = rows.filter(F.trim("text") != "")
+        schema = ", ".join(f"c{k} string" for k in range(wide))
+        rows = rows.select("names", F.from_csv("text", schema, {"mode": "PERMISSIVE"}).alias("c"))
+        fields = rows.select("names", F.array(*[F.col(f"c.c{k}") for k in range(wide)]).alias("c"))
+        # positions count from 1, 0 stands for no such column
+        return fields.select(*[F.get("c", F.array_position("names", n).cast("int") - 1).alias(n) for n in names])
 
 
 def typed(df: DataFrame, dataset: str) -> DataFrame:

@@ -9,19 +9,19 @@
 * ``write_serving_csv`` / ``read_serving_csv``: header CSV in UTF-8 (Spark
   writes no BOM; a BOM on read is dropped by the reader).
 * ``write_samples`` (S10): the first ``n`` rows of every raw file, re-encoded
-  as UTF-8 — a structure check of each file, not a statistical sample.
+  as UTF-8 — a structure check of each file, not a statistical sample — in one
+  distributed pass, however many files.
 """
 
 from __future__ import annotations
 
-import os
-
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .csv_sources import file_groups, java_charsets, list_files, read_raw_csv
+from ..operators.lineage import materialize
+from .csv_sources import decoded, dialects, java_charsets, read_raw_csv, text_lines
 
 
 def write_master(master: DataFrame, path: str, whole: bool = False) -> None:
@@ -44,17 +44,28 @@ def read_serving_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_samples(spark: SparkSession, pattern: str, out_dir: str, n: int = 100) -> list[str]:
-    """``sample_<name>`` folders with the first n data rows of each file."""
-    written = []
-    for files, enc in file_groups(spark, list_files(spark, pattern)):
-        for f in files:
-            with java_charsets(spark):
-                df = spark.read.option("header", True).option("encoding", enc).csv(f).limit(n)
-                dest = os.path.join(out_dir, f"sample_{os.path.basename(f)}")
-                df.coalesce(1).write.mode("overwrite").option("header", True).csv(dest)
-            written.append(dest)
-    return written
+def file_heads(spark: SparkSession, pattern: str, n: int = 100) -> DataFrame:
+    """The header and the first ``n`` data lines of every file: file, line
+    (0 is the header), text.  One scan; a task keeps at most n + 1 lines of a
+    file (the rank's limit is applied before the shuffle)."""
+    lines = text_lines(spark, pattern)
+    found = dialects(lines)
+    # a task reads a block's lines in their order, so ids within a block ascend
+    ids = lines.withColumn("_id", F.monotonically_increasing_id())
+    order = Window.partitionBy("file").orderBy("at", "_id")
+    heads = ids.withColumn("line", F.row_number().over(order) - 1).filter(F.col("line") <= n)
+    with java_charsets(spark):
+        return heads.join(found, "file").select("file", "line", decoded(F.col("value"), F.col("utf8")).alias("text"))
+
+
+def write_samples(spark: SparkSession, pattern: str, out_dir: str, n: int = 100) -> DataFrame:
+    """``file_heads`` as UTF-8 text, one folder ``sample=<name>`` per file
+    name below ``out_dir``, all in one job; what was written."""
+    name = F.element_at(F.split(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), "/"), -1)
+    heads = materialize(file_heads(spark, pattern, n).withColumn("sample", name))
+    (heads.repartition("sample").sortWithinPartitions("sample", "file", "line")
+     .select("sample", "text").write.mode("overwrite").partitionBy("sample").text(out_dir))
+    return heads
 
 
 def sample_counts(spark: SparkSession, raw_dir: str, names: list[str], n: int = 100) -> DataFrame:
@@ -65,5 +76,5 @@ def sample_counts(spark: SparkSession, raw_dir: str, names: list[str], n: int =
         df = read_raw_csv(spark, f"{raw_dir.rstrip('/')}/{name}")
         parts.append(df.limit(n).agg(F.count(F.lit(1)).alias("n_rows"))
                      .select(F.lit(name).alias("dataset"), "n_rows",
-                             F.lit(len(df.columns)).cast("bigint").alias("n_columns")))
+                             F.lit(len(df.columns)).alias("n_columns")))
     return reduce(DataFrame.unionByName, parts)

@@ -171,3 +171,23 @@ def export_raw_csv(spark: SparkSession, sf_dir: str, out_dir: str, p: Params) ->
     marked = ko | {area.columns[0]: "\ufeff" + ko[area.columns[0]]}
     dump(area.filter("area_id % 2 = 1"), marked, f"{root}/area.csv/utf8")
     return root
+
+
+def export_by_area(spark: SparkSession, sf_dir: str, out_dir: str, p: Params, files: int = 20) -> str:
+    """The stand-in sales and stores as ``files`` CSV files each, one per
+    remainder of area_id (``<dataset>/part=<k>/...``), in key order, the sales in
+    CP949 with the Korean header and the stores in UTF-8 with the English one."""
+    from ..config import HEADER_ALIASES
+    from .csv_sources import java_charsets
+    sales, stores, _, _ = standin_sources(spark, sf_dir, p, materialize(standin_facts(spark, sf_dir, p)))
+    root = out_dir.rstrip("/")
+    with java_charsets(spark):
+        for df, name, encoding, side in ((sales, "sales", "x-windows-949", 0), (stores, "stores", "UTF-8", 1)):
+            named = df.select((F.col("area_id") % files).alias("part"), *[
+                F.col(c).cast("string").alias(HEADER_ALIASES[c][side]) for c in df.columns],
+                F.col("quarter").alias("_q"), F.col("area_id").alias("_a"), F.col("industry").alias("_i"))
+            keys = [HEADER_ALIASES[c][side] for c in df.columns]
+            (named.repartition(files, "part").sortWithinPartitions("part", "_q", "_a", "_i")
+             .select("part", *keys).write.mode("overwrite").option("header", True).option("encoding", encoding)
+             .partitionBy("part").csv(f"{root}/{name}"))
+    return root
