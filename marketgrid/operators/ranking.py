@@ -17,8 +17,9 @@ partitions, so a hot group spans many tasks:
 4. per (partition, g) running counts inside the partition (bounded by the
    partition size), plus the offset = number of rows before the value.
 
-Everything downstream (average-tie percent rank, exact linear quantiles,
-row positions for folds) is a formula on (n_before, n_equal, n_group).
+The average-tie percent rank and row positions for folds are formulas on
+(n_before, n_equal, n_group).  Quantiles need the order near a few ranks only and
+are selected without ordering the rest (``exact_quantiles``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import attach_scalars
 from .lineage import materialize
 
 
@@ -76,10 +78,26 @@ def pct_rank_average(df: DataFrame, value_col: str, group_cols: Sequence[str] =
     return df.join(pos, [*g, value_col], "left")
 
 
-def _position_value(pos: Column, value: Column) -> Column:
-    """The order value found at 0-based position ``pos`` (null elsewhere)."""
-    hit = (F.col("n_before") <= pos) & (pos < F.col("n_before") + F.col("n_equal"))
-    return F.when(hit, value)
+#: Rank error of the sketches (one in so many) that bracket a quantile, and size
+#: up to which a group is its own bracket.  Above it, three times the error on
+#: either side is three ranks or more, so both neighbours lie inside.
+ACCURACY = SMALL = 100_000
+
+
+def _brackets(src: DataFrame, value_col: str, qs: Sequence[float], g: list[str]) -> DataFrame:
+    """Per group ``n`` and ``brackets``: for quantile k the values between which
+    both of its neighbours in rank lie."""
+    shares = [min(1.0, max(0.0, q + d * 3 / ACCURACY)) for q in qs for d in (-1, 1)]
+    s = src.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"),
+                            F.percentile_approx(value_col, F.array(*map(F.lit, shares)), ACCURACY).alias("_p"))
+    whole = F.col("n") <= SMALL
+
+    def end(k: int, side: int) -> Column:
+        least = "_lo" if side == 0 else "_hi"
+        return F.when(whole | F.lit(shares[2 * k + side] == side), F.col(least)).otherwise(F.col("_p")[2 * k + side])
+
+    return s.select(*g, "n", F.array(*[F.struct(F.lit(k).alias("k"), end(k, 0).alias("lo"), end(k, 1).alias("hi"))
+                                       for k in range(len(qs))]).alias("brackets"))
 
 
 def exact_quantiles(df: DataFrame, value_col: str, qs: Sequence[float],
@@ -87,20 +105,39 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: Sequence[float],
                     ) -> DataFrame:
     """Linear-interpolated quantiles per group (pandas/numpy 'linear',
     SQL ``quantile_cont``): at p = q·(n−1), v[⌊p⌋] + (v[⌈p⌉] − v[⌊p⌋])·(p − ⌊p⌋).
-    One row per group; the final step is a groupBy with partial aggregation.
+    One row per group.
+
+    Exact by selection: a mergeable sketch per group brackets each quantile
+    within 6 / ACCURACY of the group's rows (a group of up to SMALL rows is its
+    own bracket); rows below a bracket are counted, and only distinct values
+    inside one are sorted.  Values outside are never shuffled, nothing is
+    written, and what one task sorts is that small share of a group.
     """
     g = list(group_cols)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
-    pos = value_positions(df, g, [value_col])
-    v = F.col(value_col)
+    src = df.select(*g, F.col(value_col).alias("_v")).filter(F.col("_v").isNotNull())
+    sketched = _brackets(src, "_v", qs, g)
+    placed = src.join(sketched, g) if g else attach_scalars(src, sketched)
+    below = placed.groupBy(*g).agg(F.max("n").alias("n"), *[
+        F.count_if(F.col("_v") < F.col("brackets")[k]["lo"]).alias(f"_b{k}") for k in range(len(qs))])
+    inside = F.filter("brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    near = (placed.select(*g, "_v", F.explode(F.transform(inside, lambda b: b["k"])).alias("_k"))
+            .groupBy(*g, "_k", "_v").agg(F.count(F.lit(1)).alias("_n_eq")))
+    before = Window.partitionBy(*g, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_in", F.coalesce(F.sum("_n_eq").over(before), F.lit(0)))
+    near = near.join(below, g) if g else attach_scalars(near, below)
     aggs = []
-    for q, nm in zip(qs, names):
-        p = F.lit(float(q)) * (F.col("n_group") - 1)
+    for k, (q, nm) in enumerate(zip(qs, names)):
+        p = F.lit(float(q)) * (F.col("n") - 1)
         lo, hi = F.floor(p), F.ceil(p)
-        aggs += [F.max(_position_value(lo, v)).alias(f"_{nm}_lo"),
-                 F.max(_position_value(hi, v)).alias(f"_{nm}_hi"),
-                 F.max(p - lo).alias(f"_{nm}_f")]
-    res = pos.groupBy(*g).agg(*aggs)
+        first = F.col(f"_b{k}") + F.col("_in")
+
+        def at(pos: Column) -> Column:
+            hit = (F.col("_k") == k) & (first <= pos) & (pos < first + F.col("_n_eq"))
+            return F.max(F.when(hit, F.col("_v")))
+
+        aggs += [at(lo).alias(f"_{nm}_lo"), at(hi).alias(f"_{nm}_hi"), F.max(p - lo).alias(f"_{nm}_f")]
+    res = near.groupBy(*g).agg(*aggs)
     out = [F.col(f"_{nm}_lo") + (F.col(f"_{nm}_hi") - F.col(f"_{nm}_lo")) * F.col(f"_{nm}_f")
            for nm in names]
     return res.select(*g, *[c.alias(nm) for c, nm in zip(out, names)])

@@ -171,7 +171,8 @@ def _fit(train: DataFrame, p: Params, part: str | None = None, leave_out: Sequen
 
 def fit_gbt(train: DataFrame, p: Params) -> Fitted:
     """M1: boosted trees; positives weigh n_neg / (n_pos + 1e-9) (M2)."""
-    return _fit(train, p)
+    # the thresholds and the cells read it
+    return _fit(materialize(train.select(*FEATURES, "target")), p)
 
 
 def _with_prob(df: DataFrame, margin: Column) -> DataFrame:
@@ -211,7 +212,7 @@ def holdout_scores(train: DataFrame, p: Params) -> DataFrame:
 def shap_importance(train: DataFrame, p: Params) -> DataFrame:
     """M8: mean absolute attribution per feature over the training rows."""
     train = materialize(train.select(*FEATURES, "target"))
-    ensemble = fit_gbt(train, p).models[boosting.WHOLE]
+    ensemble = _fit(train, p).models[boosting.WHOLE]
     return boosting.mean_absolute(boosting.attributions(train, ensemble, FEATURES), FEATURES)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from marketgrid.operators import ranking
 from marketgrid.operators.ranking import (exact_median, exact_quantiles, pct_rank_average,
                                           row_positions)
 
@@ -76,3 +77,35 @@ def test_value_positions_across_partitions(spark, parts):
         assert r.n_before == (grp.v < r.v).sum()
         assert r.n_equal == (grp.v == r.v).sum()
         assert r.n_group == len(grp)
+
+
+@pytest.mark.parametrize("small", [200, 10_000])
+def test_quantiles_by_selection(spark, monkeypatch, small):
+    """Sketched brackets and whole groups give the same exact values: ties,
+    tiny groups, a group with most rows, null values, extreme shares."""
+    monkeypatch.setattr(ranking, "SMALL", small)
+    monkeypatch.setattr(ranking, "ACCURACY", 200)
+    rng = np.random.default_rng(4)
+    groups = {"hot": np.round(rng.lognormal(0, 3, 6000), 3), "ties": rng.integers(0, 3, 900).astype(float),
+              "one": np.array([7.5]), "two": np.array([-1.0, 4.0]), "wide": np.array([1e300, -1e300, 0.0, 1e-300]),
+              "steps": np.arange(1000.0)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r.g: list(r)[1:] for r in ranking.exact_quantiles(df, "v", qs, ["g"], [f"q{k}" for k in range(7)]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx([float(np.quantile(vs, q)) for q in qs], rel=1e-12)
+    every = ranking.exact_quantiles(df.filter("g <> 'wide'"), "v", qs, [], [f"q{k}" for k in range(7)]).first()
+    values = np.concatenate([v for g, v in groups.items() if g != "wide"])
+    assert list(every) == pytest.approx([float(np.quantile(values, q)) for q in qs], rel=1e-12)
+    assert list(ranking.exact_quantiles(df.limit(0), "v", [0.5]).first()) == [None]
+
+
+def test_selection_writes_nothing_and_orders_no_range(spark):
+    df = spark.createDataFrame([(k % 3, float(k)) for k in range(100)], "g int, v double")
+    from marketgrid.operators import lineage
+    before = len(lineage._written)
+    out = ranking.exact_quantiles(df, "v", [0.25, 0.75], ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(lineage._written) == before and "rangepartitioning" not in plan
