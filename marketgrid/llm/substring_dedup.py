@@ -3,15 +3,17 @@
 A word is removed if it is covered by a window of ``size`` words whose words
 also start in a document with a smaller doc_id.
 
-Level 1 looks at windows of half the size.  Every full window holds several of
-them; the one with the smallest hash stands for it (equal windows choose
-equally), and only those that are repeated in another document survive.  Level
-2 extends what survived to twice the length: the full windows whose half
-window is repeated are asked about themselves, with the smallest doc_id that
-has each.  Windows repeated at the full length are the result; all others have
-been dropped at the level where they became single.  Both levels are steps of
-``blocks.Blocks``: keys of distinct windows meet by hash, bits come back.  Full
-windows are told apart by 128 bits, from two independent hashes of every word.
+A level has a length: the first is ``size / 2^DOUBLINGS``, each next one twice
+the one before, the last ``size`` itself.  A full window holds several parts of
+a level's length; the one with the smallest hash stands for it (equal windows
+choose equally, and neighbours mostly share theirs).  Windows whose part is
+repeated in another document survive the level, and only survivors are asked
+about at twice the length, until none survive or the full length is reached;
+there the windows themselves are asked about, with the smallest doc_id that has
+each.  A window that is single at any length has been dropped by then.  All
+levels are steps of ``blocks.Blocks``: distinct keys meet by hash, bits come
+back.  Full windows are told apart by 128 bits, from two independent hashes of
+every word.
 
 Edge cases: a null or empty text has no words; documents of fewer than
 ``size`` words lose nothing; a passage repeated inside one document only, or
@@ -33,31 +35,56 @@ from .blocks import (Anchors, Blocks, KeySet, anchor_messages, bits, covered, gr
 from .common import carried, restored
 from .hashing import chunks, window_sums, word_hashes
 
-SIZE = 50
+SIZE, DOUBLINGS = 50, 2
 BLOCK_BYTES = 4 << 20
 
 
+def lengths(size: int, doublings: int = DOUBLINGS) -> list[int]:
+    """Lengths of the levels, ascending; the last is ``size``."""
+    return sorted({-(-size // 2 ** k) for k in range(doublings + 1)})
+
+
 class _Words:
-    """The words of a block and their half-window anchors."""
+    """The words of a block and the windows that survive levels."""
 
     def __init__(self, rows: pa.Table, size: int):
         self.rows, self.ids, self.raw = in_order(rows)
-        parts = [word_hashes(self.raw[a:b]) for a, b in chunks(self.raw)]
-        self.values = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
-        self.sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-        self.anchors = Anchors(parts, size, -(-size // 2))
-
-    def candidates(self, shared: np.ndarray, size: int, buckets: int
-                   ) -> tuple[np.ndarray, np.ndarray, KeySet]:
-        """Starts, documents and keys of the full windows below shared anchors."""
-        a = self.anchors
-        start, many = a.start[shared], a.many[shared]
-        first = np.repeat(start - (np.cumsum(many) - many), many)
-        start = first + np.arange(len(first))
+        self.pieces = [word_hashes(self.raw[a:b]) for a, b in chunks(self.raw)]
+        self.values = np.concatenate([p[0] for p in self.pieces] or [np.zeros(0, np.uint64)])
+        self.sizes = np.concatenate([p[1] for p in self.pieces] or [np.zeros(0, np.int64)])
+        self.size = size
+        self.alive: np.ndarray | None = None         # by first word; None: all
+
+    def level(self, part: int) -> Anchors:
+        """Runs of windows with one part, those that hold a survivor."""
+        runs = Anchors(self.pieces, self.size, part)
+        if self.alive is not None and len(runs.start):
+            upto = np.append(0, np.cumsum(self.alive))
+            some = upto[np.minimum(runs.start + runs.many, len(self.alive))] > upto[runs.start]
+            runs.start, runs.many, runs.key, runs.doc = (
+                x[some] for x in (runs.start, runs.many, runs.key, runs.doc))
+        return runs
+
+    def keep(self, runs: Anchors, shared: np.ndarray) -> None:
+        """Of the survivors those in runs whose part is repeated survive."""
+        inside = np.zeros(len(self.values) + 1, np.int32)
+        np.add.at(inside, runs.start[shared], 1)
+        np.add.at(inside, (runs.start + runs.many)[shared], -1)
+        now = np.cumsum(inside[:-1]) > 0
+        self.alive = now if self.alive is None else now & self.alive
+
+    def full(self, buckets: int) -> tuple[np.ndarray, np.ndarray, KeySet]:
+        """Starts, documents and keys of the surviving windows."""
+        if self.alive is None:
+            runs = self.level(self.size)
+            self.keep(runs, np.ones(len(runs.start), bool))
+        start = np.flatnonzero(self.alive)
+        doc = np.searchsorted(np.cumsum(self.sizes), start, "right")
         second = np.concatenate([word_hashes(self.raw[x:y], 1)[0] for x, y in chunks(self.raw)]
                                 or [np.zeros(0, np.uint64)])
-        keys = KeySet(window_sums(self.values, size)[start], buckets, window_sums(second, size)[start])
-        return start, np.repeat(a.doc[shared], many), keys
+        keys = KeySet(window_sums(self.values, self.size)[start], buckets,
+                      window_sums(second, self.size)[start])
+        return start, doc, keys
 
 
 def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -> DataFrame:
@@ -67,22 +94,30 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
         raise ValueError("size must be at least 2, and the columns' names be free")
     blocks = Blocks(docs, bytes_each)
     buckets = blocks.buckets
+    *parts, _ = lengths(size)
 
-    def send_halves(rows, got):
+    def after(rows: pa.Table, got: dict[int, bytes], levels: int) -> _Words:
+        """The words with what survives the first ``levels`` levels."""
         w = _Words(rows, size)
-        return anchor_messages(w.anchors, w.ids, buckets)[1]
-
-    def decide_halves(payloads):
+        for k, part in enumerate(parts[:levels]):
+            runs = w.level(part)
+            keys = KeySet(runs.key, buckets)
+            w.keep(runs, keys.answers(_of_level(got, k, buckets))[keys.of])
+        return w
+
+    def ask_level(k: int):
+        def send(rows, got):
+            w = after(rows, got, k)
+            return anchor_messages(w.level(parts[k]), w.ids, buckets)[1]
+        return send
+
+    def decide_level(payloads):
         places, shared, _ = shared_anchors(payloads)
         return bits(shared, places)
 
-    def full_windows(rows, got):
-        w = _Words(rows, size)
-        known = KeySet(w.anchors.key, buckets)
-        return w, *w.candidates(known.answers(got)[known.of], size, buckets)
-
     def send_full(rows, got):
-        w, _, doc, full = full_windows(rows, got)
+        w = after(rows, got, len(parts))
+        _, doc, full = w.full(buckets)
         # documents stand in ascending order, so the first has the smallest id
         owner = w.ids[doc[full.first]]
         return [(b, full.keys[p].tobytes() + full.second[p].tobytes() + owner[p].tobytes())
@@ -97,14 +132,17 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
         ends = np.cumsum([f.shape[1] for f in fields])
         return bits(least < owners, [slice(e - f.shape[1], e) for f, e in zip(fields, ends)])
 
-    halves = blocks.ask(send_halves, decide_halves)
-    full = blocks.ask(send_full, decide_full, halves)
-    # the last step needs both answers; those of level 1 under negative numbers
-    both = halves.select("_block", (-1 - F.col("bucket")).alias("bucket"), "payload").union(full)
+    answers = None
+    for k in range(len(parts) + 1):
+        last = k == len(parts)
+        found = blocks.ask(send_full if last else ask_level(k), decide_full if last else decide_level, answers)
+        found = found.select("_block", (F.col("bucket") + k * buckets).alias("bucket"), "payload")
+        answers = found if answers is None else answers.union(found)
 
     def use(rows, got):
-        w, start, doc, known = full_windows(rows, {-1 - b: p for b, p in got.items() if b < 0})
-        earlier = known.answers({b: p for b, p in got.items() if b >= 0})[known.of]
+        w = after(rows, got, len(parts))
+        start, doc, known = w.full(buckets)
+        earlier = known.answers(_of_level(got, len(parts), buckets))[known.of]
         earlier |= w.ids[doc] > w.ids[doc[known.first]][known.of]
         stays = ~covered(len(w.values), start[earlier], size)
         ends = np.cumsum(w.sizes)
@@ -117,7 +155,12 @@ def repeated(docs: DataFrame, size: int = SIZE, bytes_each: int = BLOCK_BYTES) -
             removed.append(out)
         return w.rows, [pa.array(w.sizes), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
-    return blocks.finish(use, both, "_n_words bigint, _n_removed bigint, _kept string")
+    return blocks.finish(use, answers, "_n_words bigint, _n_removed bigint, _kept string")
+
+
+def _of_level(got: dict[int, bytes], level: int, buckets: int) -> dict[int, bytes]:
+    """A level's answers by bucket."""
+    return {b - level * buckets: p for b, p in got.items() if b // buckets == level}
 
 
 def remove_repeated(docs: DataFrame, size: int = SIZE) -> DataFrame:

@@ -155,3 +155,39 @@ def test_keys_of_128_bits():
     assert found.first[found.of].tolist() == [0, 1, 2, 0, 2, 5]
     order, begin = grouped(keys, second)
     assert np.diff(np.append(begin, 6)).tolist() == [2, 1, 2, 1]
+
+
+def test_levels_double_up_to_the_size():
+    assert sd.lengths(50) == [13, 25, 50] and sd.lengths(50, 3) == [7, 13, 25, 50]
+    assert sd.lengths(2) == [1, 2] and sd.lengths(3, 1) == [2, 3]
+
+
+@pytest.mark.parametrize("doublings", [0, 1, 2, 3, 5])
+def test_any_number_of_levels_gives_the_same(spark, monkeypatch, doublings):
+    """Passages that end at every length below and above the levels'."""
+    passage = [f"p{k}" for k in range(80)]
+    rows = []
+    for k, n in enumerate([80, 50, 49, 51, 26, 25, 24, 13, 12, 7, 6, 3, 79]):
+        own = [f"own{k}x{j}" for j in range(30)]
+        rows.append((k, " ".join(own + passage[:n] + [f"t{k}"] * 3)))
+        rows.append((100 + k, " ".join(passage[-n:] + own[:12] + passage[:n])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(sd, "DOUBLINGS", doublings)
+    monkeypatch.setattr(sd, "lengths", lambda size, d=doublings: sorted({-(-size // 2 ** k) for k in range(d + 1)}))
+    check_words(df, rows, 50, 700)
+
+
+def test_survivors_shrink_level_by_level():
+    """A level only asks about windows that survived the one below."""
+    import pyarrow as pa
+    shared = [f"s{k}" for k in range(60)]
+    texts = [" ".join([f"a{j}" for j in range(200)] + shared), " ".join(shared + [f"b{j}" for j in range(200)])]
+    w = sd._Words(pa.table({"doc_id": pa.array([1, 2]), "text": pa.array(texts)}), 50)
+    first = w.level(13)
+    keys = sd.KeySet(first.key, 1)
+    many = np.bincount(keys.of)[keys.of] > 1
+    w.keep(first, many)
+    alive = w.alive.copy()
+    second = w.level(25)
+    assert 22 <= alive.sum() < 150 and len(second.start) < len(first.start)
+    assert all(alive[s:s + m].any() for s, m in zip(second.start.tolist(), second.many.tolist()))
