@@ -27,22 +27,25 @@ from pyspark.sql import functions as F
 from ..config import (MEGA_COUNT_WEIGHT, MEGA_SPEED_WEIGHT, MEGA_TAG,
                       MEGA_VOLUME_WEIGHT, RISING_TAG, Params)
 from ..functions.exprs import mean_of, minmax_scale, safe_div, up_count
+from ..operators.lineage import materialize
 
 PAIR = ["area_id", "area_name", "district", "industry"]
 QCOLS = [f"q{i}" for i in range(1, 9)]
 
 
-def growth_metrics(master: DataFrame, p: Params) -> DataFrame:
+def growth_metrics(master: DataFrame, p: Params, places: bool = False) -> DataFrame:
+    """A5; with ``places`` also lon and lat, which are the area's."""
+    place = [F.max(c).alias(c) for c in ("lon", "lat")] if places else []
     qtr = (master.repartition(*PAIR)
            .groupBy(*PAIR, "quarter")
            .agg((safe_div(F.sum("sales_amt"), F.sum("stores")) / 3.0).alias("m_per_store"),
-                F.avg("stores").alias("q_stores")))
+                F.avg("stores").alias("q_stores"), *place))
     qs = list(p.quarters)
     half = len(qs) // 2
     cols = [f"q{i}" for i in range(1, len(qs) + 1)]
     pivot = qtr.groupBy(*PAIR).agg(
         F.count_distinct("quarter").alias("n_quarters"),
-        F.avg("q_stores").alias("avg_stores"),
+        F.avg("q_stores").alias("avg_stores"), *place,
         *[F.coalesce(F.max(F.when(F.col("quarter") == q, F.col("m_per_store"))), F.lit(0.0))
           .alias(c) for q, c in zip(qs, cols)])
     h1, h2 = mean_of(cols[:half]), mean_of(cols[half:])
@@ -106,24 +109,18 @@ def rising(master: DataFrame, p: Params, metrics: DataFrame | None = None) -> Da
 def tab2_hotplaces(master: DataFrame, p: Params) -> DataFrame:
     """Mega ∪ rising with class tag, raw figures and coordinates.
 
-    Coordinates are looked up only for the ≤ 2k listed areas: the hot-spot
-    ids (bounded by top_k) are broadcast into a semi-join before the
-    per-area aggregation.
+    The master is read once: the metrics carry the area's coordinates, and are
+    written, since both lists and the mega scores' ranges read them.
     """
-    metrics = growth_metrics(master, p)
+    metrics = materialize(growth_metrics(master, p, places=True))
     keep = ["area_id", "area_name", "district", "industry", "avg_stores", "h1", "h2",
-            "growth_rate", "up_count"]
+            "growth_rate", "up_count", "lon", "lat"]
     mg = (mega_candidates(metrics, p).orderBy(F.desc("mega_score"), "area_id", "industry")
           .limit(p.top_k).select(*keep, F.lit(MEGA_TAG).alias("class"), "mega_score"))
     rs = (rising_candidates(metrics, p).orderBy(F.desc("growth_rate"), "area_id", "industry")
           .limit(p.top_k).select(*keep, F.lit(RISING_TAG).alias("class"),
                                  F.lit(None).cast("double").alias("mega_score")))
-    both = mg.unionByName(rs)
-    ids = both.select("area_id").distinct()
-    coords = (master.join(F.broadcast(ids), "area_id", "left_semi")
-              .groupBy("area_id").agg(F.max("lon").alias("lon"), F.max("lat").alias("lat")))
-    t = both.join(coords, "area_id", "left")
-    return t.select(
+    return mg.unionByName(rs).select(
         "area_id", "area_name", "district", "industry", "class",
         F.round("avg_stores", 1).alias("avg_stores"), "h1", "h2", "growth_rate", "up_count",
         F.round("mega_score", 2).alias("mega_score"),
