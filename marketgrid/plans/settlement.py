@@ -128,15 +128,16 @@ def foot_percentile(master: DataFrame, write: bool = True) -> DataFrame:
 
 @dataclass
 class Q3Base:
-    """The two written inputs of the Q3 chain."""
+    """The inputs of the Q3 chain: the written pair table, and the foot
+    percentile, a join of written ranks with a small sum over the pairs."""
     pairs: DataFrame
     foot: DataFrame
 
     @classmethod
     def build(cls, master: DataFrame, p: Params) -> "Q3Base":
-        """One pass over the master; both tables written once."""
+        """One pass over the master."""
         pairs = materialize(pair_stats(master, p))
-        return cls(pairs, materialize(area_foot_percentile(pairs, p)))
+        return cls(pairs, area_foot_percentile(pairs, p))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
