@@ -46,8 +46,8 @@ from .common import TwoGenerations, id_and_text, slices
 SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
-#: Words remembered per generation in a worker.
-MEMO_WORDS = 150_000
+#: Bytes of words and their ids remembered per generation in a worker.
+MEMO_BYTES = 36 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -82,7 +82,7 @@ class Automaton:
         self.longest = max(map(len, self.arc_of), default=1)
         self.label |= {i: token.encode() for token, i in added.items()}
         self.table: dict[int, bool] = {}
-        self.words = TwoGenerations(self._encode_word, MEMO_WORDS)
+        self.words = TwoGenerations(self._encode_word, MEMO_BYTES)
         self.pattern = regex.compile(SPLIT)
 
     @classmethod

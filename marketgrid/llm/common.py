@@ -26,9 +26,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators on texts read; a null text is empty.
-    Other columns, whatever their names, never reach the operator."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    Other columns, whatever their names, never reach the operator.  A doc_id
+    that is a long is taken without an alias: Spark removes one on one side of
+    a self join only, and then does not see that both sides shuffle the same."""
+    doc_id = F.col("doc_id")
+    if docs.schema["doc_id"].dataType.simpleString() != "bigint":
+        doc_id = doc_id.cast("bigint").alias("doc_id")
+    return docs.select(doc_id, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
@@ -60,21 +64,25 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 class TwoGenerations(dict):
     """A bounded memo: ``self[key]`` computes missing values with ``make``.
-    When the young generation is full it becomes the old one, so keys in
-    steady use survive and memory stays below two generations."""
+    When the young generation holds ``size`` bytes (of keys, values and about
+    ``ENTRY`` for each pair) it becomes the old one, so keys in steady use
+    survive and memory stays below two generations, whatever the keys' length."""
+
+    ENTRY = 200
 
     def __init__(self, make: Callable, size: int):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.held = make, size, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
+        if self.held >= self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
+        self.held += len(key) + len(value) + self.ENTRY
         return value
 
 

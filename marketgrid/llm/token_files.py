@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 from ..operators.lineage import materialize, table_dir
 from .common import id_and_text, partitions_for, slices
 
-#: Words remembered per generation in a worker.
-MEMO_WORDS = 400_000
+#: Words remembered per generation in a worker; words above FAR bytes are
+#: forgotten with the batch, so this bounds the memory.
+MEMO_WORDS, FAR = 400_000, 64
 #: Bytes of text encoded at once: the more, the fewer times a word is looked up.
 SLICE = 6 << 20
-#: Documents per shard (a shard is one range of doc_id and one file).
-SHARD_DOCS = 8_000
+#: Documents per shard (a shard is one range of doc_id and one file), and the
+#: most shards: the table of their offsets, which is broadcast, has as many rows.
+SHARD_DOCS, SHARDS = 8_000, 20_000
 
 #: Words of these characters are lower-cased one to one and cut the same way
 #: by the pre-tokenizer, so many of them can be encoded as one text.  (With an
@@ -103,6 +105,7 @@ class WordEncoder:
         self.pieces: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.far: list[tuple[dict, bytes]] = []
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         found: dict[bytes, bytes] = {b"": b""}       # beside leading or trailing space
@@ -142,6 +145,7 @@ class WordEncoder:
                 raise RuntimeError("pre-tokens and word ends do not agree")
             data, size = ids.tobytes(), self.kind.itemsize
             self.pieces.update((p, data[x * size:y * size]) for p, x, y in zip(part, [0, *ends], ends))
+        self.far += [(self.pieces, p) for p in pieces if len(p) > FAR]
 
     def _ids_of(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words."""
@@ -150,6 +154,7 @@ class WordEncoder:
             need = [w for w, x in zip(words, found) if x is None]
             self.young.update((w, self.old[w]) for w in need if w in self.old)
             self.young.update(self._learn([w for w in need if w not in self.young]))
+            self.far += [(self.young, w) for w in need if len(w) > FAR]
             found = list(map(self.young.__getitem__, words))
         if len(self.young) > MEMO_WORDS:
             self.old, self.young = self.young, {}
@@ -159,6 +164,9 @@ class WordEncoder:
         """Ids of every text of a string array.  Plain texts are cut into
         pre-tokens, others into words; Arrow numbers the distinct ones, and
         their ids are laid out by numpy."""
+        for memory, word in self.far:
+            memory.pop(word, None)
+        self.far = []
         low = pc.ascii_lower(texts)
         odd = np.zeros(len(texts), bool)             # could hold an added token
         for a in self.added:
@@ -337,7 +345,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
                 names=["shard", "start_in_shard", "doc_id", "n_tokens", "control", "data"])
             start += int(ends[-1])
 
-    shards = partitions_for(encoded, shard_docs)
+    shards = min(partitions_for(encoded, shard_docs), SHARDS)
     (encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
      .mapInArrow(run, "shard int, start_in_shard bigint, doc_id bigint, n_tokens bigint, "
                       "control binary, data binary")
@@ -362,7 +370,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 + [pa.array([ids[e - 4 * c:e] for c, e in zip(counts.tolist(), ends)], pa.binary())],
                 names=["shard", "start_in_shard", "doc_id", "n_tokens", "ids"])
 
-    # one row per shard
+    # one row per shard, SHARDS at most
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (shards.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
                .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))

@@ -134,3 +134,32 @@ def test_op4_query(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (
             start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_memories_are_bounded_by_bytes():
+    """Long words do not stay: base64, unspaced scripts."""
+    from marketgrid.llm.common import TwoGenerations
+    memo = TwoGenerations(lambda w: w.encode(), 100_000)
+    for k in range(300):
+        assert memo[f"{k}" * 2000] == (f"{k}" * 2000).encode()
+        assert memo["again"] == b"again"
+        assert memo.held <= 100_000 + 13_000
+    assert len(memo) + len(memo.old) < 300
+    enc = tf.WordEncoder(WORD_BPE)
+    lib = Tokenizer.from_file(WORD_BPE)
+    for k in range(5):
+        texts = [f"x{k}" * 300 + " the cat", "日本" * 200 + f" {k}", "qwertz" * 50 + f"{k}é " + "ab" * 100]
+        for t, ids in zip(texts, enc.encode(pa.array(texts))):
+            assert np.frombuffer(ids, enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
+    enc.encode(pa.array(["the end"]))
+    assert max(map(len, [*enc.pieces, *enc.young, *enc.old])) <= tf.FAR
+
+
+def test_shards_are_bounded(spark, odd, monkeypatch):
+    monkeypatch.setattr(tf, "SHARDS", 3)
+    folder = tf.new_folder(odd)
+    tf.write(odd, WORD_BPE, 2, folder, shard_docs=1)
+    shards = {r.shard for r in spark.read.parquet(f"{folder}/shards").select("shard").collect()}
+    assert len(shards) <= 3
+    rows = tf.read(spark, folder).orderBy("start").collect()
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
