@@ -228,9 +228,9 @@ def q_class_report(spark, sf_dir):
     return r.select("cls", _r("precision"), _r("recall"), _r("f1"), "support")
 
 
-def gbt_ranking(spark, sf_dir):
+def gbt_ranking(spark, sf_dir, p=None):
     _, base = q3_base(spark, sf_dir)
-    fitted = model.fit_gbt(_train(base), P)
+    fitted = model.fit_gbt(_train(base), p or P)
     found = settlement.require_candidates(settlement.candidates(base, P))
     scored = model.score(fitted, found).withColumnRenamed("prob", "fit")
     return settlement.recommend(scored)
@@ -296,6 +296,13 @@ def q_boost_first_tree(spark, sf_dir):
                     _r("threshold"), _r("value"), _r("cover"))
 
 
+@query("recommend_first_tree")
+def q_recommend_first_tree(spark, sf_dir):
+    """The ranking by the first tree's probability, as values."""
+    r = gbt_ranking(spark, sf_dir, P.with_(gbt_iter=1))
+    return r.select("area_id", "industry", *[_r(c) for c in ["fit", "entry", "score"]])
+
+
 @query("boost_first_cv_auc")
 def q_boost_first_cv_auc(spark, sf_dir):
     """M3: cross-validated AUC of the folds' first trees, as values."""
