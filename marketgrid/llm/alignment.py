@@ -46,7 +46,7 @@ from .bpe_automaton import byte_alphabet
 from .common import id_and_text, raw_texts, slices
 
 #: Bytes of text aligned at once, and how many such slices ask about pairs together.
-SLICE, TOGETHER = 2 << 20, 2
+SLICE, TOGETHER = 1 << 20, 4
 #: Segments longer than this are encoded one by one, others some KB together.
 LONG, PART = 20_000, 8_000
 #: Fixed value: the byte-level pre-tokenizer's split pattern.
