@@ -43,7 +43,7 @@ from .common import id_and_text, partitions_for, slices
 #: forgotten with the batch, so this bounds the memory.
 MEMO_WORDS, FAR = 400_000, 64
 #: Bytes of text encoded at once: the more, the fewer times a word is looked up.
-SLICE = 6 << 20
+SLICE = 8 << 20
 #: Documents per shard (a shard is one range of doc_id and one file), and the
 #: most shards: the table of their offsets, which is broadcast, has as many rows.
 SHARD_DOCS, SHARDS = 8_000, 20_000
@@ -58,9 +58,29 @@ _CLASS = np.full(256, 1, np.uint8)
 _CLASS[0x21:0x7F] = [1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3
                      for b in range(0x21, 0x7F)]
 _CLASS[[0x20, 9, 10, 11, 12, 13]] = 0
+_CLASSES, _SPACES = _CLASS.tobytes(), np.flatnonzero(_CLASS == 0).astype(np.uint8).tobytes()
 _ODD = r"[^ \t\n\x0b\x0c\r!-&(-~À-ÖØ-öø-ÿ]"
 
 
+def _joined(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The values of a string or binary array without nulls, one after the
+    other, and where each begins and the last ends."""
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    if not len(column):
+        return b"", np.zeros(1, kind)
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, kind, len(column) + 1, column.offset * kind().itemsize)
+    first, last = int(at[0]), int(at[-1])
+    return data[first:last].to_pybytes() if last > first else b"", at - at[0]
+
+
+def _values(column: pa.Array) -> list[bytes]:
+    """The same as a list; many times as fast as ``to_pylist`` on short values."""
+    data, at = _joined(column)
+    at = at.tolist()
+    return [data[x:y] for x, y in zip(at, at[1:])]
+
+
 def _cut(text: bytes) -> tuple[list[bytes], list[int]]:
     """Pre-tokens of plain text (runs of letters, single digits, runs of
     signs), and their running number at the end of every word."""
@@ -121,7 +141,7 @@ class WordEncoder:
             pieces, upto = _cut(low.encode())
             if len(self.pieces) > MEMO_WORDS:
                 self.pieces.clear()
-            self._learn_pieces(set(pieces).difference(self.pieces))
+            self._learn_pieces(list(set(pieces).difference(self.pieces)))
             ids = list(map(self.pieces.__getitem__, pieces))
             return {w: ids[x] if y == x + 1 else b"".join(ids[x:y])
                     for w, x, y in zip(words, [0, *upto], upto)}
@@ -132,19 +152,19 @@ class WordEncoder:
         coded = self.lib.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, coded)}
 
-    def _learn_pieces(self, pieces: set[bytes]) -> None:
+    def _learn_pieces(self, pieces: list[bytes]) -> None:
         """The library encodes many pre-tokens as one text; the word ends in
         its ids tell them apart."""
-        todo = list(pieces)
-        for k in range(0, len(todo), 5000):
-            part = todo[k:k + 5000]
+        size = self.kind.itemsize
+        for k in range(0, len(pieces), 5000):
+            part = pieces[k:k + 5000]
             ids = np.array(self.bare.encode_batch_fast([b" ".join(part).decode()],
                                                        add_special_tokens=False)[0].ids, self.kind)
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             if len(ends) != len(part):
                 raise RuntimeError("pre-tokens and word ends do not agree")
-            data, size = ids.tobytes(), self.kind.itemsize
-            self.pieces.update((p, data[x * size:y * size]) for p, x, y in zip(part, [0, *ends], ends))
+            data = ids.tobytes()
+            self.pieces.update(zip(part, [data[x:y] for x, y in zip([0, *ends], ends)]))
         self.far += [(self.pieces, p) for p in pieces if len(p) > FAR]
 
     def _ids_of(self, words: list[bytes]) -> list[bytes]:
@@ -169,8 +189,10 @@ class WordEncoder:
         self.far = []
         low = pc.ascii_lower(texts)
         odd = np.zeros(len(texts), bool)             # could hold an added token
+        whole, _ = _joined(low)
         for a in self.added:
-            odd |= pc.match_substring(low, a.decode()).to_numpy(zero_copy_only=False)
+            if a in whole:
+                odd |= pc.match_substring(low, a.decode()).to_numpy(zero_copy_only=False)
         plain = ~odd & ~pc.match_substring_regex(low, _ODD).to_numpy(zero_copy_only=False)
         out: list[bytes] = [b""] * len(texts)
         for mask, encode, source in ((plain, self._encode_plain, low), (odd, self._encode_words, texts),
@@ -182,56 +204,53 @@ class WordEncoder:
         return out
 
     def _encode_plain(self, texts: pa.Array) -> list[bytes]:
-        sizes = np.asarray(pc.binary_length(texts), np.int64)
-        text = np.frombuffer(b"".join(texts.cast(pa.large_binary()).to_pylist()), np.uint8).copy()
-        # capitals beyond ASCII: in UTF-8, C3 80..9E but 97 become C3 A0..BE
-        second = np.flatnonzero(text[:-1] == 0xC3) + 1
-        second = second[(text[second] <= 0x9E) & (text[second] != 0x97)]
-        text[second] += 0x20
-        kind = _CLASS[text]
+        text, at = _joined(texts)
+        sizes, ends = np.diff(at).astype(np.int64), at[1:].astype(np.int64)
+        if b"\xc3" in text:
+            # capitals beyond ASCII: in UTF-8, C3 80..9E but 97 become C3 A0..BE
+            folded = np.frombuffer(text, np.uint8).copy()
+            second = np.flatnonzero(folded[:-1] == 0xC3) + 1
+            second = second[(folded[second] <= 0x9E) & (folded[second] != 0x97)]
+            folded[second] += 0x20
+            text = folded.tobytes()
+        kind = np.frombuffer(text.translate(_CLASSES), np.uint8)
         solid = kind > 0
         begins = solid.copy()
         begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-        ends = np.cumsum(sizes)
         heads = (ends - sizes)[sizes > 0]
         begins[heads] = solid[heads]
         stops = solid.copy()
         stops[:-1] &= begins[1:] | ~solid[1:]
         start = np.flatnonzero(begins)
-        body = text[solid]
+        body = text.translate(None, _SPACES)
         offsets = np.append(0, np.cumsum(np.flatnonzero(stops) + 1 - start)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(start),
                                        [None, pa.py_buffer(offsets), pa.py_buffer(body)])
         pieces = pieces.dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        distinct = _values(pieces.dictionary)
         known = list(map(self.pieces.get, distinct))
-        if None in known:
-            if len(self.pieces) > 2 * MEMO_WORDS:
+        new = [k for k, x in enumerate(known) if x is None]
+        if new:
+            if len(self.pieces) > 2 * MEMO_WORDS:    # what is in use stays
                 self.pieces.clear()
-            self._learn_pieces({w for w in distinct if w not in self.pieces})
-            known = list(map(self.pieces.__getitem__, distinct))
-        return self._laid_out(known, pieces.indices.to_numpy(),
+                self.pieces.update((w, x) for w, x in zip(distinct, known) if x is not None)
+            self._learn_pieces([distinct[k] for k in new])
+            for k in new:
+                known[k] = self.pieces[distinct[k]]
+        return self._laid_out(known, pieces.indices,
                               np.append(0, np.searchsorted(start, ends)))
 
     def _encode_words(self, texts: pa.Array) -> list[bytes]:
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
         offsets = split.offsets.to_numpy()
-        return self._laid_out(self._ids_of(words.dictionary.cast(kind).to_pylist()),
-                              words.indices.to_numpy(), offsets - offsets[0])
+        return self._laid_out(self._ids_of(_values(words.dictionary)), words.indices,
+                              offsets - offsets[0])
 
-    def _laid_out(self, known: list[bytes], at: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    def _laid_out(self, known: list[bytes], at: pa.Array, cuts: np.ndarray) -> list[bytes]:
         """Ids of the units ``at``, cut into documents."""
-        size = self.kind.itemsize
-        many = np.fromiter(map(len, known), np.int64, len(known)) // size
-        first = np.cumsum(many) - many
-        per_unit = many[at]
-        ends = np.cumsum(per_unit)
-        place = np.repeat(first[at] - (ends - per_unit), per_unit)
-        place += np.arange(len(place))
-        ids = np.frombuffer(b"".join(known), self.kind)[place].tobytes()
-        bounds = (np.append(0, ends)[cuts] * size).tolist()
+        ids, places = _joined(pa.array(known, pa.large_binary()).take(at))
+        bounds = places[cuts].tolist()
         return [ids[x:y] for x, y in zip(bounds, bounds[1:])]
 
 
@@ -247,14 +266,38 @@ _LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of an array of ranks below 2^32."""
-    ranks = np.ascontiguousarray(ranks, "<u4")
-    extra = ((ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF))
-    fields = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    fields[:len(ranks)] = extra
+    control, data = pack_rows(ranks, np.array([len(ranks)], np.int64))
+    return control[0].as_py(), data[0].as_py()
+
+
+def pack_rows(ranks: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(control, data) of several documents whose ranks lie one after the
+    other; every document's control stream begins a byte of its own."""
+    wide = ranks.max(initial=0) > 0xFFFF
+    ranks = np.ascontiguousarray(ranks, "<u4" if wide else "<u2")
+    extra = (ranks > 0xFF).astype(np.uint8)
+    if wide:
+        extra += ranks > 0xFFFF
+        extra += ranks > 0xFFFFFF
+    ends, controls = np.cumsum(counts), np.cumsum(-(-counts // 4))
+    fields = np.zeros(4 * int(controls[-1]) if len(counts) else 0, np.uint8)
+    at = 0
+    for n, e, c in zip(counts.tolist(), ends.tolist(), controls.tolist()):
+        fields[at:at + n] = extra[e - n:e]
+        at = 4 * c
     f = fields.reshape(-1, 4)
     control = f[:, 0] | f[:, 1] << 2 | f[:, 2] << 4 | f[:, 3] << 6
-    keep = np.arange(4) <= extra[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = np.empty((len(ranks), ranks.itemsize), bool)
+    for k in range(ranks.itemsize):
+        np.greater_equal(extra, k, out=keep[:, k])
+    data = ranks.view(np.uint8)[keep.ravel()]
+    upto = np.append(0, np.cumsum(extra, dtype=np.int64))[ends] + ends
+
+    def column(upto: np.ndarray, values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [
+            None, pa.py_buffer(np.append(0, upto).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+    return column(controls, control), column(upto, data)
 
 
 def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -335,13 +378,11 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         for b in slices(batches, "ids"):
             raw, kind = _ids(b)
             counts = np.array([len(x) // kind.itemsize for x in raw], np.int64)
-            ranks = rank_of[np.frombuffer(b"".join(raw), kind)]
             ends = np.cumsum(counts)
-            coded = [pack(ranks[e - c:e]) for c, e in zip(counts.tolist(), ends.tolist())]
+            control, data = pack_rows(rank_of[np.frombuffer(b"".join(raw), kind)], counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(raw), shard, np.int32)), pa.array(start + ends - counts),
-                 b.column(0), pa.array(counts), pa.array([c for c, _ in coded], pa.binary()),
-                 pa.array([d for _, d in coded], pa.binary())],
+                 b.column(0), pa.array(counts), control, data],
                 names=["shard", "start_in_shard", "doc_id", "n_tokens", "control", "data"])
             start += int(ends[-1])
 

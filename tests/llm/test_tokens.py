@@ -163,3 +163,40 @@ def test_shards_are_bounded(spark, odd, monkeypatch):
     assert len(shards) <= 3
     rows = tf.read(spark, folder).orderBy("start").collect()
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+
+
+def test_words_in_use_survive_a_full_memory(monkeypatch):
+    """Only words that are new are learned, also when the memory is emptied."""
+    monkeypatch.setattr(tf, "MEMO_WORDS", 10)
+    lib, enc = Tokenizer.from_file(WORD_BPE), tf.WordEncoder(WORD_BPE)
+    learned, learn = [], enc._learn_pieces
+    monkeypatch.setattr(enc, "_learn_pieces", lambda pieces: (learned.append(sorted(pieces)), learn(pieces)))
+    same = " ".join(f"{a}{b}" for a in ("the", "cat", "ran") for b in "abcdefghi")
+    for k in range(4):
+        text = f"{same} new{'xyzw'[k]}"
+        ids, = enc.encode(pa.array([text]))
+        assert np.frombuffer(ids, enc.kind).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(enc.pieces) > 2 * tf.MEMO_WORDS
+    assert learned[1:] == [[b"newy"], [b"newz"], [b"neww"]]
+
+
+def test_rows_packed_at_once_equal_rows_packed_alone():
+    rng = np.random.default_rng(1)
+    for top in (8, 16, 17, 32):
+        docs = [rng.integers(0, 2 ** top, int(n)).astype(np.uint32) for n in rng.integers(0, 40, 200)]
+        counts = np.array([len(d) for d in docs], np.int64)
+        control, data = tf.pack_rows(np.concatenate(docs), counts)
+        assert list(zip(control.to_pylist(), data.to_pylist())) == [tf.pack(d) for d in docs]
+        assert (tf.unpack(b"".join(control.to_pylist()), b"".join(data.to_pylist()), counts)
+                == np.concatenate(docs)).all()
+    control, data = tf.pack_rows(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    assert len(control) == len(data) == 0
+
+
+def test_slices_and_wide_strings():
+    lib, enc = Tokenizer.from_file(WORD_BPE), tf.WordEncoder(WORD_BPE)
+    texts = ["gone", "École 12 cats!", "", "<|endoftext|> x", "日本 the", " ÀÉ\t", "gone"]
+    for kind in (pa.string(), pa.large_string()):
+        for part in (pa.array(texts, kind).slice(1, 5), pa.array(texts, kind).slice(2, 1), pa.array([], kind)):
+            for x, t in zip(enc.encode(part), part.to_pylist(), strict=True):
+                assert np.frombuffer(x, enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids
