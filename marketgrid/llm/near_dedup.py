@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import materialize
+from ..operators.lineage import materialize, materialize_small
 from . import hashing
 from .common import id_and_text, raw_texts, slices
 from .components import components
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
                        .select("doc_id", "n_shingles", "keys"))
     entries = reps.select(F.explode("keys").alias("key"), "doc_id")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialize(entries.join(shared, "key"))
+    members = materialize_small(entries.join(shared, "key"))
     meets = members.groupBy("doc_id").agg(F.sum("n").alias("meets"))
     leaders = (members.join(meets, "doc_id").groupBy("key")
                .agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("minus"))).alias("top"))
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     # every document against the leaders of its buckets
     with_leader = led.filter("doc_id <> leader").select(F.col("leader").alias("a"),
                                                         F.col("doc_id").alias("b")).distinct()
-    stars = materialize(compared(with_leader, sets))
+    stars = materialize_small(compared(with_leader, sets))
     first = stars.filter(is_link).select("a", "b")
     grouped = components(first)
 
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
     sized = open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
     pairs = joined_pairs(sized.filter(F.col("rows") <= SMALL), percent)
     pairs = pairs.union(blocked_pairs(sized.filter(F.col("rows") > SMALL), sets, percent)).distinct()
-    more = materialize(compared(pairs, sets).filter(is_link).select("a", "b"))
+    more = materialize_small(compared(pairs, sets).filter(is_link).select("a", "b"))
     if not more.isEmpty():                       # links between whole components
         names = grouped.select("node", F.col("component").alias("of"))
         ends = more

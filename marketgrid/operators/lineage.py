@@ -55,3 +55,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = table_dir(df)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """``materialize`` for a result far smaller than what it is computed from:
+    its rows are shuffled first, so that it has files by its own size and not
+    one for each task."""
+    return materialize(df.hint("rebalance"))

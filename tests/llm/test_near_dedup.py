@@ -6,6 +6,7 @@ from helpers import SF_CHECK
 
 from marketgrid.llm import near_dedup as nd
 from marketgrid.llm.components import components
+from marketgrid.operators import lineage
 
 from .conftest import odd_rows
 
@@ -97,3 +98,30 @@ def test_components(spark):
     got = {r.node: r.component for r in
            components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert all(got[k] == 0 for k in range(41)) and got[159] == 100 and got[300] == 200
+
+
+def test_small_results_have_few_files(spark, monkeypatch):
+    """Pairs are compared in many tasks, as the sets are large; the table of
+    the results is small, and so is the number of its files."""
+    files, write = {}, lineage.materialize
+
+    def noted(df):
+        out = write(df)
+        files[tuple(out.columns)] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(nd, "materialize", noted)
+    monkeypatch.setattr(lineage, "materialize", noted)
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
+             "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        nd.near_duplicates(spark.read.parquet(f"{SF_CHECK}/documents.parquet"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files[("doc_id", "elements", "short", "regs")] > 3, files
+    assert files[("a", "b", "both", "either")] == 1, files
